@@ -13,17 +13,18 @@ _C, _FIRST = "__chunk", "__chunk_first"
 
 
 def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[str, Column | None]],
-            chunk_rows: int = CHUNK_ROWS, tie: list[str] | None = None) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, tie: list[str] | None = None, chunk: Column | None = None) -> DataFrame:
     """Add running columns.
 
     ``order`` is a whole number; rows of equal ``order // chunk_rows`` form a chunk, ``tie`` breaks equal orders.
+    ``chunk`` names the chunk instead when the order itself says nothing about chunk sizes.
     A spec is (kind, value): ``last`` latest non-null value up to and including this row, ``last_before`` up to the
     row before, ``first`` first non-null value so far, ``sum`` running sum, ``lag`` value of the row before, ``count``
     running row number.
     """
     srt = [order] + (tie or [])
     at = F.struct(*srt)
-    src = df.withColumn(_C, F.floor(F.col(order) / chunk_rows).cast("bigint"))
+    src = df.withColumn(_C, F.floor(F.col(order) / chunk_rows).cast("bigint") if chunk is None else chunk)
     for name, (kind, value) in specs.items():
         if value is not None:
             src = src.withColumn(f"__v_{name}", value)
