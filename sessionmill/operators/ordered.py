@@ -107,6 +107,13 @@ def ensure_checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(configured)
 
 
+def scratch_dir(spark) -> str:
+    """A fresh folder next to the checkpoints, which all executors share."""
+    import uuid
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
 def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Rank of every row over the whole table without a single-task window.
 
