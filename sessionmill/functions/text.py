@@ -4,11 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # white space as the log writers understand it
-WS = r"[\s   -     　﻿]"
+SPACES = (" \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f"
+          "\u205f\u3000\ufeff")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def blanks(c: Column) -> Column:
+    """Every white space character as a plain blank."""
+    return F.translate(c, SPACES, " " * len(SPACES))
 
 
 def shorten(c: Column, limit: int) -> Column:
@@ -17,16 +23,16 @@ def shorten(c: Column, limit: int) -> Column:
 
 def preview(c: Column, limit: int = 140) -> Column:
     """First line of the trimmed text, shortened."""
-    return shorten(F.regexp_extract(strip(c), r"^([^\r\n]*(?:\r(?!\n)[^\r\n]*)*)", 1), limit)
+    return shorten(F.rtrim(F.substring_index(strip(c), "\n", 1), F.lit("\r")), limit)
 
 
-def compact(c: Column, limit: int = 220) -> Column:
-    """White space runs become one blank; missing text is ''."""
-    return shorten(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " ")), limit)
+def inline(c: Column) -> Column:
+    return F.trim(F.regexp_replace(blanks(c), " {2,}", " "))
 
 
-def inline(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+def compact(c: Column, limit: int = 220) -> Column:
+    """White space runs become one blank; missing text is ''."""
+    return shorten(inline(F.coalesce(c, F.lit(""))), limit)
 
 
 def truncated(c: Column, limit: int) -> Column:
@@ -36,7 +42,7 @@ def truncated(c: Column, limit: int) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, f"{WS}+")))
+    return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(blanks(c), " +")))
 
 
 def token_estimate(c: Column) -> Column:

@@ -12,6 +12,12 @@ TIME_FIELDS = ("timestamp", "timestamp_ms", "timestampMs", "time", "ts", "update
 TIME_LEVELS = ("$", "$.payload", "$.event", "$.message")
 
 
+_EPOCH = (r"CASE WHEN trim({x}) RLIKE r'^-?\d+(\.\d+)?(E\d+)?$' AND try_cast(trim({x}) AS double) > 1e9 THEN "
+          r"CASE WHEN try_cast(trim({x}) AS double) > 1e12 THEN floor(try_cast(trim({x}) AS double)) "
+          r"ELSE floor(try_cast(trim({x}) AS double) * 1000 + 0.5) END "
+          r"WHEN trim({x}) <> '' THEN unix_millis(try_to_timestamp(trim({x}))) END")
+
+
 def epoch_ms(c: Column) -> Column:
     """Epoch milliseconds of a string: numbers above 1e12 are ms, above 1e9 seconds, else a date text; else null."""
     t = F.trim(c)
@@ -26,11 +32,13 @@ def field_epoch_ms(v: Column, path: str) -> Column:
     return epoch_ms(F.try_variant_get(v, path, "string"))
 
 
-def guess_ts(v: Column, levels: tuple[str, ...] = TIME_LEVELS) -> Column:
-    """First parsable timestamp of a row. The usual place is tried alone, the long tail only where that fails."""
-    rest = F.array(*[F.try_variant_get(v, f"{lv}.{f}", "string") for lv in levels for f in TIME_FIELDS])
-    parsed = F.filter(F.transform(rest, epoch_ms), lambda x: x.isNotNull())
-    return F.coalesce(field_epoch_ms(v, f"{levels[0]}.timestamp"), F.get(parsed, F.lit(0)))
+def guess_ts(column: str, root: str = "$") -> Column:
+    """First parsable timestamp of a variant column. The usual place is tried alone, the long tail only where it fails."""
+    get = lambda path: f"try_variant_get({column}, '{path}', 'string')"
+    places = ", ".join(get(f"{root}{lv[1:]}.{f}") for lv in TIME_LEVELS for f in TIME_FIELDS)
+    rest = f"get(filter(transform(array({places}), x -> {_EPOCH.format(x='x')}), y -> y IS NOT NULL), 0)"
+    first = get(root + ".timestamp")
+    return F.expr(f"CAST(coalesce({_EPOCH.format(x=first)}, {rest}) AS bigint)")
 
 
 def duration_ms(c: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import text as X
-from . import variants as V
 
 # Tool names (lower case, separators removed) and their types, per dialect.
 _SHELL = {"execcommand": "bash", "shellcommand": "bash"}
@@ -64,28 +63,25 @@ def status_is_error(status: Column) -> Column:
     return F.lower(status).rlike("error|fail")
 
 
-def _summary_entries(v: Column) -> Column:
+def _summary_sql(x: str) -> str:
     """Texts of the summary items of a value: of the array, of the object itself, or of its content array."""
-    own = F.when(V.is_object(v), F.array(v)).otherwise(F.array().cast("array<variant>"))
-    every = F.concat(V.items(v, "$"), own, V.items(v, "$.content"))
-    hits = F.filter(every, lambda i: F.lower(V.text(i, "$.type")) == "summary_text")
-    return F.filter(F.transform(hits, lambda i: X.strip(V.text(i, "$.text"))), lambda t: t != "")
+    get = lambda y, p, t="string": f"try_variant_get({y}, '{p}', '{t}')"
+    none = "CAST(array() AS array<variant>)"
+    every = (f"concat(coalesce({get(x, '$', 'array<variant>')}, {none}), CASE WHEN {get(x, '$', 'map<string,variant>')} IS NOT NULL "
+             f"THEN array({x}) ELSE {none} END, coalesce({get(x, '$.content', 'array<variant>')}, {none}))")
+    return (f"filter(transform(filter({every}, a -> lower({get('a', '$.type')}) = 'summary_text'), "
+            f"a -> coalesce(trim({get('a', '$.text')}), '')), t -> t <> '')")
 
 
-def reasoning_text(v: Column, raw_json: Column, *paths: str) -> Column:
-    """Summary of a reasoning item; a summary may be given as JSON inside a string. Falls back to compact text."""
+def reasoning_text(column: str, raw_json: Column, *paths: str) -> Column:
+    """Summary of a reasoning item of a variant column; a summary may be given as JSON inside a string.
+
+    Falls back to compact text, then to the next path.
+    """
     def candidate(path: str) -> Column:
-        x = V.sub(v, path)
-        inner = F.when(V.is_string(x) & X.strip(V.text(x)).rlike(r"^[\[{]."), F.try_parse_json(X.strip(V.text(x))))
-        entries = F.filter(F.array(_summary_entries(x), _summary_entries(inner)), lambda e: F.size(e) > 0)
-        hit = F.get(entries, F.lit(0))
-        summary = F.when(hit.isNotNull(), F.concat(F.lit("Summary: "), F.concat_ws(" ", hit)))
+        value = f"try_variant_get({column}, '{path}', 'variant')"
+        inner = f"try_parse_json(CASE WHEN schema_of_variant({value}) = 'STRING' THEN try_variant_get({column}, '{path}', 'string') END)"
+        found = (f"get(filter(transform(array({value}, {inner}), x -> {_summary_sql('x')}), e -> size(e) > 0), 0)")
+        summary = F.expr(f"transform(array({found}), h -> CASE WHEN h IS NOT NULL THEN concat('Summary: ', array_join(h, ' ')) END)[0]")
         return F.coalesce(summary, F.nullif(X.compact(F.get_json_object(raw_json, path)), F.lit("")))
     return F.coalesce(*[candidate(p) for p in paths], F.lit(""))
-
-
-def thinking_text(v: Column, raw_json: Column) -> Column:
-    direct = X.compact(F.get_json_object(raw_json, "$.thinking"))
-    blocks = X.compact(F.concat_ws("\n", V.item_blocks(v)))
-    own = X.compact(V.first_json_text(raw_json, v, "$.text", "$.content"))
-    return F.when(~direct.isin("", "{}", "[]"), direct).otherwise(V.first_filled(blocks, own))

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# JSON texts that count as "nothing there" when picking the first usable of several fields
-_FALSY = ("null", "false", "0", "0.0", "-0", '""')
+# scalar texts that count as "nothing there" when picking the first usable of several fields, unless they are strings
+_FALSY = ("false", "0", "0.0", "-0")
 
 
 def sub(v: Column, path: str) -> Column:
@@ -18,7 +18,8 @@ def text(v: Column, path: str = "$") -> Column:
 
 def is_set(v: Column, path: str) -> Column:
     """True for any value but a missing, null, false, zero or empty one."""
-    return F.coalesce(~F.to_json(sub(v, path)).isin(*_FALSY), F.lit(False))
+    s = F.try_variant_get(v, path, "string")
+    return F.coalesce((s != "") & (~s.isin(*_FALSY) | is_string(sub(v, path))), F.lit(False))
 
 
 def first_text(v: Column, *paths: str) -> Column:
@@ -37,11 +38,11 @@ def kind_of(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_string(v: Column) -> Column:
@@ -50,8 +51,7 @@ def is_string(v: Column) -> Column:
 
 def has_keys(v: Column, path: str) -> Column:
     """The value is an object with at least one key."""
-    x = sub(v, path)
-    return is_object(x) & (F.to_json(x) != "{}")
+    return F.coalesce(F.size(F.try_variant_get(v, path, "map<string,variant>")) > 0, F.lit(False))
 
 
 def number(v: Column, path: str) -> Column:
@@ -67,8 +67,7 @@ def long_number(v: Column, path: str) -> Column:
 
 def items(v: Column, path: str) -> Column:
     """Array of variants, empty when the value is no array."""
-    return F.coalesce(F.when(is_array(sub(v, path)), F.try_variant_get(v, path, "array<variant>")),
-                      F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def item_texts(raw_json: Column, path: str) -> Column:
@@ -78,7 +77,10 @@ def item_texts(raw_json: Column, path: str) -> Column:
 
 def first_json_text(raw_json: Column, v: Column, *paths: str) -> Column:
     """Like ``first_text`` but objects and arrays keep the key order of the log."""
-    return F.coalesce(*[F.when(is_set(v, p), F.get_json_object(raw_json, p)) for p in paths], F.lit(""))
+    def one(p: str) -> Column:
+        s = text(v, p)
+        return F.when(is_set(v, p), F.when(s.rlike(r"^[\[{]"), F.get_json_object(raw_json, p)).otherwise(s))
+    return F.coalesce(*[one(p) for p in paths], F.lit(""))
 
 
 def let(value: Column, body) -> Column:
@@ -86,39 +88,42 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-_BLOCK_TYPES = ("text", "input_text", "output_text")
+# Generated SQL from here on: nested lambdas over variants are far shorter to state as text. ``x`` is an SQL expression.
+
+def _get(x: str, path: str, typ: str = "string") -> str:
+    return f"try_variant_get({x}, '{path}', '{typ}')"
 
 
-def _empty() -> Column:
-    return F.array().cast("array<string>")
+def _item_blocks_sql(x: str, depth: int) -> str:
+    typ, plain = _get(x, "$.type"), _get(x, "$.text")
+    usable = ", ".join(f"CASE WHEN {_get(x, '$.' + f)} NOT IN ('', '{{}}', '[]') THEN {_get(x, '$.' + f, 'variant')} END"
+                       for f in ("text", "content", "result", "output", "input"))
+    inner = f"CASE WHEN {typ} = 'tool_result' THEN {_get(x, '$.content', 'variant')} ELSE coalesce({usable}) END"
+    n, r = f"n{depth}", f"r{depth}"
+    pair = f"transform(array({inner}), {n} -> struct({_blocks_sql(n, depth - 1)} AS b, coalesce({_get(n, '$')}, '') AS t))[0]"
+    pick = (f"transform(array({pair}), {r} -> CASE WHEN size({r}.b) > 0 THEN {r}.b WHEN {r}.t IN ('', '[]') THEN "
+            f"CAST(array() AS array<string>) ELSE array({r}.t) END)[0]")
+    return (f"CASE WHEN {typ} IN ('text', 'input_text', 'output_text') THEN "
+            f"CASE WHEN {plain} <> '' THEN array({plain}) ELSE CAST(array() AS array<string>) END ELSE {pick} END")
 
 
-def item_blocks(item: Column, depth: int = 4) -> Column:
-    """Text blocks of one content item."""
-    typ, plain = text(item, "$.type"), text(item, "$.text")
-    usable = [F.when(~text(item, f"$.{f}").isin("", "{}", "[]"), sub(item, f"$.{f}"))
-              for f in ("text", "content", "result", "output", "input")]
-    inner = F.when(typ == "tool_result", sub(item, "$.content")).otherwise(F.coalesce(*usable))
+def _blocks_sql(x: str, depth: int) -> str:
+    if depth == 0:
+        return "CAST(array() AS array<string>)"
+    i = f"i{depth}"
+    return (f"coalesce(flatten(transform({_get(x, '$', 'array<variant>')}, {i} -> {_item_blocks_sql(i, depth)})), "
+            f"CASE WHEN schema_of_variant({x}) = 'STRING' AND {_get(x, '$')} <> '' THEN array({_get(x, '$')}) END, "
+            f"CAST(array() AS array<string>))")
 
-    def resolve(pair: Column) -> Column:
-        raw = text(pair["v"])
-        return (F.when(F.size(pair["nested"]) > 0, pair["nested"]).when(raw.isin("", "[]"), _empty())
-                .otherwise(F.array(raw)))
 
-    nested = let(inner, lambda x: F.struct(text_blocks(x, depth - 1).alias("nested"), x.alias("v")))
-    return (F.when(typ.isin(*_BLOCK_TYPES), F.when(plain != "", F.array(plain)).otherwise(_empty()))
-            .otherwise(let(nested, resolve)))
+def item_blocks(column: str, depth: int = 4) -> Column:
+    """Text blocks of one content item held by a variant column."""
+    return F.expr(_item_blocks_sql(column, depth))
 
 
-def text_blocks(v: Column, depth: int = 4) -> Column:
-    """Text blocks of nested message content (SF10).
+def text_blocks(column: str, path: str = "$", depth: int = 4) -> Column:
+    """Text blocks of nested message content below a path of a variant column (SF10).
 
-    One generated expression per nesting level; content nested deeper than ``depth`` levels comes out as JSON text.
+    One level of SQL per nesting level; content nested deeper than ``depth`` levels comes out as JSON text.
     """
-    if depth == 0:
-        return _empty()
-    plain = text(v)
-    return (F.when(is_string(v), F.when(plain != "", F.array(plain)).otherwise(_empty()))
-            .when(is_array(v), F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"),
-                                                     lambda i: item_blocks(i, depth))))
-            .otherwise(_empty()))
+    return F.expr(f"transform(array({_get(column, path, 'variant')}), z -> {_blocks_sql('z', depth)})[0]")

@@ -114,6 +114,23 @@ def scratch_dir(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the shared folder, to be read several times with only the columns needed.
+
+    Used where parsing is dear and several ordered passes follow; the table also ends the lineage.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    # generated methods above 8000 bytes of bytecode are never compiled by the JVM; Spark then does better unfused
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Rank of every row over the whole table without a single-task window.
 

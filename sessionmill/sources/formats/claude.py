@@ -12,7 +12,7 @@ from .common import by_class, chunks, explode_items, or_tool, result_preview, te
 def normalize(rows: DataFrame) -> DataFrame:
     v = F.col("v")
     typ = F.lower(V.text(v, "$.type"))
-    rows = rows.withColumns({"ts_ms": times.guess_ts(v), "typ": typ})
+    rows = rows.withColumns({"ts_ms": times.guess_ts("v"), "typ": typ})
     is_msg = F.col("typ").isin("user", "assistant", "system")
     boundary = (F.col("typ") == "system") & (F.lower(V.text(v, "$.subtype")) == "compact_boundary")
     display = V.text(v, "$.display")
@@ -33,8 +33,8 @@ def normalize(rows: DataFrame) -> DataFrame:
         "res_id": V.first_text(iv, "$.tool_use_id", "$.call_id", "$.id"),
         "res_name": V.first_text(iv, "$.name", "$.tool_name"),
         "args": X.compact(V.first_json_text(ij, iv, "$.input", "$.arguments", "$.params")),
-        "blocks": F.when(item & (itype == "tool_result"), V.text_blocks(V.sub(iv, "$.content")))
-        .when(item, V.item_blocks(iv)).otherwise(V.text_blocks(V.sub(v, "$.message.content"))),
+        "blocks": F.when(item & (itype == "tool_result"), V.text_blocks("iv", "$.content"))
+        .when(item, V.item_blocks("iv")).otherwise(V.text_blocks("v", "$.message.content")),
     })
     c = F.col
     head = F.coalesce(F.get("blocks", F.lit(0)), F.lit(""))

@@ -11,7 +11,7 @@ from .common import by_class, chunks, explode_items, or_tool, result_preview, te
 
 def normalize(rows: DataFrame) -> DataFrame:
     v = F.col("v")
-    rows = rows.withColumns({"ts_ms": times.guess_ts(v), "typ": V.text(v, "$.type"),
+    rows = rows.withColumns({"ts_ms": times.guess_ts("v"), "typ": V.text(v, "$.type"),
                              "ptype": F.lower(V.text(v, "$.payload.type"))})
     response = F.col("typ") == "response_item"
     message = response & (F.col("ptype") == "message")
@@ -26,33 +26,34 @@ def normalize(rows: DataFrame) -> DataFrame:
         "call": V.first_text(v, "$.payload.call_id", "$.payload.id"),
         "tname": V.first_text(v, "$.payload.name", "$.payload.function", "$.payload.tool_name"),
         "itype": V.first_filled(F.lower(V.text(iv, "$.type")), c("ptype")),
-        "blocks": F.when(item, V.item_blocks(iv)).otherwise(V.text_blocks(V.sub(v, "$.payload.content"))),
+        "blocks": F.when(item, V.item_blocks("iv")).otherwise(V.text_blocks("v", "$.payload.content")),
     })
+    is_run, thinks = c("typ").startswith("item."), c("ptype").isin("reasoning", "thinking")
     df = df.withColumns({
         "iname": or_tool(V.first_filled(V.first_text(iv, "$.name", "$.function"), c("tname"))),
         "iuse": V.first_filled(V.first_text(iv, "$.id", "$.call_id", "$.tool_use_id"), c("call")),
         "ires": V.first_filled(V.first_text(iv, "$.tool_use_id", "$.call_id", "$.id"), c("call")),
         "iresname": V.first_filled(V.first_text(iv, "$.name"), c("tname")),
-        "iargs": V.first_filled(X.compact(V.first_json_text(ij, iv, "$.arguments", "$.input", "$.params")),
-                                pj("arguments", "input")),
-        "ireply": V.first_filled(X.compact(V.first_json_text(ij, iv, "$.output", "$.content", "$.result")),
-                                 pj("output", "result")),
+        "iargs": F.when(item, V.first_filled(X.compact(V.first_json_text(ij, iv, "$.arguments", "$.input", "$.params")),
+                                pj("arguments", "input"))).otherwise(""),
+        "ireply": F.when(item, V.first_filled(X.compact(V.first_json_text(ij, iv, "$.output", "$.content", "$.result")),
+                                 pj("output", "result"))).otherwise(""),
         "pcall": F.when(c("ptype").startswith("custom_"), c("call"))
         .otherwise(V.first_filled(c("call"), V.text(v, "$.payload.tool_use_id"))),
         "pname": or_tool(V.first_filled(c("tname"), F.when(c("ptype") == "custom_tool_call", V.text(v, "$.payload.tool")))),
-        "pargs": F.when(c("ptype") == "custom_tool_call", pj("input", "arguments", "params"))
+        "pargs": F.when(~response | message, "").when(c("ptype") == "custom_tool_call", pj("input", "arguments", "params"))
         .otherwise(pj("arguments", "input", "params")),
-        "preply": pj("output", "result", "content"),
-        "ithink": V.first_filled(tools.reasoning_text(iv, ij, "$.text", "$.content"),
-                                 tools.reasoning_text(v, raw, "$.payload.summary")),
-        "pthink": tools.reasoning_text(v, raw, "$.payload.summary", "$.payload.text", "$.payload.content"),
-        "command": X.compact(V.first_json_text(raw, v, "$.item.command", "$.item.args", "$.item.arguments")),
-        "output": X.compact(V.first_json_text(raw, v, "$.item.aggregated_output", "$.item.output", "$.item.result")),
+        "preply": F.when(response & ~message, pj("output", "result", "content")).otherwise(""),
+        "ithink": F.when(item & c("itype").isin("reasoning", "thinking"), V.first_filled(tools.reasoning_text("iv", ij, "$.text", "$.content"),
+                                 tools.reasoning_text("v", raw, "$.payload.summary"))).otherwise(""),
+        "pthink": F.when(response & thinks, tools.reasoning_text("v", raw, "$.payload.summary", "$.payload.text", "$.payload.content")).otherwise(""),
+        "command": F.when(is_run, X.compact(V.first_json_text(raw, v, "$.item.command", "$.item.args", "$.item.arguments"))).otherwise(""),
+        "output": F.when(is_run, X.compact(V.first_json_text(raw, v, "$.item.aggregated_output", "$.item.output", "$.item.result"))).otherwise(""),
         "item_type": V.text(v, "$.item.type"), "item_id": V.first_text(v, "$.item.id", "$.item.call_id", "$.item.callId"),
         "compacted": X.strip(V.text(v, "$.payload.message")),
         "replaced": F.size(V.items(v, "$.payload.replacement_history")),
-        "detail": X.compact(V.first_json_text(raw, v, "$.payload.message", "$.payload.info", "$.payload.summary",
-                                              "$.payload.reason", "$.payload.details")),
+        "detail": F.when(c("typ") == "event_msg", X.compact(V.first_json_text(raw, v, "$.payload.message", "$.payload.info", "$.payload.summary",
+                                              "$.payload.reason", "$.payload.details"))).otherwise(""),
     })
     shell = c("item_type") == "command_execution"
     df = df.withColumns({

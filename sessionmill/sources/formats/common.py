@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions import text as X
 from ...functions import variants as V
-from ...operators.ordered import running
+from ...operators.ordered import running, staged
 from ...schemas import EVENT_COLUMNS
 
 # seed fields of an event; what a class does not set is derived in ``to_events``
@@ -59,8 +59,10 @@ def to_events(seeds: DataFrame, session_id: tuple[str, Column] | None = None, fa
               inherit: bool = True) -> DataFrame:
     """Event rows of the seeds (NO01), with running index, carried session id (NO10) and inherited tool type (NO11).
 
+    The seeds are staged: the logs are parsed once, and the ordered passes read narrow columns of the staged table.
     ``session_id``: how the ``sid`` column is carried, ``first`` or ``last``; without it ``sid`` is taken as is.
     """
+    seeds = staged(seeds)
     specs: dict = {"index": ("count", None)}
     if session_id:
         specs["carried"] = (session_id[0], F.nullif(session_id[1], F.lit("")))

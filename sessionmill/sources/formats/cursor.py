@@ -56,8 +56,8 @@ def normalize_jsonl(line_rows: DataFrame) -> DataFrame:
     rows = json_rows(line_rows)
     v = F.col("v")
     role = F.lower(X.strip(V.text(v, "$.role")))
-    content = F.coalesce(V.sub(v, "$.message.content"), V.sub(v, "$.content"))
-    blocks = V.text_blocks(content)
+    rows = rows.withColumn("content", F.coalesce(V.sub(v, "$.message.content"), V.sub(v, "$.content")))
+    blocks = V.text_blocks("content")
     fallback = V.first_filled(X.strip(V.text(v, "$.message.text")), X.strip(V.text(v, "$.text")))
     df = rows.withColumns({"role": role, "blocks": F.when(F.size(blocks) > 0, blocks).when(fallback != "", F.array(fallback))
                           .otherwise(F.array().cast("array<string>")), "item_no": F.lit(0).cast("bigint"),

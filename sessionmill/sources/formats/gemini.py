@@ -33,12 +33,14 @@ def _results(call: Column, base: Column, no: Column) -> Column:
     return F.when(F.size(records) > 0, some).otherwise(F.array(_seed("result_text", base + 1, call, no=no)))
 
 
-def row_blocks(v: Column) -> Column:
-    """Distinct texts of a row in first-seen order (ST06): strings, item texts, part texts, nested blocks."""
+def row_blocks() -> Column:
+    """Distinct texts of the row in column ``v`` in first-seen order (ST06): strings, item texts, part texts, nested blocks."""
+    v = F.col("v")
+
     def content(path: str) -> Column:
         per_item = F.flatten(F.transform(V.items(v, path), lambda i: F.concat(
             F.array(V.text(i, "$.text")), F.transform(V.items(i, "$.parts"), lambda p: V.text(p, "$.text")))))
-        return F.concat(per_item, V.text_blocks(V.sub(v, path)))
+        return F.concat(per_item, V.text_blocks("v", path))
     own = F.array(*[F.when(V.is_string(V.sub(v, p)), V.text(v, p)).otherwise("") for p in ("$.message", "$.content", "$.text")])
     every = F.transform(F.concat(own, content("$.content"), content("$.message.content")), X.strip)
     return F.array_distinct(F.filter(every, lambda t: t != ""))
@@ -52,9 +54,9 @@ def normalize(rows: DataFrame) -> DataFrame:
     in_content = F.flatten(F.transform(V.items(v, "$.content"), lambda i: V.items(i, "$.parts")))
     parts = F.when(F.size(in_content) > 0, in_content).otherwise(V.items(v, "$.parts"))
     df = rows.withColumns({
-        "ts_ms": times.guess_ts(v), "typ": typ, "doc_id": doc_id, "parts": parts,
-        "calls": V.items(v, "$.toolCalls"), "row_texts": row_blocks(v),
-        "thoughts": F.filter(F.transform(V.text_blocks(V.sub(v, "$.thoughts")), X.strip), lambda t: t != ""),
+        "ts_ms": times.guess_ts("v"), "typ": typ, "doc_id": doc_id, "parts": parts,
+        "calls": V.items(v, "$.toolCalls"), "row_texts": row_blocks(),
+        "thoughts": F.filter(F.transform(V.text_blocks("v", "$.thoughts"), X.strip), lambda t: t != ""),
         "rid": V.first_text(v, "$.id", "$.messageId", "$.message_id")})
     is_text = lambda p: ~V.has_keys(p, "$.functionCall") & ~V.has_keys(p, "$.functionResponse") & (X.strip(V.text(p, "$.text")) != "")
     spoken = F.exists("parts", is_text)
@@ -100,8 +102,8 @@ def normalize(rows: DataFrame) -> DataFrame:
         "err": F.when(what == "response", V.is_set(iv, "$.functionResponse.response.error") | V.is_set(iv, "$.functionResponse.error"))
         .when(what == "result", tools.status_is_error(status) | V.is_set(rv, "$.error") | V.is_set(rv, "$.response.error"))
         .otherwise(tools.status_is_error(status)),
-        "own_ts": F.when(what.isin("use", "result_text"), times.guess_ts(iv))
-        .when(what == "result", F.coalesce(times.guess_ts(rv), times.guess_ts(iv))),
+        "own_ts": F.when(what.isin("use", "result_text"), times.guess_ts("iv"))
+        .when(what == "result", F.coalesce(times.guess_ts("rv"), times.guess_ts("iv"))),
         "said": F.when(what == "part", X.strip(V.text(iv, "$.text"))).otherwise(X.compact(F.array_join("thoughts", "\n"))),
         "sid": F.when(c("doc_id") != "", c("doc_id")).otherwise("")})
     df = df.filter(~((what == "result_text") & (c("res") == "")))

@@ -12,18 +12,18 @@ from .common import by_class, chunks, explode_items, or_tool, result_preview, te
 
 def normalize(rows: DataFrame) -> DataFrame:
     v, c = F.col("v"), F.col
-    rows = rows.withColumns({"ts_ms": times.guess_ts(v), "typ": F.lower(X.strip(V.text(v, "$.type"))),
+    rows = rows.withColumns({"ts_ms": times.guess_ts("v"), "typ": F.lower(X.strip(V.text(v, "$.type"))),
                              "role": F.lower(X.strip(V.text(v, "$.message.role")))})
     message = c("typ") == "message"
     tool_reply = message & (c("role") == "toolresult")
     df = explode_items(rows, "$.message.content", message & ~tool_reply)
     iv, ij, raw, item = c("iv"), c("ij"), c("raw_json"), c("has_item")
-    msg_ts = F.coalesce(times.guess_ts(V.sub(v, "$.message")), c("ts_ms"))
+    msg_ts = F.coalesce(times.guess_ts("v", "$.message"), c("ts_ms"))
     df = df.withColumns({
         "sid": F.when(c("typ") == "session", X.strip(V.text(v, "$.id"))).otherwise(""),
         "parent": V.first_text(v, "$.parentId", "$.parent_id"), "mts": F.when(message, msg_ts),
         "itype": F.lower(X.strip(V.text(iv, "$.type"))), "own_id": session_id_suffix(c("path")),
-        "blocks": F.when(item, V.item_blocks(iv)).otherwise(V.text_blocks(V.sub(v, "$.message.content"))),
+        "blocks": F.when(item, V.item_blocks("iv")).otherwise(V.text_blocks("v", "$.message.content")),
         "call": V.first_text(v, "$.message.toolCallId", "$.message.tool_call_id"),
         "tname": V.first_text(v, "$.message.toolName", "$.message.tool_name"),
         "iname": or_tool(V.first_text(iv, "$.name", "$.toolName", "$.tool_name")),

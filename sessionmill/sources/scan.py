@@ -26,14 +26,15 @@ def _path(c: Column) -> Column:
     return F.url_decode(F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "^file:(?://)?(?=/)", ""))
 
 
-_FILE = [_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
-         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms")]
+def _file_columns() -> list[Column]:
+    return [_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
+            F.unix_millis("_metadata.file_modification_time").alias("mtime_ms")]
 
 
 def log_files(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None) -> DataFrame:
     """One row per file from the listing alone, contents are not read (SC07)."""
     r = _reader(spark, **({"pathGlobFilter": glob} if glob else {})).format("binaryFile")
-    return r.load(paths).select(*_FILE).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+    return r.load(paths).select(*_file_columns()).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
 
 
 def lines(spark: SparkSession, paths: list[str], host: str = "") -> DataFrame:
@@ -43,7 +44,7 @@ def lines(spark: SparkSession, paths: list[str], host: str = "") -> DataFrame:
     the splits before, which are folded to one row per split.
     """
     raw = _reader(spark, lineSep="\n").text(paths).select(
-        *_FILE, F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"),
+        *_file_columns(), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"),
         F.monotonically_increasing_id().alias("pos"))
     placed = running(raw, ["path"], "pos", {"row_no": ("count", None), "past": ("sum", F.length("line") + 1)},
                      chunk=F.col("block"))
@@ -54,13 +55,13 @@ def lines(spark: SparkSession, paths: list[str], host: str = "") -> DataFrame:
 def json_rows(line_rows: DataFrame) -> DataFrame:
     """Lines that hold a JSON object, as text and variant; everything else is skipped (SC01)."""
     trimmed = line_rows.withColumn("raw_json", X.strip(F.col("line"))).drop("line").filter("raw_json <> ''")
-    return trimmed.withColumn("v", F.try_parse_json("raw_json")).filter(V.is_object(F.col("v")))
+    return trimmed.withColumn("v", F.try_parse_json("raw_json")).filter(F.col("raw_json").startswith("{") & F.col("v").isNotNull())
 
 
 def documents(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None) -> DataFrame:
     """Whole files as one text each. Larger ones than ``MAX_DOCUMENT_BYTES`` keep a null text (see ``ingest_errors``)."""
     opts = {"wholetext": "true", **({"pathGlobFilter": glob} if glob else {})}
-    df = _reader(spark, **opts).text(paths).select(*_FILE, "value")
+    df = _reader(spark, **opts).text(paths).select(*_file_columns(), "value")
     text = F.when(F.col("size_bytes") <= MAX_DOCUMENT_BYTES, F.col("value"))
     return df.withColumn("trace_id", stable_id(F.col("path"), F.lit(host))).withColumn("text", text).drop("value")
 
@@ -111,7 +112,7 @@ def entities(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
     ``owner`` is the directory name (project, session or message id), ``key`` the file name without extension.
     """
-    docs = _reader(spark, wholetext="true", pathGlobFilter="*.json").text(f"{root}/storage/{kind}").select(*_FILE, "value")
+    docs = _reader(spark, wholetext="true", pathGlobFilter="*.json").text(f"{root}/storage/{kind}").select(*_file_columns(), "value")
     path = F.col("path")
     return (docs.select(X.basename_stem(path).alias("key"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("owner"),
                         "path", "size_bytes", "mtime_ms", F.col("value").alias("raw_json"),
@@ -177,7 +178,7 @@ def convention_globs(root: str, agent: str) -> tuple[str, ...]:
 
 
 def glob_regex(glob: str) -> str:
-    """Regular expression of a glob relative to a root."""
+    """Regular expression of a glob relative to a root, without anchors."""
     out, i = "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
@@ -186,20 +187,15 @@ def glob_regex(glob: str) -> str:
             out, i = out + "[^/]*", i + 1
         else:
             out, i = out + ("\\" + glob[i] if glob[i] in ".+()[]{}^$|?\\" else glob[i]), i + 1
-    return f"^{out}$"
+    return out
 
 
 def under_root(path: Column, root: str, include: tuple[str, ...], exclude: tuple[str, ...] = (), depth: int = 8) -> Column:
-    """The path is below the root, wanted, not excluded and not too deep."""
-    base = root.rstrip("/") + "/"
-    rel = F.substring(path, len(base) + 1, 4096)
-    ok = path.startswith(base) & (F.size(F.split(rel, "/")) <= depth)
-    hit = F.lit(False)
-    for g in include:
-        hit = hit | rel.rlike(glob_regex(g))
-    for g in exclude:
-        hit = hit & ~rel.rlike(glob_regex(g))
-    return ok & hit
+    """The path is below the root, wanted, not excluded and not too deep: one expression match per path."""
+    base = glob_regex(root.rstrip("/") + "/")
+    any_of = lambda globs: "(?:" + "|".join(glob_regex(g) for g in globs) + ")"
+    unwanted = f"(?!{any_of(exclude)}$)" if exclude else ""
+    return path.rlike(f"^{base}(?=(?:[^/]+/){{0,{depth - 1}}}[^/]+$){unwanted}{any_of(include)}$")
 
 
 def is_compaction_side_chain(path: Column) -> Column:
@@ -233,9 +229,10 @@ def discover(files: DataFrame, directories=DEFAULT_DIRECTORIES, profiles=DEFAULT
         for r in p.roots:
             hits.append(F.when(under_root(path, full(r), p.include, p.exclude, p.max_depth),
                                _source(p.name, p.agent, None, 1000 + i)))
-    best = files.withColumn("src", F.coalesce(*hits)).filter("src IS NOT NULL")
+    best = files.withColumn("src", F.coalesce(*hits))
     cols = [c for c in files.columns if c != "trace_id"]
-    one = best.groupBy("trace_id").agg(F.min_by(F.struct(*cols, "src"), F.struct(F.col("src.ord"), path)).alias("f"))
+    place = F.when(F.col("src").isNotNull(), F.struct(F.col("src.ord"), path))
+    one = best.groupBy("trace_id").agg(F.min_by(F.struct(*cols, "src"), place).alias("f")).filter("f IS NOT NULL")
     return one.select("trace_id", *[F.col(f"f.{c}").alias(c) for c in cols], "f.src.source_profile",
                       "f.src.agent_hint", "f.src.parser_hint")
 
