@@ -118,23 +118,3 @@ class FormatRegistry:
         if hint is None:
             return best
         return F.when(hint.isin(*[f.name for f in self.formats]), hint).otherwise(best)
-
-    def normalize_lines(self, line_rows: DataFrame, chosen: DataFrame) -> DataFrame:
-        """Events of line-based files; ``chosen``: (trace_id, format, agent_hint). Each format sees its own files only.
-
-        The catch-all keeps the source's agent, every other format sets its own.
-        """
-        from ..scan import json_rows
-        out = None
-        for f in self.formats:
-            if f.reads not in ("rows", "lines", "documents") or f.normalize is None:
-                continue
-            ids = chosen.filter(F.col("format") == f.name).select("trace_id")
-            own = line_rows.join(ids, "trace_id", "left_semi")
-            ev = f.normalize(own if f.reads == "lines" else json_rows(own))
-            ev = ev.select(*[c for c in ev.columns if c not in ("mtime_ms", "path", "row_no", "event_model")], F.lit(f.name).alias("format"))
-            out = ev if out is None else out.unionByName(ev)
-        agents = F.create_map(*[x for f in self.formats for x in (F.lit(f.name), F.lit(f.agent))])
-        hints = chosen.select("trace_id", F.col("agent_hint"))
-        agent = F.when(F.col("format") == "generic", F.coalesce("agent_hint", F.lit("unknown"))).otherwise(agents[F.col("format")])
-        return out.join(hints, "trace_id", "left").withColumn("agent", agent).drop("agent_hint")
