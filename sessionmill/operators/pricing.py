@@ -1,13 +1,14 @@
 """Rates, context windows and the price of usage rows (JN03, JN04, JN16, AG15)."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ids import pricing_model
 from ..params import DEFAULT_CONTEXT_WINDOW, DEFAULT_RATES, DEFAULT_WINDOWS, RATE_COLUMNS, CostParams
 
 _RATE = "decimal(12,6)"
-_COST = "decimal(38,12)"
 
 
 def _sql_values(rows: tuple) -> str:
@@ -48,7 +49,25 @@ def overlay(defaults: DataFrame, user: DataFrame, key: str = "model", order: str
         place.alias(order), F.coalesce(f"u.{key}", f"d.{key}").alias(key), *pick)
 
 
+_PARTS = ("input_rate", "cached_read_rate", "cached_create_5m_rate", "cached_create_1h_rate", "cached_create_rate",
+          "output_rate", "reasoning_rate")
+
+
+def _compiled(rates: DataFrame) -> DataFrame:
+    """Adds the two price sets of a rate, ``base`` and ``long``, in whole millionths and with all fallbacks applied."""
+    c = F.col
+    create = {"": c("cached_create_rate"), "long_": F.coalesce("long_cached_create_rate", "cached_create_rate")}
+
+    def price(name: str, tier: str) -> Column:
+        own = F.coalesce(f"long_{name}", name) if tier else c(name)
+        value = F.coalesce(own, create[tier]) if name.startswith("cached_create_") else own
+        return (F.coalesce(value, F.lit(0)) * 1_000_000).cast("bigint").alias(name)
+
+    return rates.withColumns({"base": F.struct(*[price(n, "") for n in _PARTS]), "long": F.struct(*[price(n, "long_") for n in _PARTS])})
+
+
 def _first_per_model(table: DataFrame, order: str) -> DataFrame:
+    table = _compiled(table)
     cols = [c for c in table.columns if c != "model"]
     return table.groupBy("model").agg(F.min_by(F.struct(*cols), order).alias("hit"))
 
@@ -65,21 +84,29 @@ def with_rates(usage: DataFrame, rates: DataFrame, model: str = "model") -> Data
             .drop("__k1", "__k2", "__exact", "__norm"))
 
 
-def with_context_window(usage: DataFrame, windows: DataFrame, model: str = "model",
-                        default: int = DEFAULT_CONTEXT_WINDOW) -> DataFrame:
-    """Adds ``context_window``: window table (exact, normalised), then the rate's own, then the default.
+def model_facts(rates: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per model known to either table: its rate struct and its window. As small as the two tables."""
+    w = windows.filter("window_tokens > 0").groupBy("model").agg(F.first("window_tokens").alias("window"))
+    return _first_per_model(rates, "ord").withColumnRenamed("hit", "rate").join(w, "model", "full")
+
+
+def with_model_facts(usage: DataFrame, rates: DataFrame, windows: DataFrame, model: str = "model",
+                     default: int = DEFAULT_CONTEXT_WINDOW) -> DataFrame:
+    """Adds ``rate`` and ``context_window``: by exact model id, else by the normalised id (JN03, JN04).
 
-    Expects the ``rate`` struct of ``with_rates``.
+    The id is normalised only where the exact one leaves something open. Window: window table, then the rate's own,
+    then the default.
     """
-    table = windows.filter("window_tokens > 0").groupBy("model").agg(F.first("window_tokens").alias("w"))
-    exact = table.select(F.col("model").alias("__w1"), F.col("w").alias("__we"))
-    norm = table.select(F.col("model").alias("__w2"), F.col("w").alias("__wn"))
+    facts = model_facts(rates, windows)
     raw = F.trim(F.col(model))
+    exact = facts.select(F.col("model").alias("__k1"), F.col("rate").alias("__r1"), F.col("window").alias("__w1"))
+    norm = facts.select(F.col("model").alias("__k2"), F.col("rate").alias("__r2"), F.col("window").alias("__w2"))
+    df = usage.join(exact, raw == F.col("__k1"), "left")
+    df = df.withColumn("__norm", F.when(F.col("__r1").isNull() | F.col("__w1").isNull(), pricing_model(raw)))
+    df = df.join(norm, F.col("__norm") == F.col("__k2"), "left").withColumn("rate", F.coalesce("__r1", "__r2"))
     own = F.when(F.col("rate.context_window_tokens") > 0, F.col("rate.context_window_tokens"))
-    return (usage.join(exact, raw == F.col("__w1"), "left")
-            .join(norm, pricing_model(raw) == F.col("__w2"), "left")
-            .withColumn("context_window", F.coalesce("__we", "__wn", own, F.lit(max(0, default)).cast("bigint")))
-            .drop("__w1", "__w2", "__we", "__wn"))
+    window = F.coalesce("__w1", "__w2", own, F.lit(max(0, default)).cast("bigint"))
+    return df.withColumn("context_window", window).drop("__k1", "__k2", "__r1", "__r2", "__w1", "__w2", "__norm")
 
 
 def usage_cost(prompt: Column, inp: Column, read: Column, create: Column, create_5m: Column, create_1h: Column,
@@ -87,24 +114,21 @@ def usage_cost(prompt: Column, inp: Column, read: Column, create: Column, create
     """Price of one usage row from its ``rate`` struct, rounded to micro-dollars; null when not priced."""
     if not params.enabled:
         return F.lit(None).cast("decimal(18,6)")
-    r = lambda name: F.col(f"rate.{name}")
-    long = F.coalesce((r("long_threshold") > 0) & (prompt > r("long_threshold")), F.lit(False))
-
-    def tier(name: str) -> Column:
-        return F.when(long, F.coalesce(r(f"long_{name}"), r(name))).otherwise(r(name))
-
-    def part(tokens: Column, rate: Column) -> Column:
-        positive = F.greatest(tokens, F.lit(0)).cast("decimal(18,0)")
-        return positive * F.coalesce(rate, F.lit(0)).cast(_RATE)
-
-    base = tier("cached_create_rate")
-    rest = F.greatest(F.greatest(create, F.lit(0)) - F.greatest(create_5m, F.lit(0)) - F.greatest(create_1h, F.lit(0)),
-                      F.lit(0))
-    per_million = (part(inp, tier("input_rate")) + part(read, tier("cached_read_rate"))
-                   + part(create_5m, F.coalesce(tier("cached_create_5m_rate"), base))
-                   + part(create_1h, F.coalesce(tier("cached_create_1h_rate"), base))
-                   + part(rest, base) + part(out, tier("output_rate")) + part(reasoning, tier("reasoning_rate")))
-    cost = F.round(per_million * F.lit("0.000001").cast("decimal(7,6)"), 6).cast("decimal(18,6)")
+    zero = F.lit(0).cast("bigint")
+    long = F.coalesce((F.col("rate.long_threshold") > 0) & (prompt > F.col("rate.long_threshold")), F.lit(False))
+    pos = [F.greatest(t.cast("bigint"), zero) for t in (inp, read, create_5m, create_1h, create, out, reasoning)]
+    pos[4] = F.greatest(pos[4] - pos[2] - pos[3], zero)
+    price = [F.when(long, F.col(f"rate.long.{n}")).otherwise(F.col(f"rate.base.{n}")) for n in _PARTS]
+
+    def total(typ: str) -> Column:
+        return reduce(lambda a, b: a + b, [t.cast(typ) * p.cast(typ) for t, p in zip(pos, price)])
+
+    # tokens times millionths of a rate stay in 64 bits for any usual row; wide decimals take the others
+    usual = F.greatest(*pos) <= 1_000_000_000
+    micro = F.lit("0.000001").cast("decimal(7,6)")
+    narrow = F.call_function("div", total("bigint") + 500_000, F.lit(1_000_000).cast("bigint")).cast("decimal(18,0)") * micro
+    wide = F.round(total("decimal(19,0)") * F.lit("0.000000000001").cast("decimal(12,12)"), 6)
+    cost = F.when(usual, narrow.cast("decimal(18,6)")).otherwise(wide.cast("decimal(18,6)"))
     unknown = F.lit(0).cast("decimal(18,6)") if params.unknown_model_policy == "zero" else \
         F.lit(None).cast("decimal(18,6)")
     return F.when(F.col("rate").isNull(), unknown).otherwise(cost)

@@ -206,7 +206,7 @@ def estimated_usage(events: DataFrame) -> DataFrame:
 def priced(usage: DataFrame, rates: DataFrame, windows: DataFrame, params: CostParams = CostParams()) -> DataFrame:
     """Adds ``cost_usd`` (null when unknown) and ``context_pct`` to every usage row."""
     c = F.col
-    df = pricing.with_context_window(pricing.with_rates(usage, rates), windows)
+    df = pricing.with_model_facts(usage, rates, windows)
     cost = pricing.usage_cost(c("prompt_tokens"), c("billable_input"), c("cached_read_tokens"),
                               c("cached_create_tokens"), c("create_5m"), c("create_1h"), c("output_tokens"),
                               c("reasoning_output_tokens"), params)

@@ -27,7 +27,8 @@ BASE = (EVENTS, SESS, SEG, PRICED)
 
 
 class Report:
-    """Relations of one report over the event sessions, built lazily and shared by its queries."""
+    """Relations of one report over the event sessions. An ingest stores sessions, segments and usage points as tables;
+    the queries derive them from the driver's events in the same plan."""
 
     def __init__(self, spark, sf, plan):
         self.events, self.sessions = D.events(spark, sf), D.sessions(spark, sf)
@@ -61,8 +62,8 @@ def week_bins(spark, sf):
     return _bins_out(Report(spark, sf, WEEK).bins)
 
 
-# sessions of user 0-3 only, so that the day has breaks: the break rule is what is tested
-_FEW = "sessf AS (SELECT * FROM sess), quiet AS (SELECT *, CASE WHEN bin % 48 < 20 THEN 0 ELSE active_sessions END AS n FROM bins)"
+# part of every four hours is emptied, so that breaks and idle runs occur in the dense test data
+_FEW = "quiet AS (SELECT *, CASE WHEN bin % 48 < 20 THEN 0 ELSE active_sessions END AS n FROM bins)"
 _BREAKS = """brk AS (SELECT *, n = 0 AND sum(CASE WHEN n = 0 THEN end_ms - start_ms ELSE 0 END)
   OVER (PARTITION BY day, run) >= 600000 AS is_break FROM (SELECT *, sum(CASE WHEN n = 0 THEN 0 ELSE 1 END)
   OVER (PARTITION BY day ORDER BY bin) AS run FROM quiet))"""

@@ -23,8 +23,17 @@ NOW_MS = 1_706_659_200_000  # 2024-01-31, after the last event
 WAIT_TEXT = "Would you like me to continue?"
 
 
+_KEYS = {"events": ["event_id"], "documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables. A table of fewer splits than there are cores is spread over the cores by its key;
+    a table of any real size has more splits and is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *_KEYS[name])
+    return df
 
 
 def _pick(values: tuple[str, ...], i: Column) -> Column:
