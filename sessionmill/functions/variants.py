@@ -7,29 +7,57 @@ from pyspark.sql import Column, functions as F
 _FALSY = ("false", "0", "0.0", "-0")
 
 
+# columns that hold rows, items and their JSON texts in the format jobs; expressions on them are stated as SQL text,
+# which builds a large job's plan many times faster than one call per operator
+_NAMED = frozenset(("v", "iv", "rv", "mv", "pv", "m", "ij", "pj", "mj", "raw_json"))
+
+
+def _named(c: Column) -> str | None:
+    name = c._jc.toString()
+    return name if name in _NAMED else None
+
+
+def _is_set_sql(x: str, path: str) -> str:
+    s = f"try_variant_get({x}, '{path}', 'string')"
+    falsy = ", ".join(f"'{f}'" for f in _FALSY)
+    return (f"coalesce({s} <> '' AND ({s} NOT IN ({falsy}) OR schema_of_variant(try_variant_get({x}, '{path}', 'variant')) = 'STRING'), "
+            f"false)")
+
+
 def sub(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
 def text(v: Column, path: str = "$") -> Column:
     """String form of a value, '' when missing or null (SF01)."""
+    n = _named(v)
+    if n:
+        return F.expr(f"coalesce(try_variant_get({n}, '{path}', 'string'), '')")
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
 def is_set(v: Column, path: str) -> Column:
     """True for any value but a missing, null, false, zero or empty one."""
+    n = _named(v)
+    if n:
+        return F.expr(_is_set_sql(n, path))
     s = F.try_variant_get(v, path, "string")
     return F.coalesce((s != "") & (~s.isin(*_FALSY) | is_string(sub(v, path))), F.lit(False))
 
 
 def first_text(v: Column, *paths: str) -> Column:
     """String form of the first set value among the paths, '' if none is set."""
+    n = _named(v)
+    if n:
+        some = ", ".join(f"CASE WHEN {_is_set_sql(n, p)} THEN try_variant_get({n}, '{p}', 'string') END" for p in paths)
+        return F.expr(f"coalesce({some}, '')")
     return F.coalesce(*[F.when(is_set(v, p), text(v, p)) for p in paths], F.lit(""))
 
 
 def first_filled(*cols: Column) -> Column:
     """First non-empty string among the columns, else ''."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
+    empty = F.lit("")
+    return F.coalesce(*[F.nullif(c, empty) for c in cols], empty)
 
 
 def kind_of(v: Column) -> Column:
@@ -77,6 +105,13 @@ def item_texts(raw_json: Column, path: str) -> Column:
 
 def first_json_text(raw_json: Column, v: Column, *paths: str) -> Column:
     """Like ``first_text`` but objects and arrays keep the key order of the log."""
+    n, j = _named(v), _named(raw_json)
+    if n and j:
+        get = lambda p: f"try_variant_get({n}, '{p}', 'string')"
+        some = ", ".join(f"CASE WHEN {_is_set_sql(n, p)} THEN CASE WHEN {get(p)} RLIKE r'^[\\[{{]' THEN get_json_object({j}, '{p}') "
+                         f"ELSE {get(p)} END END" for p in paths)
+        return F.expr(f"coalesce({some}, '')")
+
     def one(p: str) -> Column:
         s = text(v, p)
         return F.when(is_set(v, p), F.when(s.rlike(r"^[\[{]"), F.get_json_object(raw_json, p)).otherwise(s))
