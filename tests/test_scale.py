@@ -115,7 +115,7 @@ def test_registry_takes_new_formats(spark):
 
 def test_discovery_rules(spark):
     assert scan.convention_globs("~/.gemini/tmp", "gemini") == ("**/chats/session-*.json", "**/*.jsonl")
-    paths = ["/h/.claude/projects/p/a.jsonl", "/h/.claude/projects/p/subagents/x/agent-acompact-1.jsonl", "/h/.claude/history.jsonl",
+    paths = ["/h/.claude/projects/p/a.jsonl", "/h/.claude/projects/p/subagents/agent-acompact-1.jsonl", "/h/.claude/history.jsonl",
              "/h/.local/share/opencode/storage/session/p/s1.json", "/h/.local/share/opencode/storage/session_diff/s1.json",
              "/h/.local/share/opencode/storage/session_diff/s2.json", "/h/x.jsonl"]
     df = spark.createDataFrame([(p, str(i), 0) for i, p in enumerate(paths)], "path string, trace_id string, mtime_ms bigint")

@@ -33,7 +33,7 @@ def test_growing_file_continues_numbers(spark, tmp_path):
     put(2, '{"type":"d"}\n')
     drain(stream(), sink, tmp_path / "state")
     ev = sink.events().orderBy("index").collect()
-    assert [(e.index, e.raw_type) for e in ev] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    assert [(e["index"], e.raw_type) for e in ev] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
     assert [e.offset for e in ev] == [0, 13, 26, 39] and ev[2].event_id == f"{ev[2].trace_id}:3:26"
 
 
