@@ -460,10 +460,13 @@ def ingest_errors(spark, sf):
     return scan.ingest_errors(f, scan.json_rows(lines.select("trace_id", "line"))).select("path", "parse_error")
 
 
-@query(q("""SELECT trace_id, row_no, 'x' || k AS text FROM (SELECT trace_id, k, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS row_no FROM ev)""", EVENTS))
+@query(q("""SELECT trace_id, row_no, 'x' || k AS text FROM (SELECT trace_id || '/' || seq // 1000 AS trace_id, k, row_number() OVER (PARTITION BY trace_id, seq // 1000
+  ORDER BY seq) - 1 AS row_no FROM ev)""", EVENTS))
 def document_scan(spark, sf):
-    """One JSON document per session, unpacked into its message rows. Documents are files of one session each."""
-    docs = D.events(spark, sf).groupBy("trace_id").agg(F.sort_array(F.collect_list(_S("index", "k"))).alias("a"))
+    """JSON documents unpacked into their message rows; a document holds at most a thousand messages of a session."""
+    part = F.floor(F.col("index") / 1000).cast("bigint")
+    docs = D.events(spark, sf).groupBy(F.concat_ws("/", "trace_id", part).alias("trace_id")).agg(
+        F.sort_array(F.collect_list(_S("index", "k"))).alias("a"))
     body = F.to_json(_S(F.lit("d").alias("sessionId"), F.transform("a", lambda x: _S(F.concat(F.lit("x"), x["k"]).alias("text"))).alias("messages")))
     docs = docs.select("trace_id", F.lit("/d.json").alias("path"), F.lit(1).cast("bigint").alias("size_bytes"), F.lit(0).cast("bigint").alias("mtime_ms"), body.alias("text"))
     return scan.document_rows(docs).select("trace_id", "row_no", V.text(F.col("v"), "$.text").alias("text"))
