@@ -5,22 +5,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, secrets, simhash, token_counts, token_files
+from . import fingerprints, language_id, packing, secrets, sharding, simhash, token_counts, token_files, vector_dedup, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    """Register a query, with the SQL that must give the same rows where SQL can express it."""
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+    return add
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query
+@query()
 def op1_secret_scans(spark, sf_dir):
     found = secrets.find_secrets(documents(spark, sf_dir), ["doc_id"])
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
@@ -28,23 +33,85 @@ def op1_secret_scans(spark, sf_dir):
                         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"))
 
 
-@query
+# A paragraph's digest is 60 bits of its MD5; a sketch has 3 x 12 cells, and a digest's bits 0-19, 20-39, 40-59 choose one in each 12.
+@query("""
+WITH o AS (SELECT doc_id, coalesce(text, '') t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) nx,
+                  first_value(coalesce(text, '')) OVER (ORDER BY doc_id) f FROM documents),
+ e AS (SELECT doc_id, t, coalesce(nx, f) nx, length(t) n, left(t, length(t) - length(t) // 2) || left(coalesce(nx, f), length(t) // 2) ed FROM o),
+ lines AS (SELECT DISTINCT doc_id, side, ('0x' || left(md5(p), 15))::BIGINT k FROM (
+     SELECT doc_id, 'own' side, unnest(string_split(t, chr(10))) p FROM e UNION ALL
+     SELECT doc_id, 'edited', unnest(string_split(ed, chr(10))) FROM e UNION ALL
+     SELECT doc_id, 'next', unnest(string_split(nx, chr(10))) FROM e) WHERE p <> ''),
+ full_cells AS (SELECT doc_id, side, i, count(k) n, coalesce(bit_xor(k), 0) x, coalesce(bit_xor(k % 2147483647 * 1000003 % 4294967291), 0) c
+     FROM (SELECT doc_id FROM e) CROSS JOIN (VALUES ('own'), ('edited')) s(side) CROSS JOIN range(0, 36) r(i)
+     LEFT JOIN lines USING (doc_id, side) WHERE k IS NULL OR ((k >> (20 * (i // 12))::INT) & 1048575) % 12 = i % 12 GROUP BY ALL),
+ every AS (SELECT doc_id, side, i, coalesce(n, 0) n, coalesce(x, 0) x, coalesce(c, 0) c
+     FROM (SELECT doc_id FROM e) CROSS JOIN (VALUES ('own'), ('edited')) s(side) CROSS JOIN range(0, 36) r(i) LEFT JOIN full_cells USING (doc_id, side, i)),
+ prints AS (SELECT doc_id, side, string_agg(lower(to_hex(n)) || '.' || lower(to_hex(x)) || '.' || lower(to_hex(c)), ',' ORDER BY i) p FROM every GROUP BY ALL),
+ sets AS (SELECT doc_id, list(k) FILTER (side = 'own') a, list(k) FILTER (side = 'edited') b, list(k) FILTER (side = 'next') c FROM lines GROUP BY ALL),
+ sizes AS (SELECT e.doc_id, coalesce(a, []) a, coalesce(b, []) b, coalesce(c, []) c FROM e LEFT JOIN sets USING (doc_id))
+SELECT e.doc_id, n AS n_chars, sha256(ed) AS edited_sha256, p1.p AS fingerprint, p2.p AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE (2 * len(list_intersect(a, b)))::DOUBLE / (2 * (len(a) + len(b) - len(list_intersect(a, b))))::DOUBLE END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE (2 * len(list_intersect(a, c)))::DOUBLE / (2 * (len(a) + len(c) - len(list_intersect(a, c))))::DOUBLE END AS near_next
+FROM e JOIN sizes USING (doc_id) JOIN prints p1 ON p1.doc_id = e.doc_id AND p1.side = 'own' JOIN prints p2 ON p2.doc_id = e.doc_id AND p2.side = 'edited'
+""")
+def op2_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
+@query()
+def op3_sentencepiece(spark, sf_dir):
+    return viterbi.round_trip(documents(spark, sf_dir))
+
+
+@query()
 def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
-@query
+@query()
 def op5_packing(spark, sf_dir):
     packed = packing.pack_documents(documents(spark, sf_dir), ["doc_id"])
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query
+@query()
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
+@query("""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 15))::BIGINT AS h FROM documents),
+ l AS (SELECT doc_id, bytes, h, depth::INT AS depth, h >> (60 - depth)::INT AS up FROM d CROSS JOIN range(0, 61) t(depth)),
+ s AS (SELECT depth, up FROM l GROUP BY ALL HAVING sum(bytes) <= 2097152),
+ m AS (SELECT doc_id, bytes, h, min(depth) AS depth FROM l JOIN s USING (depth, up) GROUP BY ALL)
+SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS prefix, 0::BIGINT AS page FROM m
+""")
+def op7_sharding(spark, sf_dir):
+    return sharding.assign(documents(spark, sf_dir))
+
+
+@query()
 def op8_simhash_near_dedup(spark, sf_dir):
     out = simhash.with_components(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query
+@query()
 def op9_token_id_files(spark, sf_dir):
     return token_files.round_trip(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+     AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+ n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+""")
+def op10_embedding_near_dedup(spark, sf_dir):
+    return vector_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
