@@ -1,7 +1,7 @@
 """Token-id files with a minimal perfect hash index.
 
-A shard is one binary file: header (magic, version, documents, ids, index levels), the raw little-endian unsigned 32-bit ids, the
-documents in file order (key, first id, number of ids), and the index. The index is a minimal perfect hash: level by level, keys that
+A shard is one binary file: header (magic, documents, ids, bytes of an id, index levels, distinct keys), the raw little-endian unsigned
+ids, of two bytes where the vocabulary fits and four where it does not, the documents in file order (key, first id, number of ids), and the index. The index is a minimal perfect hash: level by level, keys that
 are alone in their slot of a bit array are settled, the rest go on to the next level; a key's number is the count of bits set before
 its own. At that number the index holds a fingerprint of the key and the place of its document, so a lookup takes a few hashes and
 one read of the payload, and an absent key is rejected by its fingerprint. Files of a table hold ascending keys; names carry the
@@ -27,7 +27,7 @@ END_ID = 1
 SHARD_IDS = 4 << 20       # ids after which a file is closed
 PARTITION_ROWS = 8_192    # rows to a range of keys; bounds no result
 MAGIC = b"IDSHARD1"
-HEADER = struct.Struct("<8sQQII")
+HEADER = struct.Struct("<8sQQIII")
 NO_KEY = -(1 << 63)       # the key under which a null key is filed; it cannot be looked up
 
 
@@ -72,8 +72,8 @@ class PerfectHash:
         return out
 
 
-def shard_bytes(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file. Equal keys stand next to each other; the index leads to the first of them."""
+def shard_bytes(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width: int = 4) -> bytes:
+    """One file with ids of ``width`` bytes. Equal keys stand next to each other; the index leads to the first of them."""
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("<u8") if len(keys) else np.zeros(0, "<u8")
     distinct, place = np.unique(keys, return_index=True)
     mph = PerfectHash.build(distinct)
@@ -81,7 +81,7 @@ def shard_bytes(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes
     prints, places = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
     prints[at] = (_mix(distinct, 0) >> np.uint64(32)).astype("<u4")
     places[at] = place
-    return b"".join([HEADER.pack(MAGIC, len(keys), len(ids), len(mph.sizes), len(distinct)), ids.astype("<u4").tobytes(),
+    return b"".join([HEADER.pack(MAGIC, len(keys), len(ids), width, len(mph.sizes), len(distinct)), ids.astype(f"<u{width}").tobytes(),
                      keys.astype("<i8").tobytes(), first.tobytes(), lengths.astype("<u4").tobytes(),
                      np.array(mph.sizes, "<u4").tobytes(), np.packbits(mph.bits).tobytes(), prints.tobytes(), places.tobytes()])
 
@@ -90,7 +90,7 @@ class Shard:
     """A file's bytes: ids of any document by its place or its key."""
 
     def __init__(self, data):
-        magic, docs, n_ids, n_levels, n_keys = HEADER.unpack_from(data, 0)
+        magic, docs, n_ids, width, n_levels, n_keys = HEADER.unpack_from(data, 0)
         if magic != MAGIC:
             raise ValueError("not a token-id shard")
         at = HEADER.size
@@ -100,14 +100,14 @@ class Shard:
             out = np.frombuffer(data, kind, n, at)
             at += out.nbytes
             return out
-        self.ids, self.keys, self.first, self.lengths = take("<u4", n_ids), take("<i8", docs), take("<u8", docs), take("<u4", docs)
+        self.ids, self.keys, self.first, self.lengths = take(f"<u{width}", n_ids), take("<i8", docs), take("<u8", docs), take("<u4", docs)
         sizes = take("<u4", n_levels).tolist()
         self.mph = PerfectHash(sizes, np.unpackbits(take("u1", -(-sum(sizes) // 8)), count=sum(sizes)).astype(bool))
         self.prints, self.places = take("<u4", n_keys), take("<u4", n_keys)
 
     def document(self, place: int) -> np.ndarray:
         a = int(self.first[place])
-        return self.ids[a:a + int(self.lengths[place])]
+        return self.ids[a:a + int(self.lengths[place])].astype("<u4")
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of the documents with this key; none if the key is absent."""
@@ -151,6 +151,7 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
         enc = encoder(path, False)
         store, root = _store(target)
         tail = np.array([end_id], "<u4")
+        width = 2 if max(enc.tok.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         keys, held, size, part, made = [], [], 0, 0, 0
 
         def close():
@@ -159,7 +160,7 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
             name = f"{part:06d}-{made:06d}.ids"
             temp = f"{root}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temp) as out:
-                out.write(shard_bytes(np.array(keys, np.int64), lengths, np.concatenate(held)))
+                out.write(shard_bytes(np.array(keys, np.int64), lengths, np.concatenate(held), width))
             store.move(temp, f"{root}/{name}")
             row = pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, keys[0], keys[-1], len(keys), int(lengths.sum()))],
                                              ["name", "first_key", "last_key", "n_docs", "n_ids"])
