@@ -216,5 +216,6 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
     """``docs`` without those the network rejects: no letter in the text, or no language with a pooled probability of ``least``."""
-    out = predict(docs, train(docs, key, text, lang), text, "__lang_pred", "__score")
-    return out.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    out = predict(rows, train(docs, key, text, lang), "text", "pred", "score")
+    return out.filter((F.col("pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

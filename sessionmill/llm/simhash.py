@@ -256,10 +256,11 @@ def with_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the smallest non-null key's, a null key's only if the group has no other,
     and of equal keys that with the smallest hash of all columns. All columns stay; an empty table gives no rows."""
-    hashed = docs.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows, member = _members(hashed, [key, "__h"], text, shingle, radius)
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__h").alias("h"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(*columns).alias("h"))
+    rows, member = _members(hashed, ["key", "h"], "text", shingle, radius)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "h")
     low = rows.groupBy("fp").agg(F.min(order).alias("low")).join(member, "fp").groupBy("root").agg(F.min("low").alias("low"))
-    kept = low.select(F.col("low.key").alias("__k"), F.col("low.h").alias("__h"))
-    found = hashed.join(kept, (hashed["__h"] == kept["__h"]) & hashed[key].eqNullSafe(kept["__k"]), "left_semi")
-    return found.dropDuplicates(["__h", key]).select(*docs.columns)
+    kept = low.select(F.col("low.key").alias("k"), F.col("low.h").alias("g"))
+    found = hashed.select("row", "key", "h").join(kept, (F.col("h") == F.col("g")) & F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    return found.dropDuplicates(["h", "key"]).select("row.*")

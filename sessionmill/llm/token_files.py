@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .chunks import default_tokenizer, encoder
-from .common import fresh_path, keep, slices, whole_text
+from .common import fresh_path, keep, make_folder, slices, whole_text
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -141,7 +141,7 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     """
     path = tokenizer or default_tokenizer(TOKENIZER)
     target = folder
-
+    make_folder(docs.sparkSession, folder)
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("k"), F.xxhash64(whole_text(text)).alias("h"),
                        F.rand(9).alias("r"), whole_text(text).alias("t"))
     parts = max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // PARTITION_ROWS))
@@ -166,7 +166,6 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
                                              ["name", "first_key", "last_key", "n_docs", "n_ids"])
             keys, held, size, made = [], [], 0, made + 1
             return row
-        store.create_dir(root, recursive=True)
         for b in slices(batches, "t"):
             part = b.column("p")[0].as_py()
             for k, ids in zip(b.column("k").to_pylist(), enc.texts(b.column("t"))):
