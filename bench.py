@@ -27,7 +27,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("sessionmill-bench").config("spark.sql.shuffle.partitions", cpus)
              .config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
-             .config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate())
+             .config("spark.sql.variant.allowDuplicateKeys", "true").config("sessionmill.tables.spread", cpus).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times, duck = {}, {}
     for name in names:

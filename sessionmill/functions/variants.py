@@ -1,7 +1,11 @@
 """Total accessors on schemaless JSON rows: nothing here ever fails a job on odd input."""
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
 
 # scalar texts that count as "nothing there" when picking the first usable of several fields, unless they are strings
 _FALSY = ("false", "0", "0.0", "-0")
@@ -151,14 +155,56 @@ def _blocks_sql(x: str, depth: int) -> str:
             f"CAST(array() AS array<string>))")
 
 
-def item_blocks(column: str, depth: int = 4) -> Column:
+_LEVELS = 4   # nesting that SQL unrolls; content nested deeper is finished by ``nested_blocks``
+
+
+def _plain(x) -> str:
+    """The string form of a JSON value as a variant gives it, objects in the order of the log."""
+    if isinstance(x, str):
+        return x
+    return "" if x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def nested_blocks(x) -> list[str]:
+    """Text blocks of content of any depth: a string, or a list of items."""
+    if isinstance(x, str):
+        return [x] if x else []
+    return [b for i in x for b in _blocks_of_item(i)] if isinstance(x, list) else []
+
+
+def _blocks_of_item(item) -> list[str]:
+    """A text item's text; for others the blocks of their content, or its string form if it has none."""
+    if not isinstance(item, dict):
+        return []
+    kind = item.get("type")
+    if kind in ("text", "input_text", "output_text"):
+        return [t] if (t := _plain(item.get("text"))) else []
+    inner = item.get("content") if kind == "tool_result" else next(
+        (item[f] for f in ("text", "content", "result", "output", "input") if _plain(item.get(f)) not in ("", "{}", "[]")), None)
+    return nested_blocks(inner) or ([t] if (t := _plain(inner)) not in ("", "[]") else [])
+
+
+def _deep(value: Column, arrays: int, item: bool) -> tuple[Column, Column]:
+    """Whether JSON text may nest more arrays than SQL unrolls, and the blocks of those rows alone, in batches."""
+    @pandas_udf("array<string>")
+    def blocks(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else nested_blocks([json.loads(r)] if item else json.loads(r)))
+    deep = F.coalesce(value.rlike(r"(?s)^[\[{](?:[^\[]*\[){%d}" % arrays), F.lit(False))
+    return deep, blocks(F.when(deep, value))
+
+
+def item_blocks(column: str) -> Column:
     """Text blocks of one content item held by a variant column."""
-    return F.expr(_item_blocks_sql(column, depth))
+    deep, blocks = _deep(F.expr(_get(column, "$")), _LEVELS, True)
+    return F.when(deep, blocks).otherwise(F.expr(_item_blocks_sql(column, _LEVELS)))
 
 
-def text_blocks(column: str, path: str = "$", depth: int = 4) -> Column:
+def text_blocks(column: str, path: str = "$") -> Column:
     """Text blocks of nested message content below a path of a variant column (SF10).
 
-    One level of SQL per nesting level; content nested deeper than ``depth`` levels comes out as JSON text.
+    The usual levels are unrolled in SQL. Only content with more arrays than these levels take goes to a batched function,
+    which has no limit.
     """
-    return F.expr(f"transform(array({_get(column, path, 'variant')}), z -> {_blocks_sql('z', depth)})[0]")
+    deep, blocks = _deep(F.expr(_get(column, path)), _LEVELS, False)
+    flat = F.expr(f"transform(array({_get(column, path, 'variant')}), z -> {_blocks_sql('z', _LEVELS)})[0]")
+    return F.when(deep, blocks).otherwise(flat)

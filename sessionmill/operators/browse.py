@@ -82,14 +82,15 @@ def history_rows(sessions: DataFrame, limit: int = 50, start_rank: int = 1) -> D
                       X.path_tail(F.col("path")).alias("path_tail"))
 
 
-def recency_buckets(sessions: DataFrame, now_ms: int, limit: int = 5000) -> DataFrame:
-    """Newest sessions as today / last_7d / older, ranks running on over the buckets."""
+def recency_buckets(sessions: DataFrame, now_ms: int, limit: int | None = None) -> DataFrame:
+    """Sessions as today / last_7d / older, ranks running on over the buckets; with a limit only the newest ones."""
     age = F.greatest(F.lit(now_ms) - updated(), F.lit(0))
     bucket = F.when(age < DAY_MS, "today").when(age < 7 * DAY_MS, "last_7d").otherwise("older")
     order = F.when(age < DAY_MS, 0).when(age < 7 * DAY_MS, 1).otherwise(2)
-    top = sessions.orderBy(*by_recency()).limit(clamp_limit(limit)).withColumns({"bucket": bucket, "o": order})
-    rank = F.row_number().over(W.orderBy("o", *by_recency())).cast("bigint")
-    return top.select("bucket", rank.alias("rank"), "trace_id", updated().alias("updated_ms"))
+    top = sessions if limit is None else sessions.orderBy(*by_recency()).limit(clamp_limit(limit))
+    top = top.withColumns({"bucket": bucket, "o": order})
+    ranked = global_rank(top, [F.asc("o"), *by_recency(), F.asc("trace_id")])
+    return ranked.select("bucket", F.col("rank").cast("bigint").alias("rank"), "trace_id", updated().alias("updated_ms"))
 
 
 def session_pages(sessions: DataFrame, first: int = 20, size: int = 40) -> DataFrame:

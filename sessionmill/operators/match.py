@@ -61,7 +61,7 @@ def _grouped(sessions: DataFrame, candidates: DataFrame, keep_ambiguous: bool) -
     return out
 
 
-def match_by_project(sessions: DataFrame, launches: DataFrame, id_pattern: str = ids.UUID) -> DataFrame:
+def match_by_project(sessions: DataFrame, launches: DataFrame, id_pattern: str | None = None) -> DataFrame:
     """Launches in the session's project directory: those naming the session, else the only one there (JN12).
 
     ``sessions``: trace_id, user, agent, path, cwd, session_id.
@@ -74,7 +74,7 @@ def match_by_project(sessions: DataFrame, launches: DataFrame, id_pattern: str =
     return _grouped(s, c, False)
 
 
-def match_by_session_id(sessions: DataFrame, launches: DataFrame, id_pattern: str = ids.UUID,
+def match_by_session_id(sessions: DataFrame, launches: DataFrame, id_pattern: str | None = None,
                         keep_ambiguous: bool = False) -> DataFrame:
     """Launches of the same user and agent that name the session, else the only one (JN13).
 
@@ -93,8 +93,11 @@ def match_by_session_id(sessions: DataFrame, launches: DataFrame, id_pattern: st
     return out
 
 
-def _ids_in(args: Column, pattern: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(args), F.lit(f"({pattern})"), F.lit(1)), F.lower))
+def _ids_in(args: Column, pattern: str | None) -> Column:
+    """What may be a session id in the arguments: matches of the pattern, or without one every word, with and without its dots, and
+    UUIDs inside longer words. Session ids then meet them by an equi join, whatever their form."""
+    found = [pattern] if pattern else [r"[a-z0-9_-]+", r"[a-z0-9._-]+", ids.UUID]
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.lower(args), F.lit(f"({p})"), F.lit(1)) for p in found])))
 
 
 def nearest_group(sessions: DataFrame, launches: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:

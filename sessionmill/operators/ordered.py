@@ -6,6 +6,10 @@ carries the summaries along, and joins the carry back on (group, chunk). The win
 """
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNK_ROWS = 100_000
@@ -97,21 +101,49 @@ def attach_by_chunk(rows: DataFrame, stats: DataFrame, key: str, index: str, cou
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the folder named by the session; only where none is named take one of our own (tests)."""
+    """Use the folder named by the session. On a local master without one (tests) take one of our own; on a cluster that would be
+    a folder of one machine, so it is an error there."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            import tempfile
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             configured = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(configured)
 
 
+_SCRATCH: dict[str, set[str]] = {}
+
+
 def scratch_dir(spark) -> str:
-    """A fresh folder next to the checkpoints, which all executors share."""
-    import uuid
+    """A fresh folder next to the checkpoints, which all executors share; removed by ``release`` or when the session ends."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+    if app not in _SCRATCH:
+        _SCRATCH[app] = set()
+        atexit.register(release, spark)
+    _SCRATCH[app].add(path)
+    return path
+
+
+def scratch_mark(spark) -> set[str]:
+    """The scratch folders there are now, for ``release``."""
+    return set(_SCRATCH.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark, since: set[str] | None = None) -> int:
+    """Remove the scratch folders made after ``since`` (all without it), once nothing reads them any more; returns how many."""
+    jvm, made = spark._jvm, _SCRATCH.get(getattr(spark.sparkContext, "applicationId", ""), set())
+    if jvm is None or spark.sparkContext._jsc is None:
+        return 0
+    gone = [p for p in made if since is None or p not in since]
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        made.discard(path)
+    return len(gone)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -121,13 +153,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    # generated methods above 8000 bytes of bytecode are never compiled by the JVM; Spark then does better unfused
-    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

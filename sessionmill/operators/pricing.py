@@ -123,8 +123,8 @@ def usage_cost(prompt: Column, inp: Column, read: Column, create: Column, create
     def total(typ: str) -> Column:
         return reduce(lambda a, b: a + b, [t.cast(typ) * p.cast(typ) for t, p in zip(pos, price)])
 
-    # tokens times millionths of a rate stay in 64 bits for any usual row; wide decimals take the others
-    usual = F.greatest(*pos) <= 1_000_000_000
+    # seven products of at most 1e9 tokens and 1e9 millionths of a rate stay in 64 bits; wide decimals take all other rows
+    usual = (F.greatest(*pos) <= 1_000_000_000) & F.coalesce(F.greatest(*price) <= 1_000_000_000, F.lit(True))
     micro = F.lit("0.000001").cast("decimal(7,6)")
     narrow = F.call_function("div", total("bigint") + 500_000, F.lit(1_000_000).cast("bigint")).cast("decimal(18,0)") * micro
     wide = F.round(total("decimal(19,0)") * F.lit("0.000000000001").cast("decimal(12,12)"), 6)

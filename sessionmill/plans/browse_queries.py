@@ -60,13 +60,12 @@ def since_window(spark, sf):
 _BUCKET_NOW = 1_706_600_000_000
 
 
-@query(q(f"""SELECT bucket, trace_id, updated_ms, row_number() OVER (ORDER BY o, updated_ms DESC, path) AS rank FROM (
-  SELECT *, CASE WHEN age < 43200000 THEN 'today' WHEN age < 604800000 THEN 'last_7d' ELSE 'older' END AS bucket,
-  CASE WHEN age < 43200000 THEN 0 WHEN age < 604800000 THEN 1 ELSE 2 END AS o FROM (SELECT trace_id, path,
-  last_ts_ms AS updated_ms, greatest({_BUCKET_NOW} - last_ts_ms, 0) AS age FROM sess)) ORDER BY rank LIMIT 200"""
-         .replace("43200000", "86400000"), EVENTS, SESS))
+@query(q(f"""SELECT bucket, trace_id, updated_ms, row_number() OVER (ORDER BY o, updated_ms DESC, path, trace_id) AS rank FROM (
+  SELECT *, CASE WHEN age < 86400000 THEN 'today' WHEN age < 604800000 THEN 'last_7d' ELSE 'older' END AS bucket,
+  CASE WHEN age < 86400000 THEN 0 WHEN age < 604800000 THEN 1 ELSE 2 END AS o FROM (SELECT trace_id, path,
+  last_ts_ms AS updated_ms, greatest({_BUCKET_NOW} - last_ts_ms, 0) AS age FROM sess))""", EVENTS, SESS))
 def recency_buckets(spark, sf):
-    return B.recency_buckets(D.sessions(spark, sf), _BUCKET_NOW, 200)
+    return B.recency_buckets(D.sessions(spark, sf), _BUCKET_NOW)
 
 
 @query(q("SELECT trace_id, agent FROM sess WHERE contains(lower(path || ' ' || agent || ' ' || session_id || ' ' || trace_id), 'sess-1')",
@@ -243,12 +242,12 @@ def _match_sql(on: str) -> str:
 
 @query(q(_match_sql("usr, agent, proj"), EVENTS, SESS, _LAUNCH))
 def project_match(spark, sf):
-    return M.match_by_project(_launched_sessions(spark, sf), _launches(spark, sf), r"sess-\d+")
+    return M.match_by_project(_launched_sessions(spark, sf), _launches(spark, sf))
 
 
 @query(q(_match_sql("usr, agent"), EVENTS, SESS, _LAUNCH))
 def launch_match(spark, sf):
-    return M.match_by_session_id(_launched_sessions(spark, sf), _launches(spark, sf), r"sess-\d+")
+    return M.match_by_session_id(_launched_sessions(spark, sf), _launches(spark, sf))
 
 
 @query(q("""SELECT trace_id, key, tty, distance_ms FROM (SELECT trace_id, ls.agent AS key, tty, abs(anchor - first_ts_ms) AS

@@ -27,13 +27,11 @@ _KEYS = {"events": ["event_id"], "documents": ["doc_id"], "conversations": ["con
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables. A table of fewer splits than there are cores is spread over the cores by its key;
-    a table of any real size has more splits and is read as it lies."""
+    """One of the driver's tables as it lies. ``sessionmill.tables.spread`` names a number of partitions over which test tables of
+    one small file are dealt by their key; it is unset unless the caller asks for it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _KEYS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, *_KEYS[name])
-    return df
+    spread = int(spark.conf.get("sessionmill.tables.spread", "0"))
+    return df.repartition(spread, *_KEYS[name]) if spread and name in _KEYS else df
 
 
 def _pick(values: tuple[str, ...], i: Column) -> Column:

@@ -41,7 +41,26 @@ def _usage_source(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts_ms", times.guess_ts("v")).select("trace_id", "row_no", "ts_ms", "v")
 
 
-def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str = "", hint: str | None = None,
+@dataclass(frozen=True)
+class Sources:
+    """Which files below the paths are logs, and whose (UX03): session directories and named profiles, ``~`` is ``home``."""
+    directories: tuple[scan.LogDirectory, ...] = scan.DEFAULT_DIRECTORIES
+    profiles: tuple[scan.Profile, ...] = scan.DEFAULT_PROFILES
+    home: str = "~"
+
+
+def listed_files(spark: SparkSession, paths: list[str], host: str, sources: Sources | None) -> DataFrame:
+    """The files to read with source, agent and parser hints. With ``sources`` those that belong to one (SC10); without, every
+    file below the paths but compaction side chains (SC09), attributed where a default source owns its path (SC12)."""
+    files = scan.log_files(spark, paths, host)
+    if sources is not None:
+        return scan.without_superseded_diffs(scan.discover(files, sources.directories, sources.profiles, sources.home))
+    src = scan.attribution(F.col("path"))
+    return files.filter(~scan.is_compaction_side_chain(F.col("path"))).withColumns({
+        "source_profile": F.coalesce(src["source_profile"], F.lit("")), "agent_hint": src["agent_hint"], "parser_hint": F.lit(None).cast("string")})
+
+
+def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str = "", hint: str | None = None, sources: Sources | None = None,
               registry: FormatRegistry | None = None, rates: DataFrame | None = None, windows: DataFrame | None = None,
               side_table: DataFrame | None = None, cost: CostParams = CostParams(), status: StatusParams = StatusParams()) -> Logs:
     """Reads the files below the paths, each in its own format, and derives their sessions.
@@ -51,9 +70,10 @@ def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str =
     registry = registry or FormatRegistry()
     rates, windows = (rates if rates is not None else rate_table(spark)), (windows if windows is not None else window_table(spark))
     # the placed lines and the routing are read by every format and again by the metrics: written once
-    lines, files = staged(scan.lines(spark, paths, host)), scan.log_files(spark, paths, host)
-    name = registry.choose(F.col("path"), F.coalesce("head", F.lit("")), F.lit(hint).cast("string"))
-    files = staged(files.join(heads(lines), "trace_id", "left").withColumn("format", name).drop("head"))
+    lines, files = staged(scan.lines(spark, paths, host)), listed_files(spark, paths, host, sources)
+    wanted = F.coalesce(F.lit(hint).cast("string"), F.col("parser_hint"))
+    name = registry.choose(F.col("path"), F.coalesce("head", F.lit("")), wanted)
+    files = staged(files.join(heads(lines), "trace_id", "left").withColumn("format", name).drop("head", "parser_hint"))
     chosen = files.select("trace_id", "format", F.lit(hint).cast("string").alias("agent_hint"))
     # at most one row per registered format
     present = {r.format for r in files.select("format").distinct().collect()}
@@ -74,8 +94,12 @@ def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str =
             continue
         rows = scan.json_rows(own(f.name))
         if f.name == "gemini":
-            docs = scan.documents(spark, paths, host, "*.json").join(of(f.name), "trace_id", "left_semi")
-            rows = scan.document_rows(docs).unionByName(rows.withColumn("doc_session_id", F.lit("")).select(*DOCUMENT_COLUMNS))
+            # a file of either extension may be one document; what is none is read line by line
+            docs = scan.documents(spark, paths, host, "*.json*").join(of(f.name), "trace_id", "left_semi")
+            docs = docs.filter(scan.is_document(F.col("text")))
+            whole = staged(docs.select("trace_id"))
+            rest = lines.join(of(f.name), "trace_id", "left_semi").join(whole, "trace_id", "left_anti")
+            rows = scan.document_rows(docs).unionByName(scan.json_rows(rest).withColumn("doc_session_id", F.lit("")).select(*DOCUMENT_COLUMNS))
         ev = f.normalize(own(f.name), side_table) if f.name == "cursor" else f.normalize(own(f.name) if f.reads == "lines" else rows)
         agent = F.coalesce(F.lit(hint), F.lit("unknown")) if f.name == "generic" else F.lit(f.agent)
         parts.append(ev.select(*EVENT_COLUMNS, F.lit(f.name).alias("format"), agent.alias("agent")))
@@ -100,21 +124,28 @@ def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str =
 def _finish(files: DataFrame, events: DataFrame, usage: DataFrame | None, session_use: DataFrame | None, now_ms: int, status: StatusParams) -> Logs:
     heads_ = events.groupBy("trace_id").agg(F.max_by("session_id", "index").alias("session_id"), F.first("agent").alias("agent"))
     listed = scan.ingest_errors(files.drop("session_id", "agent"), events).join(heads_, "trace_id", "left").fillna("", ["session_id"])
-    listed = listed.withColumn("agent", F.coalesce("agent", F.lit("unknown"))).withColumn("parser", F.col("format")) \
-        .withColumn("source_profile", F.lit(""))
+    listed = listed.withColumn("agent", F.coalesce("agent", F.lit("unknown"))).withColumn("parser", F.col("format"))
     sessions = summarize(events.drop("format", "agent"), listed, now_ms, session_use, status)
     return Logs(files, events, usage, sessions)
 
 
-def read_entities(spark: SparkSession, root: str, now_ms: int, *, host: str = "", rates: DataFrame | None = None,
+def read_entities(spark: SparkSession, root: str, now_ms: int, *, host: str = "", diffs: bool = False, exported: DataFrame | None = None,
+                  exported_messages: DataFrame | None = None, exported_parts: DataFrame | None = None, rates: DataFrame | None = None,
                   windows: DataFrame | None = None, cost: CostParams = CostParams(), status: StatusParams = StatusParams()) -> Logs:
     """The same for multi-file sessions (session, message and part files below ``root``/storage)."""
     from ..functions.ids import stable_id
     rates, windows = (rates if rates is not None else rate_table(spark)), (windows if windows is not None else window_table(spark))
     s = scan.entities(spark, root, "session").withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
-    events = opencode.normalize(s, scan.entities(spark, root, "message"), scan.entities(spark, root, "part"))
+    if diffs:
+        # a diff file stands for its session only where that has no file of its own (JN06)
+        d = scan.entities(spark, root, "session_diff").withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+        s = scan.without_superseded_diffs(s.unionByName(d))
+    if exported is not None:
+        s = opencode.overlay_sessions(opencode.session_fields(s), exported)
+    events = opencode.normalize(s, scan.entities(spark, root, "message"), scan.entities(spark, root, "part"), exported_messages, exported_parts)
     events = events.withColumns({"format": F.lit("opencode"), "agent": F.lit("opencode")})
     rows = events.select("trace_id", F.col("index").alias("row_no"), "ts_ms", F.try_parse_json("raw_json").alias("v"))
     priced = U.priced(U.opencode_usage(rows), rates, windows, cost)
-    files = s.select("trace_id", "path", "size_bytes", "mtime_ms", F.lit("opencode").alias("format"))
+    source = F.coalesce(scan.attribution(F.col("path"))["source_profile"], F.lit(""))
+    files = s.select("trace_id", "path", "size_bytes", "mtime_ms", source.alias("source_profile"), F.lit("opencode").alias("format"))
     return _finish(files, events, priced, U.session_usage(priced, cost=U.session_cost(priced, cost)), now_ms, status)

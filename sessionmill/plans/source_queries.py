@@ -303,7 +303,7 @@ def normalize_cursor(spark, sf):
 # every conversation is a session, its turns are messages, the lines of a turn are parts
 def _entities(spark, sf):
     t = D.table(spark, sf, "conversations")
-    sid, mid = F.concat(F.lit("s"), "conv_id"), F.concat(F.lit("m"), "conv_id", F.lit("_"), F.lpad(F.col("turn").cast("string"), 4, "0"))
+    sid, mid = F.concat(F.lit("s"), "conv_id"), F.concat(F.lit("m"), "conv_id", F.lit("_"), F.lpad(F.col("turn").cast("string"), 20, "0"))
 
     def t_(df, key, owner, raw):
         return df.select(key.alias("key"), owner.alias("owner"), F.concat(owner, F.lit("/"), key).alias("path"), F.lit(1).cast("bigint").alias("size_bytes"),
@@ -314,7 +314,7 @@ def _entities(spark, sf):
     own = F.when(F.col("turn") % 6 == 5, "other").when(F.col("turn") % 2 == 0, sid).otherwise("")
     messages = t_(t, mid, sid, F.to_json(_S(mid.alias("id"), own.alias("sessionID"), "role", _S((F.col("turn") * 1000 + 1_700_000_000_000).alias("created")).alias("time"))))
     lines = t.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    pid = F.concat(F.lit("p"), F.lpad(F.col("n").cast("string"), 6, "0"))
+    pid = F.concat(F.lit("p"), F.lpad(F.col("n").cast("string"), 20, "0"))
     parts = t_(lines, pid, mid, F.to_json(_S(pid.alias("id"), F.lit("text").alias("type"), F.col("line").alias("text"))))
     return sessions, messages, parts
 
@@ -478,6 +478,6 @@ def transcript_scan(spark, sf):
     t = D.turns(spark, sf)
     head = F.when(F.col("role") == "user", "User:  ").otherwise("ASSISTANT:")
     lines = t.select("trace_id", "index", F.posexplode(F.concat(F.array(head), F.split("preview", "\n"))).alias("n", "line"))
-    order = F.col("index") * 100_000 + F.col("n")
-    rows = lines.select("trace_id", order.alias("row_no"), (order * 10).alias("offset"), "line")
+    order = F.shiftleft(F.col("index"), 32) + F.col("n")   # a text has fewer than 2**32 lines
+    rows = lines.select("trace_id", order.alias("row_no"), order.alias("offset"), "line")
     return scan.role_blocks(rows).select("trace_id", "role", F.col("block_no").cast("bigint").alias("block_no"), "line")

@@ -11,7 +11,24 @@ from ..functions import variants as V
 from ..functions.ids import stable_id
 from ..operators.ordered import running
 
-MAX_DOCUMENT_BYTES = 256 * 1024 * 1024
+HIDDEN_DEPTH = 12   # folders below a root in which hidden entries are looked for, as deep as any source goes
+
+
+def roots(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths and every folder below them whose name begins with ``.`` or ``_``: Spark's listing passes those over unless they
+    are named. What is inside such a folder is found by Spark, folders hidden in it by a deeper pattern, so none comes twice."""
+    out = list(paths)
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        deeper = path.rstrip("/")
+        for _ in range(HIDDEN_DEPTH):
+            found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(deeper + "/[._]*"))
+            out += [f.getPath().toString() for f in (found or []) if f.isDirectory()]
+            deeper += "/*"
+            if not fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(deeper)):
+                break
+    return out
 
 
 def _reader(spark: SparkSession, **options: str):
@@ -34,7 +51,7 @@ def _file_columns() -> list[Column]:
 def log_files(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None) -> DataFrame:
     """One row per file from the listing alone, contents are not read (SC07)."""
     r = _reader(spark, **({"pathGlobFilter": glob} if glob else {})).format("binaryFile")
-    return r.load(paths).select(*_file_columns()).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+    return r.load(roots(spark, paths)).select(*_file_columns()).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
 
 
 def lines(spark: SparkSession, paths: list[str], host: str = "") -> DataFrame:
@@ -43,7 +60,7 @@ def lines(spark: SparkSession, paths: list[str], host: str = "") -> DataFrame:
     Files are split as usual. The place of a line is its place inside its split plus the line and character counts of
     the splits before, which are folded to one row per split.
     """
-    raw = _reader(spark, lineSep="\n").text(paths).select(
+    raw = _reader(spark, lineSep="\n").format("text").load(roots(spark, paths)).select(
         *_file_columns(), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"),
         F.monotonically_increasing_id().alias("pos"))
     placed = running(raw, ["path"], "pos", {"row_no": ("count", None), "past": ("sum", F.length("line") + 1)},
@@ -59,20 +76,25 @@ def json_rows(line_rows: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None) -> DataFrame:
-    """Whole files as one text each. Larger ones than ``MAX_DOCUMENT_BYTES`` keep a null text (see ``ingest_errors``)."""
+    """Whole files as one text each, however they are laid out inside."""
     opts = {"wholetext": "true", **({"pathGlobFilter": glob} if glob else {})}
-    df = _reader(spark, **opts).text(paths).select(*_file_columns(), "value")
-    text = F.when(F.col("size_bytes") <= MAX_DOCUMENT_BYTES, F.col("value"))
-    return df.withColumn("trace_id", stable_id(F.col("path"), F.lit(host))).withColumn("text", text).drop("value")
+    df = _reader(spark, **opts).format("text").load(roots(spark, paths)).select(*_file_columns(), F.col("value").alias("text"))
+    return df.withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+
+
+def is_document(text: Column) -> Column:
+    """The whole text is one JSON object or array. Parsers stop after a first value, so the text is read as the only item of a list."""
+    only = V.items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$")
+    return F.coalesce((F.size(only) == 1) & (V.is_object(F.get(only, F.lit(0))) | V.is_array(F.get(only, F.lit(0)))), F.lit(False))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
     """Message rows of whole-document sessions (SC02).
 
-    An object with messages gives its messages, another object itself, an array its objects. Text that is no JSON is
-    left to the line reader. ``doc_session_id`` is the document's own id, '' when it has none.
+    An object with messages gives its messages, another object itself, an array its objects. Text that is no JSON gives
+    no row here and is left to the line reader (``is_document``). ``doc_session_id`` is the document's own id, '' when it has none.
     """
-    doc = docs.withColumn("doc", F.try_parse_json("text"))
+    doc = docs.filter(is_document(F.col("text"))).withColumn("doc", F.try_parse_json("text"))
     d = F.col("doc")
     messages = F.size(V.items(d, "$.messages")) > 0
     values = (F.when(messages, V.items(d, "$.messages")).when(V.is_object(d), F.array(d))
@@ -112,7 +134,8 @@ def entities(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
     ``owner`` is the directory name (project, session or message id), ``key`` the file name without extension.
     """
-    docs = _reader(spark, wholetext="true", pathGlobFilter="*.json").text(f"{root}/storage/{kind}").select(*_file_columns(), "value")
+    docs = _reader(spark, wholetext="true", pathGlobFilter="*.json").format("text").load(
+        roots(spark, [f"{root}/storage/{kind}"])).select(*_file_columns(), "value")
     path = F.col("path")
     return (docs.select(X.basename_stem(path).alias("key"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("owner"),
                         "path", "size_bytes", "mtime_ms", F.col("value").alias("raw_json"),
@@ -287,8 +310,7 @@ def coverage(files: DataFrame, processed: DataFrame, window_start_ms: int) -> Da
 def ingest_errors(files: DataFrame, rows: DataFrame, message: str = "no parseable rows") -> DataFrame:
     """Adds ``parse_error`` to the file listing: '' or why a file gave no rows. Never fails the job (SC14)."""
     n = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("__n"))
-    too_big = F.col("size_bytes") > MAX_DOCUMENT_BYTES
-    err = (F.when(F.coalesce(F.col("__n"), F.lit(0)) > 0, "").when(too_big, "document too large").otherwise(message))
+    err = F.when(F.coalesce(F.col("__n"), F.lit(0)) > 0, "").otherwise(message)
     return files.join(n, "trace_id", "left").withColumn("parse_error", err).drop("__n")
 
 

@@ -13,7 +13,7 @@ def make_session() -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g")
-             .config("spark.sql.variant.allowDuplicateKeys", "true")
+             .config("spark.sql.variant.allowDuplicateKeys", "true").config("sessionmill.tables.spread", "8")
              .config("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
              .getOrCreate())
