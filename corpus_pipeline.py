@@ -18,8 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, fingerprints within the linking radius."""
-    return simhash.one_of_each(docs, shingle=5)
+    """One document of each group of near copies: 0.8 or more of their five-word shingles in common."""
+    return simhash.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import keep, slices, whole_text
 
@@ -23,26 +23,37 @@ FAN = 8                # members of a node
 HOT = 50_000           # fingerprints of a group beyond which it is dealt again by other bits
 QUERIES = 2_048        # queries that go down the index together
 FRONTIER = 1_000_000   # (query, node) pairs held at a time
+SIMILARITY = 0.8       # common share of shingles of near copies, where texts are compared
+GROUPS, ROWS = 24, 5   # groups of minima: texts of that similarity share one with a probability above 0.9999
 
 
-def hash_bits(text: str, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one text as an unsigned number."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if it is shorter; none without a word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower A-Z only, split at 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[:len(words) - k + 1].tolist(), end[k - 1:].tolist())], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start[:len(words) - k + 1].tolist(), end[k - 1:].tolist())], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 65_536):
         ones += np.unpackbits(h[i:i + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def hash_bits(text: str, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text as an unsigned number."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``keys`` and ``fp``, the fingerprint's bits as a signed long. Null and empty texts and texts of white space have 0."""
     rows = docs.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], whole_text(text).alias("__t"))
@@ -231,36 +242,108 @@ def _content(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _members(docs: DataFrame, keys: list[str], text: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Stored ``keys`` and ``fp`` of all rows, and ``fp``, ``root`` of the distinct fingerprints, one of each component's."""
-    rows = keep(fingerprints(docs, keys, text, shingle), "fingerprints")
-    distinct = keep(rows.select("fp").distinct(), "distinct")
-    stars = connected(near_links(distinct, radius))
-    return rows, distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
 def with_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``key``, ``fp``, ``component_id``: one row for each row of ``docs``.
 
     Rows of equal fingerprint are one node of the index, so copies cost nothing there. ``component_id`` is the smallest non-null key
     that links lead to; rows whose component has null keys alone have null. An empty table gives no rows.
     """
-    rows, member = _members(docs, [key], text, shingle, radius)
-    member = keep(member, "members")
+    rows = keep(fingerprints(docs, [key], text, shingle), "fingerprints")
+    distinct = keep(rows.select("fp").distinct(), "distinct")
+    stars = connected(near_links(distinct, radius)).withColumnRenamed("node", "fp")
+    member = keep(distinct.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
     low = rows.groupBy("fp").agg(F.min(key).alias("low")).join(member, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     named = keep(member.join(low, "root").select("fp", "component_id"), "components")
     # rows of one hot fingerprint: this join stands alone above its two exchanges, so a large partition of rows is split at run time
     return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the smallest non-null key's, a null key's only if the group has no other,
-    and of equal keys that with the smallest hash of all columns. All columns stay; an empty table gives no rows."""
+def minima_groups(h: np.ndarray) -> np.ndarray:
+    """``GROUPS`` values, each of ``ROWS`` minima of the hashes under fixed random functions; zeros without a hash."""
+    if not len(h):
+        return np.zeros(GROUPS, np.int64)
+    rng = np.random.default_rng(SEED)
+    factor, add = (rng.integers(0, 2**63, GROUPS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    low = np.full(GROUPS * ROWS, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = h ^ (h >> np.uint64(29))
+        for i in range(0, len(h), 2_048):
+            low = np.minimum(low, (mixed[i:i + 2_048, None] * factor + add).min(axis=0))
+        low = (low ^ (low >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (low.reshape(GROUPS, ROWS) * (2 * np.arange(ROWS, dtype=np.uint64) + np.uint64(1))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similarity(a: str, b: str, shingle: int) -> float:
+    """Common share of the distinct shingles of two texts; 1 if neither has any."""
+    x, y = np.unique(shingle_hashes(a, shingle)), np.unique(shingle_hashes(b, shingle))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
+    """``id``, ``key``, ``tid``, ``fp``, ``groups`` from ``id``, ``key``, ``text``."""
+    some = rows.select("id", "key", F.xxhash64("text").alias("tid"), F.col("text").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            hashes = [shingle_hashes(t, shingle) for t in b.column("t").to_pylist()]
+            fp = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp), pa.array([minima_groups(h) for h in hashes], pa.list_(pa.int64()))],
+                                             [*b.schema.names[:-1], "fp", "groups"])
+    return some.mapInArrow(run, some.drop("t").schema.add("fp", "long").add("groups", T.ArrayType(T.LongType())))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The ``a``, ``b`` of distinct pairs whose texts are similar enough, compared shingle by shingle."""
+    pairs = keep(pairs.distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = keep(rows.select("id", "text").join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [similarity(x, y, shingle) >= least for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+    return keep(both.mapInArrow(run, "a long, b long"), "similar")
+
+
+def _stars(live: DataFrame) -> DataFrame:
+    """``a``, ``b``: each text with one text of each group of minima it is in, which a hash draws anew for every group."""
+    lines = live.select("id", F.posexplode("groups").alias("g", "v")).withColumn("r", F.xxhash64("id", "g"))
+    first = keep(lines.groupBy("g", "v").agg(F.min_by("id", "r").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "stars")
+    return lines.join(first, ["g", "v"]).filter("a <> id").select("a", F.col("id").alias("b"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the smallest non-null key's, a null key's only if the group has no other,
+    and of equal keys that with the smallest hash of all columns. All columns stay; an empty table gives no rows.
+
+    Near copies have ``least`` of their distinct shingles in common; a null text is empty, and texts without a word are copies of
+    each other. Equal texts are one first. The Gray-order index finds pairs of close fingerprints; texts of this similarity can
+    differ in far more bits, so groups of minima of the same hashes find the others. Every pair is then compared by its
+    shingles. What stays is searched again until no similar pair is found.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(*columns).alias("h"))
-    rows, member = _members(hashed, ["key", "h"], "text", shingle, radius)
-    order = F.struct(F.col("key").isNull().alias("none"), "key", "h")
-    low = rows.groupBy("fp").agg(F.min(order).alias("low")).join(member, "fp").groupBy("root").agg(F.min("low").alias("low"))
-    kept = low.select(F.col("low.key").alias("k"), F.col("low.h").alias("g"))
-    found = hashed.select("row", "key", "h").join(kept, (F.col("h") == F.col("g")) & F.col("key").eqNullSafe(F.col("k")), "left_semi")
-    return found.dropDuplicates(["h", "key"]).select("row.*")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), whole_text(text).alias("text"), F.xxhash64(*columns).alias("id"))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "id")
+    sketched = keep(_sketched(rows, shingle), "sketches")
+    live = keep(sketched.groupBy("tid").agg(F.min(F.struct(order.alias("o"), "fp", "groups")).alias("m")).select(
+        "m.o.id", "m.o.key", "m.fp", "m.groups"), "live")
+    fp = keep(live.groupBy("fp").agg(F.min("id").alias("a")), "distinct")
+    near = near_links(fp.select("fp"), radius)
+    near = near.join(fp.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
+        fp.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = live.join(fp, "fp").filter("a <> id").select("a", F.col("id").alias("b"))
+    pairs = near.unionByName(equal).unionByName(_stars(live))
+    while True:
+        links = _similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, shingle, least)
+        if links.isEmpty():
+            break
+        stars = connected(links).withColumnRenamed("node", "id")
+        member = keep(live.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+        best = keep(member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id")), "best")
+        live = keep(live.join(best, "id", "left_semi"), "live")
+        pairs = _stars(live)
+    found = rows.select("row", "id").join(live.select("id"), "id", "left_semi")
+    return found.dropDuplicates(["id"]).select("row.*")

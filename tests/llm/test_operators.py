@@ -334,9 +334,39 @@ def test_simhash_components_equal_brute_force(spark, docs, empty):
             low[c] = min(low.get(c, k), k)
     assert got == Counter((k, fp, low.get(c)) for (k, _), fp, c in zip(texts, fps, label))
     assert simhash.with_components(empty).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(low.get(c) for c in set(label.tolist()))
+
+
+def shingles(t, k=5):
+    w = "".join(c.lower() if c.isascii() else c for c in t).replace("\t", " ").replace("\n", " ").split(" ")
+    w = [x for x in w if x]
+    return {" ".join(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_one_of_each_group_of_near_copies(spark, docs, empty):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    made, n = [], 20_000
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        for c in range(rng.choice([1, 1, 2, 3, 30])):
+            t = list(base)
+            for _ in range(max(1, len(t) // rng.choice([400, 100, 60])) if c else 0):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            made.append((n, " ".join(t), "en", "s", 1, "k", "t", 1, 2, 3, 4, 5, 6, "x", "y"))
+            n += 1
+    table = docs.unionByName(spark.createDataFrame(made, SCHEMA))
+    out = simhash.one_of_each(table)
+    assert out.columns == docs.columns
+    texts = sorted({(k is None, k or 0, t) for k, t in rows_of(table)})
+    sets = [shingles(t) for _, _, t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1) >= 0.8]
+    label = simhash.components(np.arange(len(texts)), *(np.array(x, np.int64) for x in zip(*pairs)))
+    want = Counter()
+    for c in set(label.tolist()):
+        none, k, _ = texts[c]
+        want[None if none else k] += 1
+    assert Counter(r["doc_id"] for r in out.collect()) == want
+    assert simhash.one_of_each(empty).count() == 0
 
 
 @pytest.mark.parametrize("hot", [50_000, 20])
@@ -459,9 +489,7 @@ def test_pipeline_stages(spark, docs, empty):
     kept = {r["doc_id"] for r in now.collect()}
     assert kept == set()
     full = keep(corpus_pipeline.known_language(spark, docs, SF), "t")
-    once = corpus_pipeline.one_of_each_group(spark, full, SF)
-    fps = [plain_fingerprint(r["text"], 5) for r in once.collect()]
-    f = np.array(fps, np.uint64)
-    assert (np.bitwise_count(f[:, None] ^ f[None, :]) <= 4).sum() == len(f)
+    once = [shingles(r["text"]) for r in corpus_pipeline.one_of_each_group(spark, full, SF).collect()]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(once) for b in once[:i])
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(out.columns) and out.count() > 150
