@@ -15,6 +15,7 @@ links that keep components together, never as pairs; a large group is dealt in b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,15 @@ from .common import keep
 from .simhash import components, connected
 
 THRESHOLD = 0.98
-BANDS, BAND_BITS = 24, 16
+BANDS, BAND_BITS = 32, 20
 SIGMAS = 6.0
 SEED = 10
 BLOCK = 1_024      # vectors of a block
+FEW = 64           # rows of cells whose pairs are listed together
+TOGETHER = 16_384  # rows taken together, whole cells
 
 
+@lru_cache(maxsize=8)
 def directions(d: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """The rotation (d x d) and the directions of the groupings (d x BANDS * BAND_BITS)."""
     rng = np.random.default_rng((seed, d))
@@ -58,19 +62,31 @@ def band_signs(x: np.ndarray) -> np.ndarray:
     return bits @ (1 << np.arange(BAND_BITS))
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of unit vectors x, y with an inner product of the threshold or more."""
-    if x.shape[1] < 2:
-        a, b = np.nonzero(x @ y.T >= threshold)
-        return a, b
-    _, signs, factor = codes(x)
-    turned = y @ directions(y.shape[1])[0]
-    estimate = (signs @ turned.T) / factor[:, None]
-    error = np.sqrt(np.maximum(1 - factor ** 2, 0) / factor ** 2 * max(1 - threshold ** 2, 0) / (x.shape[1] - 1))
-    a, b = np.nonzero(estimate >= threshold - SIGMAS * error[:, None] - 1e-9)
-    exact = np.einsum("ij,ij->i", x[a], y[b])
-    hit = exact >= threshold
-    return a[hit], b[hit]
+class Coded:
+    """Unit vectors with rotated forms, codes, factors, and the least estimate at which a pair may reach the threshold."""
+
+    def __init__(self, x: np.ndarray, threshold: float = THRESHOLD):
+        self.x, self.threshold = x, threshold
+        self.turned, self.signs, self.factor = codes(x)
+        error = np.sqrt(np.maximum(1 - self.factor ** 2, 0) * max(1 - threshold ** 2, 0) / max(x.shape[1] - 1, 1)) / self.factor
+        # with one component a code says nothing, so every pair is recomputed
+        self.least = threshold - SIGMAS * error - 1e-9 if x.shape[1] > 1 else np.full(len(x), -np.inf)
+
+    def exact(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = np.einsum("ij,ij->i", self.x[a], self.x[b]) >= self.threshold
+        return a[hit], b[hit]
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs of a row of ``a`` and a row of ``b``."""
+        estimate = (self.signs[a] @ self.turned[b].T) / self.factor[a][:, None]
+        i, j = np.nonzero(estimate >= self.least[a][:, None])
+        return self.exact(a[i], b[j])
+
+    def among(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs of the listed ones."""
+        estimate = np.einsum("ij,ij->i", self.signs[a], self.turned[b]) / self.factor[a]
+        may = estimate >= self.least[a]
+        return self.exact(a[may], b[may])
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -122,46 +138,75 @@ def class_links(cls: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     spread = cells.join(cls.select("cls", "copies", "v"), "cls").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """The rows of one cell, which are those of two blocks."""
-        held, now = [], None
+        """Whole cells together, about ``TOGETHER`` rows or one larger cell, which has the rows of two blocks."""
+        held, size = [], 0
         for b in batches:
-            names, begin = list(zip(*[b.column(k).to_pylist() for k in keys])), 0
-            for i, name in enumerate(names):
-                if name != now:
-                    held.append(b.slice(begin, i - begin))
-                    yield pa.Table.from_batches(held)
-                    held, now, begin = [], name, i
-            held.append(b.slice(begin))
-        if held:
+            held.append(b)
+            size += b.num_rows
+            if size >= TOGETHER:
+                t = pa.Table.from_batches(held)
+                stop = int(_cells(t)[-1])
+                if stop:
+                    yield t.slice(0, stop)
+                held, size = t.slice(stop).to_batches(), t.num_rows - stop
+        if size:
             yield pa.Table.from_batches(held)
 
+    def _cells(t: pa.Table) -> np.ndarray:
+        """First row of each cell."""
+        change = np.ones(t.num_rows, bool)
+        same = np.ones(t.num_rows - 1, bool)
+        for k in keys:
+            c = t.column(k).combine_chunks()
+            c = (c.dictionary_encode().indices if k == "label" else c).to_numpy(zero_copy_only=False)
+            same &= c[1:] == c[:-1]
+        change[1:] = ~same
+        return np.flatnonzero(change)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables(batches):
-            if t.num_rows < 2:
-                continue
-            t = t.combine_chunks()
-            d, band, row, col = (t.column(k)[0].as_py() for k in ("d", "band", "row", "col"))
-            x = unit(_matrix(t.column("v").chunk(0), d))
-            ids, copies, own = (t.column(k).to_numpy() for k in ("cls", "copies", "own"))
-            left, right = np.flatnonzero(own == row), np.flatnonzero(own == col)
-            n, label = np.zeros(len(x), np.int64), np.arange(len(x))
-            sign = band_signs(x)[:, :band]
+            dims = t.column("d").to_numpy()
+            for d in np.unique(dims).tolist():
+                some = t.filter(pa.array(dims == d)).combine_chunks()
+                out = _links(some, _cells(some), d)
+                if out is not None:
+                    yield out
+
+    def _links(t: pa.Table, first: np.ndarray, d: int) -> pa.RecordBatch | None:
+        x = unit(_matrix(t.column("v").combine_chunks(), d))
+        coded, sign = Coded(x, threshold), band_signs(x)
+        ids, copies, own, row, col, band = (t.column(k).to_numpy() for k in ("cls", "copies", "own", "row", "col", "band"))
+        size = np.diff(np.concatenate([first, [len(x)]]))
+        n, label = np.zeros(len(x), np.int64), np.arange(len(x))
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal label
+            # a pair counts only in the first grouping that holds both
+            early = ((sign[a] == sign[b]) & (np.arange(BANDS) < band[a][:, None])).any(axis=1)
+            a, b = a[~early], b[~early]
+            np.add.at(n, a, copies[b])
+            np.add.at(n, b, copies[a])
+            label = components(label, a, b)
+        for s in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+            i, j = np.triu_indices(s, 1)
+            start = first[size == s]
+            step = max(1, 200_000 // len(i))
+            for at in range(0, len(start), step):
+                a, b = ((start[at:at + step, None] + k).ravel() for k in (i, j))
+                fit = (row[a] == col[a]) | (own[a] != own[b])
+                add(*coded.among(a[fit], b[fit]))
+        for start, s in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+            rows = np.arange(start, start + s)
+            left, right = rows[own[rows] == row[start]], rows[own[rows] == col[start]]
             for i in range(0, len(left), BLOCK):
                 for j in range(0, len(right), BLOCK):
-                    li, rj = left[i:i + BLOCK], right[j:j + BLOCK]
-                    a, b = close_pairs(x[li], x[rj], threshold)
-                    a, b = li[a], rj[b]
-                    # each pair once, and only in the first grouping that holds both
-                    fit = (a < b) if row == col else np.ones(len(a), bool)
-                    a, b = a[fit], b[fit]
-                    fit = ~(sign[a] == sign[b]).any(axis=1)
-                    a, b = a[fit], b[fit]
-                    np.add.at(n, a, copies[b])
-                    np.add.at(n, b, copies[a])
-                    label = components(label, a, b)
-            hit = np.flatnonzero(n > 0)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(ids[label[hit]])], ["cls", "n", "root"])
+                    a, b = coded.between(left[i:i + BLOCK], right[j:j + BLOCK])
+                    fit = (a < b) if row[start] == col[start] else np.ones(len(a), bool)
+                    add(a[fit], b[fit])
+        hit = np.flatnonzero(n > 0)
+        if not len(hit):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(ids[label[hit]])], ["cls", "n", "root"])
     found = keep(spread.mapInArrow(run, "cls long, n long, root long"), "vector-links")
     return found.groupBy("cls").agg(F.sum("n").alias("n")), found.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
 
