@@ -316,7 +316,8 @@ def redact_documents(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", redact_text(F.col("text"), p).alias("text"))
 
 
-@query()
+@query(q("""SELECT event_id, '{"type":"' || raw_type || '","payload":{"api_key":"[REDACTED]","note":"uses [REDACTED] now"}}' AS raw_json, 'key [REDACTED]' AS text,
+  lower(preview || chr(10) || raw_type || chr(10) || 'key [REDACTED]') || chr(10) || chr(10) AS search_text FROM ev""", EVENTS))
 def redact_events(spark, sf):
     """Whole redaction job over raw rows with secrets under telling keys and in values."""
     from ..operators.redact import redact_events as job

@@ -247,21 +247,11 @@ def dedup_before_tokens(spark, sf):
         F.sum(F.when(F.col("has_tokens"), F.col("input_tokens")).otherwise(0)).alias("input_tokens"))
 
 
-@query(q("""SELECT trace_id, CAST(sum(input_tokens) OVER w AS BIGINT) AS input_tokens,
-  CAST(sum(output_tokens) OVER w AS BIGINT) AS output_tokens FROM ev WINDOW w AS (PARTITION BY trace_id ORDER BY seq)
-  QUALIFY seq = max(seq) OVER (PARTITION BY trace_id)""", EVENTS))
-def cumulative_totals(spark, sf):
-    e = running(D.usage_rows(spark, sf), ["trace_id"], "row_no",
-                {"cum_in": ("sum", F.col("input_tokens")), "cum_out": ("sum", F.col("output_tokens"))}, 1_000_000)
-    last = e.groupBy("trace_id").agg(F.max_by(F.struct("cum_in", "cum_out"), "row_no").alias("s"))
-    return last.select("trace_id", F.col("s.cum_in").alias("input_tokens"), F.col("s.cum_out").alias("output_tokens"))
-
-
-@query(q("""SELECT trace_id, CAST(sum(t) AS BIGINT) AS total_tokens FROM (SELECT trace_id, CASE WHEN k % 2 = 0 THEN k
-  WHEN true THEN greatest(input_tokens - 500, 0) + output_tokens END AS t FROM ev WHERE k > 0) GROUP BY trace_id""",
+@query(q("""SELECT trace_id, CAST(sum(t) AS BIGINT) AS total_tokens FROM (SELECT trace_id, CASE WHEN k % 2 = 0 AND k > 0 THEN k
+  ELSE greatest(input_tokens - 500, 0) + output_tokens END AS t FROM ev) GROUP BY trace_id""",
          EVENTS))
 def finalised_totals(spark, sf):
-    rows = D.usage_rows(spark, sf).filter("k > 0").withColumn("given", F.when(F.col("k") % 2 == 0, F.col("k")).otherwise(0))
+    rows = D.usage_rows(spark, sf).withColumn("given", F.when(F.col("k") % 2 == 0, F.col("k")).otherwise(0))
     total = U.finalised(F.col("given"), U.positive(F.col("input_tokens") - 500), F.col("output_tokens"))
     return rows.groupBy("trace_id").agg(F.sum(total).alias("total_tokens"))
 

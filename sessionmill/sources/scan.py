@@ -129,12 +129,12 @@ def role_blocks(line_rows: DataFrame) -> DataFrame:
     return body.drop("head")
 
 
-def entities(spark: SparkSession, root: str, kind: str) -> DataFrame:
+def entities(spark: SparkSession, root: str, kind: str, glob: str = "*.json") -> DataFrame:
     """Session, message or part files of a multi-file source (SC04): (key, owner, path, raw_json, v).
 
     ``owner`` is the directory name (project, session or message id), ``key`` the file name without extension.
     """
-    docs = _reader(spark, wholetext="true", pathGlobFilter="*.json").format("text").load(
+    docs = _reader(spark, wholetext="true", pathGlobFilter=glob).format("text").load(
         roots(spark, [f"{root}/storage/{kind}"])).select(*_file_columns(), "value")
     path = F.col("path")
     return (docs.select(X.basename_stem(path).alias("key"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("owner"),
