@@ -36,6 +36,17 @@ def is_wait_marker(c: Column) -> Column:
     return V.let(marker_text(c), test)
 
 
+# every marker has one of these words; an escaped letter may hide one
+_MARKER_WORDS = r"(?i)wait|need|requir|press|\\u00"
+
+
+def structured_wait_text(raw_json: Column, raw_type: Column) -> Column:
+    """``structured_wait`` of a row's JSON text, which is parsed only where a marker's word occurs at all."""
+    maybe = F.concat_ws(" ", raw_type, raw_json).rlike(_MARKER_WORDS)
+    parsed = F.when(maybe, F.try_parse_json(raw_json))
+    return F.when(maybe, V.let(F.struct(parsed.alias("v"), raw_type.alias("t")), lambda x: structured_wait(x["v"], x["t"]))).otherwise(F.lit(False))
+
+
 def structured_wait(v: Column, raw_type: Column) -> Column:
     values = F.array(raw_type, *[F.try_variant_get(v, p, "string") for p in WAIT_FIELDS])
     return F.exists(values, lambda x: F.coalesce(is_wait_marker(x), F.lit(False)))

@@ -82,7 +82,7 @@ def pending_wait(events: DataFrame) -> DataFrame:
 def with_wait_flag(events: DataFrame) -> DataFrame:
     """Marks events that carry a wait signal; rows that resolve a wait are never tested."""
     c = F.col
-    signal = waits.structured_wait(F.try_parse_json("raw_json"), c("raw_type")) | waits.text_wait(
+    signal = waits.structured_wait_text(c("raw_json"), c("raw_type")) | waits.text_wait(
         c("raw_type"), c("preview"), F.concat_ws(" ", "text_blocks"), c("tool_args_text"), c("tool_result_text"))
     return events.withColumn("is_wait", ~waits.is_resolution(c("event_kind")) & F.coalesce(signal, F.lit(False)))
 

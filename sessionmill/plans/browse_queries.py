@@ -284,7 +284,15 @@ def log_ids(spark, sf):
                                        F.max_by("pid", F.when(F.col("pid").isNotNull(), F.col("index"))).alias("pid"))
 
 
-@query()
+_LANES = """bars AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY first_bin, trace_id) AS n FROM (SELECT day, trace_id, min(bin) AS first_bin, max(bin) AS last_bin
+   FROM (SELECT *, bin - row_number() OVER (PARTITION BY day, trace_id ORDER BY bin) AS isl FROM act) GROUP BY day, trace_id, isl)),
+ free AS (SELECT day, 0::BIGINT AS n, NULL::VARCHAR AS trace_id, NULL::INT AS first_bin, NULL::INT AS last_bin, 0::BIGINT AS lane, []::INT[] AS ends FROM (SELECT DISTINCT day FROM bars)
+   UNION ALL SELECT day, n, trace_id, first_bin, last_bin, lane, list_concat(list_concat(ends[:lane - 1], [last_bin::INT]), ends[lane + 1:]) FROM (
+     SELECT b.day, b.n, b.trace_id, b.first_bin, b.last_bin, f.ends, coalesce(list_position(list_transform(f.ends, lambda e: e < b.first_bin), true), len(f.ends) + 1) AS lane
+     FROM free f JOIN bars b ON b.day = f.day AND b.n = f.n + 1))"""
+
+
+@query(q("SELECT day, trace_id, first_bin, last_bin, lane - 1 AS lane FROM free WHERE n > 0", *BASE, DAY_SQL, _LANES).replace("WITH ", "WITH RECURSIVE ", 1))
 def lanes(spark, sf):
     bars = A.session_bars(Report(spark, sf, DAY).bin_sessions)
     return L.assign_lanes(bars, ["day"]).select("day", "trace_id", "first_bin", "last_bin", "lane")

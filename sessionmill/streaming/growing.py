@@ -16,7 +16,7 @@ from ..functions.ids import stable_id
 from ..sources.scan import json_rows
 
 LINES = "trace_id string, path string, mtime_ms bigint, size_bytes bigint, row_no bigint, offset bigint, line string"
-STATE = ("pending string, rows bigint, seen_bytes bigint, next_chunk bigint, early_no array<bigint>, early_text array<string>,"
+STATE = ("pending string, rows bigint, seen_bytes bigint, seen_chars bigint, next_chunk bigint, early_no array<bigint>, early_text array<string>,"
          " early_mtime array<bigint>")
 
 
@@ -44,7 +44,7 @@ def split_complete(text: str) -> tuple[str, str]:
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending, rows, seen, nxt, e_no, e_text, e_time = state.get if state.exists else ("", 0, 0, 0, [], [], [])
+    pending, rows, seen, chars, nxt, e_no, e_text, e_time = state.get if state.exists else ("", 0, 0, 0, 0, [], [], [])
     waiting = {int(n): (t, int(m)) for n, t, m in zip(e_no, e_text, e_time)}
     path = ""
     for pdf in batches:
@@ -56,8 +56,10 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     while nxt in waiting:
         chunk, mtime = waiting.pop(nxt)
         nxt += 1
-        base = seen - len(pending.encode("utf-8"))
+        # offsets count characters as the batch reader's do, so that one line has one event id in both
+        base = chars - len(pending)
         seen += len(chunk.encode("utf-8"))
+        chars += len(chunk)
         complete, pending = split_complete(pending + chunk)
         at = base
         pieces = complete.replace("\r\n", "\n").split("\n")
@@ -67,7 +69,7 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
                 out.append((key[0], path, mtime, seen, rows, at, line))
             at += len(line) + 1
     early = sorted(waiting)
-    state.update((pending, rows, seen, nxt, early, [waiting[n][0] for n in early], [waiting[n][1] for n in early]))
+    state.update((pending, rows, seen, chars, nxt, early, [waiting[n][0] for n in early], [waiting[n][1] for n in early]))
     yield pd.DataFrame(out, columns=["trace_id", "path", "mtime_ms", "size_bytes", "row_no", "offset", "line"])
 
 
