@@ -101,6 +101,25 @@ def with_pieces(words: DataFrame, model: str) -> DataFrame:
     return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("pieces", T.IntegerType())]))
 
 
+def frequent(words: DataFrame, most: int | None = None) -> dict[str, int]:
+    """Pieces of the most frequent words: at most ``most`` of at most ``HEAD_CHARS`` characters, a few megabytes whatever the corpus.
+
+    Words are counted per eighth of a power of two of their frequency; all words above the step at which there would be too many
+    are taken, so no task sends more than its share of them.
+    """
+    most = HEAD if most is None else most
+    short = words.filter(F.length("word") <= HEAD_CHARS).withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
+    total, least = 0, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):   # at most 8 * 64 rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    return {r["word"]: r["pieces"] for r in short.filter(F.col("step") >= least).select("word", "pieces").collect()}
+
+
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """``key``, ``n_bytes``, ``n_tokens``, ``over_limit``: one row for each row of ``docs``, repeated and null keys included.
 
@@ -110,9 +129,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     processor(path)
     spark = docs.sparkSession
     words = keep(with_pieces(vocabulary(docs, text), path), "words")
-    # at most HEAD rows of at most HEAD_CHARS characters: a few megabytes whatever the corpus
-    head = {r["word"]: r["pieces"] for r in words.filter(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD).collect()}
-    known = spark.sparkContext.broadcast(head)
+    known = spark.sparkContext.broadcast(frequent(words))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(whole_text(text)).alias("h"), whole_text(text).alias("t"))
     schema = T.StructType([rows.schema["k"], rows.schema["h"], T.StructField("bytes", T.LongType()), T.StructField("rows", T.LongType()),
                            T.StructField("head", T.LongType()), T.StructField("tail", T.MapType(T.StringType(), T.LongType()))])
