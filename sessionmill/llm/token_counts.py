@@ -20,7 +20,7 @@ from .common import keep, slices, whole_text
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-HEAD = 200_000
+HEAD = 300_000
 HEAD_CHARS = 64
 SPACE = "▁"  # the vocabulary's sign for a space
 _BREAK = re.compile(r" +[^ \n]*|\n[^ \n]*")
