@@ -7,7 +7,6 @@ positions. The network is trained in numpy by backpropagation through time on wi
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,10 @@ HIDDEN, STEPS, BATCH, RATE, SEED = 10, 260, 192, 0.02, 6
 READ = 128            # bytes of a window when predicting
 TOGETHER = 1_024      # windows read at the same time
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -198,7 +200,7 @@ def predict(docs: DataFrame, model: BiGru | None, text: str = "text", pred: str
         net = pickle.loads(state)
         for b in slices(batches, "__t", 2 << 20):
             texts = b.column("__t").to_pylist()
-            some = [net is not None and _LETTER.search(t) is not None for t in texts]
+            some = [net is not None and has_letter(t) for t in texts]
             probs = net.documents([t.encode("utf-8", "replace") if s else b"" for t, s in zip(texts, some)]) if any(some) else np.zeros((len(texts), 1))
             best = probs.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(

@@ -172,9 +172,9 @@ def encode_pieces(docs: DataFrame, keys: list[str], text: str = "text", tokenize
     return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *[f.name for f in fields[len(keys):]])
 
 
-def padded(fill):
+def padded(fill, capacity: int = CAPACITY):
     """Length of a sequence in a batch: the capacity, but a fill that is a power of two stays as it is."""
-    return F.when(F.bit_count(fill) == 1, fill).otherwise(F.lit(CAPACITY))
+    return F.when(F.bit_count(fill) == 1, fill).otherwise(F.lit(capacity).cast("bigint"))
 
 
 def pack_documents(docs: DataFrame, keys: list[str], text: str = "text", tokenizer: str | None = None, end_id: int | None = END_ID,
@@ -184,8 +184,8 @@ def pack_documents(docs: DataFrame, keys: list[str], text: str = "text", tokeniz
     return pack(encode_pieces(docs, keys, text, tokenizer, end_id, capacity, with_ids), capacity)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """The sequences themselves: ``sequence_id``, ``n_tokens``, ``ids``; needs ``ids`` of the pieces. A window is bounded by its capacity."""
+def sequences(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The sequences themselves: ``sequence_id``, ``n_tokens``, ``padded_length``, ``ids``; needs ``ids`` of the pieces. A window is bounded by its capacity."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     out = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("p"))
-    return out.select("sequence_id", "n_tokens", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    return out.select("sequence_id", "n_tokens", padded(F.col("n_tokens"), capacity).alias("padded_length"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

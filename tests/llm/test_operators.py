@@ -253,6 +253,7 @@ def test_packing_covers_every_id(docs, empty):
     assert len(windows) <= 1.02 * math.ceil(total / 1024) + 1
     seqs = packing.sequences(packed).collect()
     assert sum(r["n_tokens"] for r in seqs) == total and all(len(r["ids"]) == r["n_tokens"] for r in seqs)
+    assert all(r["padded_length"] == (r["n_tokens"] if r["n_tokens"] & (r["n_tokens"] - 1) == 0 else 1024) for r in seqs)
     assert packing.pack_documents(empty, ["doc_id"]).count() == 0
 
 
