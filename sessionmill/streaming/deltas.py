@@ -68,14 +68,22 @@ class DeltaSink:
             return None
         return self.spark.read.option("basePath", f"{self.root}/{part}").parquet(f"{self.root}/{part}").filter(F.col("batch") < before)
 
+    def _live(self, part: str, before: int) -> DataFrame | None:
+        """Rows written before a batch, without those of sessions that were reset since."""
+        rows, resets = self._read(part, before), self._read("resets", before)
+        if rows is None or resets is None:
+            return rows
+        last = resets.groupBy("trace_id").agg(F.max("batch").alias("__reset"))
+        return rows.join(last, "trace_id", "left").filter(F.col("__reset").isNull() | (F.col("batch") > F.col("__reset"))).drop("__reset")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.root}/events/batch={batch_id}")
-        events = self._read("events", batch_id + 1).drop("batch")
+        events = self._live("events", batch_id + 1).drop("batch")
         touched = batch.select("trace_id").distinct()
         now = stamped(self.summarise(events.join(touched, "trace_id", "left_semi")))
         now.write.mode("overwrite").parquet(f"{self.root}/sessions/batch={batch_id}")
         now = self.spark.read.schema(now.schema).parquet(f"{self.root}/sessions/batch={batch_id}")
-        log = self._read("sessions", batch_id)
+        log = self._live("sessions", batch_id)
         if log is None:
             before = now.filter(F.lit(False)).select("trace_id", "stamp")
         else:
@@ -84,8 +92,28 @@ class DeltaSink:
         batch_deltas(before, now.select("trace_id", "stamp"), new, batch_id).write.mode("overwrite").parquet(
             f"{self.root}/deltas/batch={batch_id}")
 
+    def reset(self, actions: DataFrame, batch_id: int) -> None:
+        """Forget sessions whose files vanished or were rewritten (``sets.change_actions``), up to and including a batch (SS03).
+
+        Each gets a ``trace_removed`` (SS10). A rewritten file's rows then come as a later batch and give ``trace_added`` again.
+        """
+        gone = actions.filter(F.col("action").isin("vanished", "rewritten")).select("trace_id").distinct()
+        gone.write.mode("overwrite").parquet(f"{self.root}/resets/batch={batch_id}")
+        gone = self.spark.read.schema("trace_id string").parquet(f"{self.root}/resets/batch={batch_id}")
+        known = self._read("sessions", batch_id + 1)
+        known = gone if known is None else gone.join(known.select("trace_id").distinct(), "trace_id", "left_semi")
+        bucket = F.pmod(F.xxhash64("trace_id"), F.lit(4096))
+        place = F.row_number().over(W.partitionBy(bucket).orderBy("trace_id"))
+        # the upper half of the batch's versions: after its own deltas, before the next batch's
+        known.select("trace_id", F.lit("trace_removed").alias("type"), F.lit(None).cast("bigint").alias("appended"),
+                     F.array().cast("array<string>").alias("latest"),
+                     (F.lit(batch_id * VERSIONS_PER_BATCH + VERSIONS_PER_BATCH // 2) + place * 4096 + bucket).alias("version")
+                     ).write.mode("overwrite").parquet(f"{self.root}/removals/batch={batch_id}")
+
     def deltas(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/deltas").parquet(f"{self.root}/deltas")
+        out = self.spark.read.option("basePath", f"{self.root}/deltas").parquet(f"{self.root}/deltas")
+        removals = self._read("removals", 1 << 30)
+        return out if removals is None else out.unionByName(removals)
 
 
 def follow(deltas: DataFrame, trace_id: str) -> DataFrame:

@@ -56,6 +56,15 @@ def test_deltas_only_for_changes(spark, tmp_path):
     assert [(g[1], g[2], g[3]) for g in got if g[0] == 1] == [("", "overview_updated", None), ("t1", "events_appended", 1), ("t1", "trace_updated", None)]
     f = D.follow(d, "t1").orderBy("version").collect()
     assert [r.latest for r in f] == [["t1:1"], ["t1:2"]]
+    # t1's file is rewritten and t9, which gave no session, vanishes: one removal, then t1 comes back with its new rows alone
+    sink.reset(spark.createDataFrame([("t1", "rewritten"), ("t2", "same"), ("t9", "vanished")], "trace_id string, action string"), 1)
+    put("c", [("t1", "t1:1", 1, 40), ("t2", "t2:2", 2, 50)])
+    drain(stream(), sink, tmp_path / "state")
+    d = sink.deltas()
+    last = [(r.trace_id, r.type) for r in d.orderBy("version").collect() if r.version > 2**32 + 2**31 and r.type.startswith("trace")]
+    assert last[0] == ("t1", "trace_removed") and set(last[1:]) == {("t1", "trace_added"), ("t2", "trace_updated")}
+    assert d.select("version").distinct().count() == d.count()
+    assert {r.trace_id: r.event_count for r in spark.read.parquet(str(tmp_path / "out/sessions/batch=2")).collect()} == {"t1": 1, "t2": 2}
 
 
 def test_coalesced_batch(spark):
