@@ -216,8 +216,14 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return predict(docs.select(F.col(key), held_out(key).alias("held_out"), whole_text(text).alias("__text")), model, "__text").drop("__text")
 
 
-def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
-    """``docs`` without those the network rejects: no letter in the text, or no language with a pooled probability of ``least``."""
+def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.2) -> DataFrame:
+    """``docs`` without those the network rejects: no letter in the text, or a pooled probability that is less than ``margin`` of the way
+    from chance (one over the languages learned) to certainty. Where nothing could be learned, every text with a letter stays."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    out = predict(rows, train(docs, key, text, lang), "text", "pred", "score")
+    model = train(docs, key, text, lang)
+    if model is None:
+        return rows.filter(F.col("text").rlike(r"\p{L}")).select("row.*")
+    chance = 1 / len(model.langs)
+    least = chance + margin * (1 - chance) - 1e-3
+    out = predict(rows, model, "text", "pred", "score")
     return out.filter((F.col("pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

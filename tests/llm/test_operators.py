@@ -267,6 +267,8 @@ def test_language_id_learns_and_rejects(spark, docs, empty):
     got = language_id.identify(real).join(real.select("doc_id", "lang"), "doc_id").filter("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
     assert got > 0.95
     assert language_id.identify(empty).count() == 0
+    unlabelled = language_id.keep_known(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in unlabelled.collect()} == {9001, 9002, 9003, 9004}
     kept = language_id.keep_known(docs)
     assert kept.columns == docs.columns and not {9001, 9002, 9003, 9004} & {r["doc_id"] for r in kept.collect()}
 
