@@ -308,9 +308,10 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> D
     return keep(both.mapInArrow(run, "a long, b long"), "similar")
 
 
-def _stars(live: DataFrame) -> DataFrame:
-    """``a``, ``b``: each text with one text of each group of minima it is in, which a hash draws anew for every group."""
-    lines = live.select("id", F.posexplode("groups").alias("g", "v")).withColumn("r", F.xxhash64("id", "g"))
+def _stars(live: DataFrame, anew: bool) -> DataFrame:
+    """``a``, ``b``: each text with one text of each group of minima it is in, drawn by a hash. Drawn the same way in all groups, a text
+    of a large group of copies meets one other; drawn anew for every group, it meets as many others as there are groups."""
+    lines = live.select("id", F.posexplode("groups").alias("g", "v")).withColumn("r", F.xxhash64("id", "g") if anew else F.xxhash64("id"))
     first = keep(lines.groupBy("g", "v").agg(F.min_by("id", "r").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "stars")
     return lines.join(first, ["g", "v"]).filter("a <> id").select("a", F.col("id").alias("b"))
 
@@ -322,7 +323,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     Near copies have ``least`` of their distinct shingles in common; a null text is empty, and texts without a word are copies of
     each other. Equal texts are one first. The Gray-order index finds pairs of close fingerprints; texts of this similarity can
     differ in far more bits, so groups of minima of the same hashes find the others. Every pair is then compared by its
-    shingles. What stays is searched again until no similar pair is found.
+    shingles. Large groups shrink in a first search; what stays is searched again until no similar pair is found.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), whole_text(text).alias("text"), F.xxhash64(*columns).alias("id"))
@@ -335,15 +336,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     near = near.join(fp.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
         fp.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = live.join(fp, "fp").filter("a <> id").select("a", F.col("id").alias("b"))
-    pairs = near.unionByName(equal).unionByName(_stars(live))
+    pairs, anew = near.unionByName(equal).unionByName(_stars(live, False)), False
     while True:
         links = _similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, shingle, least)
-        if links.isEmpty():
+        if anew and links.isEmpty():
             break
         stars = connected(links).withColumnRenamed("node", "id")
         member = keep(live.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
         best = keep(member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id")), "best")
         live = keep(live.join(best, "id", "left_semi"), "live")
-        pairs = _stars(live)
+        pairs, anew = _stars(live, True), True
     found = rows.select("row", "id").join(live.select("id"), "id", "left_semi")
     return found.dropDuplicates(["id"]).select("row.*")
