@@ -293,11 +293,14 @@ def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
     return some.mapInArrow(run, some.drop("t").schema.add("fp", "long").add("groups", T.ArrayType(T.LongType())))
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The ``a``, ``b`` of distinct pairs whose texts are similar enough, compared shingle by shingle."""
-    pairs = keep(pairs.distinct(), "pairs")
+def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``id``, ``text`` of all texts in the pairs, stored."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = keep(rows.select("id", "text").join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    return keep(rows.select("id", "text").join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The ``a``, ``b`` of distinct pairs whose texts are similar enough, compared shingle by shingle."""
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -336,9 +339,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     near = near.join(fp.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
         fp.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = live.join(fp, "fp").filter("a <> id").select("a", F.col("id").alias("b"))
-    pairs, anew = near.unionByName(equal).unionByName(_stars(live, False)), False
+    pairs, anew, texts = near.unionByName(equal).unionByName(_stars(live, False)), False, None
     while True:
-        links = _similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, shingle, least)
+        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if texts is None:   # every text of a group with others is in the first pairs, so later searches need no other texts
+            texts = _texts(pairs, rows)
+        links = _similar(pairs, texts, shingle, least)
         if anew and links.isEmpty():
             break
         stars = connected(links).withColumnRenamed("node", "id")
