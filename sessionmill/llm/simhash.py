@@ -25,6 +25,9 @@ QUERIES = 2_048        # queries that go down the index together
 FRONTIER = 1_000_000   # (query, node) pairs held at a time
 SIMILARITY = 0.8       # common share of shingles of near copies, where texts are compared
 GROUPS, ROWS = 24, 5   # groups of minima: texts of that similarity share one with a probability above 0.9999
+SIGMAS = 6.0           # deviations of equal minima below their expected number at which a pair is dropped
+BLOCK = 1_024          # texts of a block of a large cell
+PAIRS = 200_000        # pairs whose minima are compared together
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -258,10 +261,10 @@ def with_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
-def minima_groups(h: np.ndarray) -> np.ndarray:
-    """``GROUPS`` values, each of ``ROWS`` minima of the hashes under fixed random functions; zeros without a hash."""
+def minima(h: np.ndarray) -> np.ndarray:
+    """``GROUPS * ROWS`` minima of the hashes under fixed random functions; zeros without a hash."""
     if not len(h):
-        return np.zeros(GROUPS, np.int64)
+        return np.zeros(GROUPS * ROWS, np.uint64)
     rng = np.random.default_rng(SEED)
     factor, add = (rng.integers(0, 2**63, GROUPS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
     low = np.full(GROUPS * ROWS, 2**64 - 1, np.uint64)
@@ -269,7 +272,12 @@ def minima_groups(h: np.ndarray) -> np.ndarray:
         mixed = h ^ (h >> np.uint64(29))
         for i in range(0, len(h), 2_048):
             low = np.minimum(low, (mixed[i:i + 2_048, None] * factor + add).min(axis=0))
-        low = (low ^ (low >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (low ^ (low >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def minima_groups(low: np.ndarray) -> np.ndarray:
+    """``GROUPS`` values, each of ``ROWS`` minima."""
+    with np.errstate(over="ignore"):
         return (low.reshape(GROUPS, ROWS) * (2 * np.arange(ROWS, dtype=np.uint64) + np.uint64(1))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -280,17 +288,123 @@ def similarity(a: str, b: str, shingle: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+class Marks:
+    """Numbers of distinct shingles and a byte of each minimum; tells which pairs may be similar enough. Equal minima have equal bytes,
+    so a pair is lost only if its equal minima lie ``SIGMAS`` deviations below what its similarity leads to expect."""
+
+    def __init__(self, size: np.ndarray, mark: pa.Array, least: float):
+        m = GROUPS * ROWS
+        self.size, self.mark, self.least = size, np.frombuffer(b"".join(mark.to_pylist()), np.uint8).reshape(-1, m), least
+        self.equal = m * least - SIGMAS * np.sqrt(m * least * (1 - least))
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The listed pairs that may be."""
+        fit = np.minimum(self.size[a], self.size[b]) + 1e-9 >= self.least * np.maximum(self.size[a], self.size[b])
+        a, b = a[fit], b[fit]
+        fit = (self.mark[a] == self.mark[b]).sum(axis=1) >= self.equal
+        return a[fit], b[fit]
+
+
 def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
-    """``id``, ``key``, ``tid``, ``fp``, ``groups`` from ``id``, ``key``, ``text``."""
+    """``id``, ``key``, ``tid``, ``fp``, ``groups``, ``size``, ``mark`` from ``id``, ``key``, ``text``."""
     some = rows.select("id", "key", F.xxhash64("text").alias("tid"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             hashes = [shingle_hashes(t, shingle) for t in b.column("t").to_pylist()]
             fp = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp), pa.array([minima_groups(h) for h in hashes], pa.list_(pa.int64()))],
-                                             [*b.schema.names[:-1], "fp", "groups"])
-    return some.mapInArrow(run, some.drop("t").schema.add("fp", "long").add("groups", T.ArrayType(T.LongType())))
+            low = [minima(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(fp), pa.array([minima_groups(m) for m in low], pa.list_(pa.int64())),
+                 pa.array([len(np.unique(h)) for h in hashes], pa.int64()), pa.array([(m >> np.uint64(56)).astype(np.uint8).tobytes() for m in low], pa.binary())],
+                [*b.schema.names[:-1], "fp", "groups", "size", "mark"])
+    return some.mapInArrow(run, some.drop("t").schema.add("fp", "long").add("groups", T.ArrayType(T.LongType())).add("size", "long").add("mark", "binary"))
+
+
+def _candidates(pairs: DataFrame, live: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs whose minima allow the similarity."""
+    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda i: live.select(F.col("id").alias(i), F.struct("size", "mark").alias(f"m{i}"))
+    both = one.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma.size", "ma.mark", F.col("mb.size").alias("size2"), F.col("mb.mark").alias("mark2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = np.arange(b.num_rows)
+                marks = Marks(np.concatenate([b.column("size").to_numpy(), b.column("size2").to_numpy()]),
+                              pa.concat_arrays([b.column("mark"), b.column("mark2")]), least)
+                yield b.select(["a", "b"]).take(pa.array(marks.may(n, n + b.num_rows)[0]))
+    return keep(both.mapInArrow(run, "a long, b long"), "pairs")
+
+
+def _all_candidates(live: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b``: of all pairs of texts that share a group of minima, those whose minima allow the similarity.
+
+    A cell of more than ``BLOCK`` texts is dealt to (block, block) cells. A pair counts only in the first cell that holds both.
+    """
+    lines = live.select("id", F.posexplode("groups").alias("g", "v"))
+    counts = keep(lines.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn(
+        "blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "cell-sizes")
+    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least(o, F.col("own")).alias("row"), F.greatest(o, F.col("own")).alias("col")))
+    keys = ["g", "v", "row", "col"]
+    cells = keep(lines.join(counts, ["g", "v"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "cell", F.explode(cell)).select("id", "own", "g", "v", "cell.row", "cell.col"), "cells")
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cells.join(live.select("id", "groups", "size", "mark"), "id").repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def listed(first: np.ndarray, n: int, own: np.ndarray, row: np.ndarray, col: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs of each cell, about ``PAIRS`` together."""
+        held, size = [], 0
+        for start, stop in zip(first.tolist(), [*first[1:].tolist(), n]):
+            at = np.arange(start, stop)
+            left, right = at[own[at] == row[start]], at[own[at] == col[start]]
+            step = max(1, PAIRS // max(1, len(right)))
+            for i in range(0, len(left), step):
+                a, b = (x.ravel() for x in np.meshgrid(left[i:i + step], right, indexing="ij"))
+                if row[start] == col[start]:
+                    a, b = a[a < b], b[a < b]
+                held.append((a, b))
+                size += len(a)
+                if size >= PAIRS:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        ids, own, row, col, g = (t.column(k).to_numpy() for k in ("id", "own", "row", "col", "g"))
+        groups = t.column("groups").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        marks = Marks(t.column("size").to_numpy(), t.column("mark"), least)
+        for a, b in listed(_firsts(t, keys), t.num_rows, own, row, col):
+            a, b = marks.may(a, b)
+            early = ((groups[a] == groups[b]) & (np.arange(GROUPS) < g[a][:, None])).any(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[~early]]), pa.array(ids[b[~early]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= 16 * BLOCK:
+                t = pa.Table.from_batches(held)
+                stop = int(_firsts(t, keys)[-1])
+                yield from found(t.slice(0, stop)) if stop else ()
+                held, size = t.slice(stop).to_batches(), t.num_rows - stop
+        if size:
+            yield from found(pa.Table.from_batches(held))
+    return keep(spread.mapInArrow(run, "a long, b long"), "pairs")
+
+
+def _firsts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """First row of each stretch of equal keys."""
+    change = np.zeros(t.num_rows, bool)
+    change[0] = True
+    for k in keys:
+        c = t.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
 def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -325,32 +439,35 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
     Near copies have ``least`` of their distinct shingles in common; a null text is empty, and texts without a word are copies of
     each other. Equal texts are one first. The Gray-order index finds pairs of close fingerprints; texts of this similarity can
-    differ in far more bits, so groups of minima of the same hashes find the others. Every pair is then compared by its
-    shingles. Large groups shrink in a first search; what stays is searched again until no similar pair is found.
+    differ in far more bits, so groups of minima of the same hashes find the others. A pair whose minima allow the similarity is
+    compared by its shingles. Large groups shrink in searches that compare each text with a drawn one of each cell; when these
+    find no more, all pairs of what stays in every cell are looked at, so no two rows that stay are such a pair. A text that
+    was linked only to one that went in an earlier search stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), whole_text(text).alias("text"), F.xxhash64(*columns).alias("id"))
     order = F.struct(F.col("key").isNull().alias("none"), "key", "id")
     sketched = keep(_sketched(rows, shingle), "sketches")
-    live = keep(sketched.groupBy("tid").agg(F.min(F.struct(order.alias("o"), "fp", "groups")).alias("m")).select(
-        "m.o.id", "m.o.key", "m.fp", "m.groups"), "live")
+    live = keep(sketched.groupBy("tid").agg(F.min(F.struct(order.alias("o"), "fp", "groups", "size", "mark")).alias("m")).select(
+        "m.o.id", "m.o.key", "m.fp", "m.groups", "m.size", "m.mark"), "live")
     fp = keep(live.groupBy("fp").agg(F.min("id").alias("a")), "distinct")
     near = near_links(fp.select("fp"), radius)
     near = near.join(fp.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
         fp.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = live.join(fp, "fp").filter("a <> id").select("a", F.col("id").alias("b"))
-    pairs, anew, texts = near.unionByName(equal).unionByName(_stars(live, False)), False, None
+    pairs, search = _candidates(near.unionByName(equal).unionByName(_stars(live, False)), live, least), ""
     while True:
-        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if texts is None:   # every text of a group with others is in the first pairs, so later searches need no other texts
-            texts = _texts(pairs, rows)
-        links = _similar(pairs, texts, shingle, least)
-        if anew and links.isEmpty():
+        links = _similar(pairs, _texts(pairs, rows), shingle, least)
+        none = links.isEmpty()
+        if not none:
+            stars = connected(links).withColumnRenamed("node", "id")
+            member = keep(live.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+            best = keep(member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id")), "best")
+            live = keep(live.join(best, "id", "left_semi"), "live")
+        if search == "all":
             break
-        stars = connected(links).withColumnRenamed("node", "id")
-        member = keep(live.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
-        best = keep(member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id")), "best")
-        live = keep(live.join(best, "id", "left_semi"), "live")
-        pairs, anew = _stars(live, True), True
+        # drawn texts that give no more links leave the other pairs of their cells, which are looked at once
+        search = "all" if none and search else "drawn"
+        pairs = _all_candidates(live, least) if search == "all" else _candidates(_stars(live, True), live, least)
     found = rows.select("row", "id").join(live.select("id"), "id", "left_semi")
     return found.dropDuplicates(["id"]).select("row.*")

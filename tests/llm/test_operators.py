@@ -372,6 +372,26 @@ def test_one_of_each_group_of_near_copies(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 50])
+def test_near_copies_inside_a_family_of_one_template(spark, monkeypatch, block):
+    """Texts that share a long passage but are below 0.8 to each other; a few of them have one near copy."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(5000)]
+    shared, made = [rng.choice(words) for _ in range(200)], []
+    for i in range(300):
+        own = [rng.choice(words) for _ in range(27)]
+        made.append((i, " ".join(shared + own)))
+        if i % 10 == 0:
+            made.append((1000 + i, " ".join(shared + own[:5] + [rng.choice(words) for _ in range(22)])))
+    sets = [shingles(t) for _, t in made]
+    similar = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    pairs = [(made[i][0], made[j][0]) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])]
+    assert sorted(pairs) == [(1000 + i, i) for i in range(0, 300, 10)]
+    out = simhash.one_of_each(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
+
+
 @pytest.mark.parametrize("hot", [50_000, 20])
 def test_gray_index_loses_no_link(spark, monkeypatch, hot):
     rng = np.random.default_rng(8)
