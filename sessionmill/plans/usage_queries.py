@@ -8,7 +8,7 @@ from ..functions import variants as V
 from ..operators import browse as B
 from ..operators import sessions as S
 from ..operators import usage_rows as U
-from ..operators.ordered import scratch_dir
+from ..operators.ordered import running, scratch_dir
 from ..sources import scan
 from ..sources.formats import opencode
 from . import datasets as D
@@ -193,6 +193,25 @@ def document_files(spark, sf):
     return rows.select(F.regexp_extract("path", "owner=([^/]+)/", 1).alias("trace_id"), "row_no", V.text(_C("v"), "$.text").alias("text"))
 
 
+_MESSAGES = 500   # messages of a document
+
+
+@query(q(f"""SELECT trace_id, n // {_MESSAGES} AS part, n % {_MESSAGES} AS row_no, 'x' || k AS text
+  FROM (SELECT trace_id, k, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS n FROM ev)""", EVENTS))
+def document_part_files(spark, sf):
+    """All events, at most ``_MESSAGES`` of a session in one indented document, read as a whole file."""
+    e = running(D.events(spark, sf).select("trace_id", "index", "k"), ["trace_id"], "index", {"n": ("count", None)}).withColumn("n", _C("n") - 1)
+    part = F.floor(_C("n") / _MESSAGES).cast("bigint")
+    docs = e.groupBy("trace_id", part.alias("part")).agg(F.sort_array(F.collect_list(_S("n", "k"))).alias("a"))
+    body = F.to_json(_S(F.lit("d").alias("sessionId"), F.transform("a", lambda x: _S(F.concat(F.lit("x"), x["k"]).alias("text"))).alias("messages")), {"pretty": "true"})
+    path = scratch_dir(spark)
+    docs.select(F.concat_ws("-", "trace_id", "part").alias("owner"), body.alias("value")).repartition("owner").write.partitionBy("owner").option(
+        "maxRecordsPerFile", 1).text(path)
+    rows = scan.document_rows(scan.documents(spark, [path]))
+    owner = lambda i: F.regexp_extract("path", "owner=([^/]+)-([0-9]+)/", i)
+    return rows.select(owner(1).alias("trace_id"), owner(2).cast("bigint").alias("part"), "row_no", V.text(_C("v"), "$.text").alias("text"))
+
+
 @query("""SELECT 's' || conv_id AS owner, 'one' || turn AS text FROM conversations WHERE conv_id % 20 = 0""")
 def entity_files(spark, sf):
     """Message files of every twentieth conversation, indented, read back with their folder as owner."""
