@@ -222,3 +222,15 @@ def entity_files(spark, sf):
         "maxRecordsPerFile", 1).format("text").save(f"{root}/storage/message")
     found = scan.entities(spark, root, "message", glob="*")
     return found.select(F.regexp_replace("owner", "^owner=", "").alias("owner"), V.text(_C("v"), "$.text").alias("text"))
+
+
+@query("""SELECT 's' || conv_id AS owner, 'one' || turn AS text FROM conversations""")
+def entity_message_files(spark, sf):
+    """Message files of all conversations, indented, read back with their folder as owner."""
+    t = D.table(spark, sf, "conversations")
+    body = F.to_json(_S(F.concat(F.lit("one"), "turn").alias("text")), {"pretty": "true"})
+    root = scratch_dir(spark)
+    t.select(F.concat(F.lit("s"), "conv_id").alias("owner"), body.alias("value")).repartition("owner").write.partitionBy("owner").option(
+        "maxRecordsPerFile", 1).text(f"{root}/storage/message")
+    found = scan.entities(spark, root, "message", glob="*")
+    return found.select(F.regexp_replace("owner", "^owner=", "").alias("owner"), V.text(_C("v"), "$.text").alias("text"))
