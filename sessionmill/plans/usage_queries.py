@@ -139,6 +139,15 @@ def timeline(spark, sf):
     return B.timeline(D.events(spark, sf).filter("trace_id IN ('3', '4')"), descending=True).select("event_id", "ts_ms")
 
 
+
+@query(q("SELECT event_id, ts_ms, row_number() OVER (PARTITION BY trace_id ORDER BY ts_ms DESC, seq DESC) AS place FROM ev", EVENTS))
+def timeline_places(spark, sf):
+    """Every event's place in its session, latest first; a session is ordered in chunks of an hour."""
+    e = D.events(spark, sf).select("trace_id", "event_id", "ts_ms", (-_C("ts_ms")).alias("back"), (-_C("index")).alias("tie"))
+    placed = running(e, ["trace_id"], "back", {"place": ("count", None)}, tie=["tie"], chunk=F.floor(_C("back") / 3_600_000).cast("bigint"))
+    return placed.select("event_id", "ts_ms", "place")
+
+
 # ---- functions ----------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, table", [("document_part_files", "events"), ("entity_message_files", "conversations")])
+@pytest.mark.parametrize("name, table", [("timeline_places", "events"), ("document_part_files", "events"), ("entity_message_files", "conversations")])
 def test_query_covers_its_table(spark, name, table):
     assert entry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
