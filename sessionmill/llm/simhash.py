@@ -27,7 +27,8 @@ SIMILARITY = 0.8       # common share of shingles of near copies, where texts ar
 GROUPS, ROWS = 24, 5   # groups of minima: texts of that similarity share one with a probability above 0.9999
 SIGMAS = 6.0           # deviations of equal minima below their expected number at which a pair is dropped
 BLOCK = 1_024          # texts of a block of a large cell
-PAIRS = 200_000        # pairs whose minima are compared together
+PAIRS = 20_000         # pairs whose minima are compared together
+PARTNERS = 10          # pairs of all cells per text up to which no drawn search need shrink the cells first
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -419,7 +420,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "ta"):
             same = [similarity(x, y, shingle) >= least for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
     return keep(both.mapInArrow(run, "a long, b long"), "similar")
@@ -433,6 +434,14 @@ def _stars(live: DataFrame, anew: bool) -> DataFrame:
     return lines.join(first, ["g", "v"]).filter("a <> id").select("a", F.col("id").alias("b"))
 
 
+def _small_cells(live: DataFrame) -> bool:
+    """All cells together have at most ``PARTNERS`` pairs per text."""
+    n = F.col("n")
+    cells = live.select(F.posexplode("groups").alias("g", "v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    pairs, lines = cells.agg(F.sum(n * (n - 1) / 2), F.sum(n)).first()
+    return (pairs or 0) <= PARTNERS * (lines or 0) / GROUPS
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest non-null key's, a null key's only if the group has no other,
     and of equal keys that with the smallest hash of all columns. All columns stay; an empty table gives no rows.
@@ -441,7 +450,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     each other. Equal texts are one first. The Gray-order index finds pairs of close fingerprints; texts of this similarity can
     differ in far more bits, so groups of minima of the same hashes find the others. A pair whose minima allow the similarity is
     compared by its shingles. Large groups shrink in searches that compare each text with a drawn one of each cell; when these
-    find no more, all pairs of what stays in every cell are looked at, so no two rows that stay are such a pair. A text that
+    find no more or cells are small, all pairs of what stays in every cell are looked at, so no two rows that stay are such a pair. A text that
     was linked only to one that went in an earlier search stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -466,8 +475,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             live = keep(live.join(best, "id", "left_semi"), "live")
         if search == "all":
             break
-        # drawn texts that give no more links leave the other pairs of their cells, which are looked at once
-        search = "all" if none and search else "drawn"
+        # the pairs of small cells, and those that drawn texts leave when they give no more links, are looked at once
+        search = "all" if none and search or _small_cells(live) else "drawn"
         pairs = _all_candidates(live, least) if search == "all" else _candidates(_stars(live, True), live, least)
     found = rows.select("row", "id").join(live.select("id"), "id", "left_semi")
     return found.dropDuplicates(["id"]).select("row.*")
