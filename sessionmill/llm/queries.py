@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, language_id, packing, secrets, sharding, simhash, token_counts, token_files, vector_dedup, viterbi
+from . import (fingerprints, importance, language_id, packing, page_text, periodic, secrets, sharding, simhash, token_counts, token_files,
+               vector_dedup, viterbi)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +116,62 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 """)
 def op10_embedding_near_dedup(spark, sf_dir):
     return vector_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in a tenth of the documents, by the CRC-32 of the id, the words from some place on are the first few words
+    there, over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", text.alias("text"), h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words").cast("bigint")
+    some = some.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("bigint"))
+    again = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get(
+        F.col("words"), F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return some.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.find_runs(repeating(documents(spark, sf_dir)), ["doc_id"])
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  length / period, compared without division
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(more(x, y) != 0, -F.signum(more(x, y))).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]))
+                              .otherwise(F.signum(x["period"] - y["period"])).cast("int")), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query()
+def op12_html_extraction(spark, sf_dir):
+    return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+
+
+# CRC-32 byte by byte, with its table made by eight halvings of each byte; every distinct word is hashed once.
+@query("""
+WITH tab AS (SELECT list(c ORDER BY i) t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) c
+     FROM range(256) r(i))),
+ w AS (SELECT 'd' side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w FROM documents
+   UNION ALL SELECT 't', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+ bytes AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::INT, 2))::BIGINT) b FROM (SELECT DISTINCT w FROM w)),
+ hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 10000 k FROM bytes, tab),
+ f AS (SELECT side, doc_id, k FROM w JOIN hashed USING (w)),
+ n AS (SELECT count(*) FILTER (side = 'd') s, count(*) FILTER (side = 't') t FROM f),
+ gain AS (SELECT k, floor(1000 * ln(((count(*) FILTER (side = 't') + 1)::DOUBLE * (n.s + 10000)::DOUBLE)
+     / ((count(*) FILTER (side = 'd') + 1)::DOUBLE * (n.t + 10000)::DOUBLE)))::BIGINT g FROM f, n GROUP BY k, n.s, n.t),
+ weights AS (SELECT doc_id, count(*) n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT weight FROM f JOIN gain USING (k) WHERE side = 'd' GROUP BY doc_id),
+ scored AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight,
+     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || d.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT score
+     FROM documents d LEFT JOIN weights USING (doc_id)),
+ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) r, count(*) OVER () n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+""")
+def op13_importance_resampling(spark, sf_dir):
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
