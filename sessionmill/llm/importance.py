@@ -62,7 +62,7 @@ def bucket_counts(docs: DataFrame, text: str, longest: int = LONGEST, buckets: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in slices(batches, "t"):
-            for bucket, _ in buckets_of(b.column("t").cast(pa.large_string()), longest, buckets):
+            for bucket, _ in buckets_of(b.column("t"), longest, buckets):
                 total += np.bincount(bucket, minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
@@ -86,7 +86,7 @@ def weighed(docs: DataFrame, key: str, text: str, gain: np.ndarray, longest: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             words = features = total = np.zeros(b.num_rows, np.int64)
-            for n, (bucket, begin) in enumerate(buckets_of(b.column("t").cast(pa.large_string()), longest, len(gain))):
+            for n, (bucket, begin) in enumerate(buckets_of(b.column("t"), longest, len(gain))):
                 upto = np.concatenate([[0], np.cumsum(gain.take(bucket))])
                 total = total + upto[begin[1:]] - upto[begin[:-1]]
                 features = features + np.diff(begin)

@@ -175,10 +175,10 @@ def find_runs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__t"):
-            split, ids, begin = split_words(b.column("__t").cast(pa.large_string()))
+            split, ids, begin = split_words(b.column("__t"))
             at, lags = openings(ids, begin)
             found: list[list[Run]] = [[]] * b.num_rows
-            joined = pc.binary_join(split, pa.scalar(" ", pa.large_string())).to_pylist()
+            joined = pc.binary_join(split, pa.scalar(" ", split.type.value_type)).to_pylist()
             owner = np.searchsorted(begin, at, side="right") - 1
             cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
             for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):

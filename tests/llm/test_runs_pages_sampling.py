@@ -207,3 +207,17 @@ def test_resampling_equals_brute_force(spark, docs, empty, longest, percent, buc
     assert Counter(map(tuple, got.collect())) == want and got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
     if longest == 2:
         assert importance.resample(empty, target).count() == 0 and importance.resample(docs, empty).count() == docs.count()
+
+
+def test_words_of_slices_are_those_of_their_texts():
+    """A slice of a batch begins inside the batch's buffers."""
+    texts = [f"Ä{'ö' * (i % 7)}{i} Two, three\n ÉTÉ{i % 5} x" * (i % 4) for i in range(300)]
+    whole = pa.array(texts)
+    for a, n in ((0, 300), (7, 100), (150, 150), (299, 1)):
+        part = whole.slice(a, n)
+        split, ids, begin = periodic.split_words(part)
+        assert [WORD.findall(t) for t in texts[a:a + n]] == [[w for w in x if w] for x in split.to_pylist()] and len(ids) == begin[-1]
+        words, begin = importance.split_words(part)
+        flat = words.cast(pa.string()).to_pylist()
+        low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        assert [flat[i:j] for i, j in zip(begin, begin[1:])] == [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)) for t in texts[a:a + n]]
