@@ -78,21 +78,25 @@ def coalesced_deltas(deltas: DataFrame) -> DataFrame:
 
     ``deltas``: version, type, trace_id ('' for the overview), appended, payload. A session added in the batch stays
     added unless a removal came after; the newest payload counts; appended numbers add up. ``first_version`` gives the
-    first-seen order. Everything folds map-side, a hot session is no problem.
+    first-seen order. Everything folds map-side, a hot session is no problem. With a column ``latest`` (event ids) the newest events
+    of all appends of a session follow one another, each once where it came first; those are at most ``LATEST_EVENTS`` per append.
     """
     cls = (F.when(F.col("type").isin("trace_added", "trace_updated", "trace_removed"), "trace")
            .when(F.col("type") == "events_appended", "append").when(F.col("type") == "overview_updated", "overview"))
     at = lambda t: F.max(F.when(F.col("type") == t, F.col("version")))
     key = F.when(F.col("type") == "overview_updated", "").otherwise(F.col("trace_id"))
+    merged = "latest" in deltas.columns
+    parts = F.sort_array(F.collect_list(F.when((F.col("cls") == "append") & (F.size("latest") > 0), F.struct("version", "latest")))) if merged else None
+    latest = [F.array_distinct(F.flatten(F.transform(parts, lambda x: x["latest"]))).alias("latest")] if merged else []
     per = (deltas.withColumn("cls", cls).filter("cls IS NOT NULL").withColumn("k", key).groupBy("k", "cls")
            .agg(F.min("version").alias("first_version"), F.max("version").alias("version"), F.max_by("type", "version").alias("last_type"),
                 F.max_by("payload", "version").alias("payload"), F.sum("appended").alias("appended"),
-                at("trace_added").alias("added_at"), at("trace_removed").alias("removed_at")))
+                at("trace_added").alias("added_at"), at("trace_removed").alias("removed_at"), *latest))
     added = F.coalesce(F.col("added_at") > F.coalesce("removed_at", F.lit(-1)), F.lit(False))
     typ = F.when((F.col("cls") == "trace") & (F.col("last_type") != "trace_removed"),
                  F.when(added, "trace_added").otherwise("trace_updated")).otherwise(F.col("last_type"))
     return per.select(F.col("k").alias("trace_id"), typ.alias("type"), "version", "first_version",
-                      F.when(F.col("cls") == "append", F.col("appended")).alias("appended"), "payload")
+                      F.when(F.col("cls") == "append", F.col("appended")).alias("appended"), "payload", *(["latest"] if merged else []))
 
 
 def session_deltas(before: DataFrame, now: DataFrame, stamp_column: str = "stamp") -> DataFrame:

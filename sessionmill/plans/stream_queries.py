@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sets as T
 from ..operators.ordered import scratch_dir
 from ..streaming import aggregates as G
+from ..streaming import live as L
 from . import datasets as D
 from .oracle import EVENTS, SEG, SESS, q
 from .registry import query
@@ -44,3 +46,48 @@ def stream_bins(spark, sf):
 def stream_sessions(spark, sf):
     out = G.drain(G.session_summaries(_stream(spark, sf, False)), scratch_dir(spark), "complete")
     return out.select("trace_id", "event_count", "error_count", "tool_use_count", "tool_result_count", "first_ts_ms", "last_ts_ms")
+
+
+_PARTS = 3   # the events in three parts by id, each one batch of the live stream
+_LIVE = f"""cut AS (SELECT ev.*, seq * {_PARTS} // (SELECT max(seq) + 1 FROM ev) AS batch FROM ev),
+upto AS (SELECT b.batch, c.* EXCLUDE (batch), c.batch AS own FROM (SELECT DISTINCT trace_id, batch FROM cut) b JOIN cut c ON c.trace_id = b.trace_id AND c.batch <= b.batch),
+tools AS (SELECT batch, trace_id, count(*) FILTER (WHERE u AND NOT r) AS unmatched FROM (SELECT batch, trace_id, tool_use_id, bool_or(event_kind = 'tool_use') AS u,
+  bool_or(event_kind = 'tool_result') AS r FROM upto WHERE tool_use_id <> '' GROUP BY ALL) GROUP BY ALL),
+told AS (SELECT batch, trace_id, NOT arg_max(event_kind IN ('user', 'tool_use', 'tool_result'), seq) AS pending_wait FROM upto
+  WHERE event_kind IN ('user', 'tool_use', 'tool_result') OR preview = '{D.WAIT_TEXT}' GROUP BY ALL),
+now AS (SELECT batch, trace_id, count(*) AS event_count, count(*) FILTER (WHERE has_error) AS error_count, count(*) FILTER (WHERE event_kind = 'tool_use') AS tool_use_count,
+  count(*) FILTER (WHERE event_kind = 'tool_result') AS tool_result_count, arg_min(ts_ms, seq) AS first_ts_ms, arg_max(ts_ms, seq) AS last_ts_ms,
+  count(*) FILTER (WHERE own = batch) AS appended, list(event_id ORDER BY seq DESC) FILTER (WHERE own = batch)[1:40] AS newest, min(own) = batch AS fresh FROM upto GROUP BY batch, trace_id),
+live AS (SELECT now.*, coalesce(unmatched, 0)::BIGINT AS unmatched_tool_uses, coalesce(pending_wait, false) AS pending_wait, list_reverse(newest) AS latest
+  FROM now LEFT JOIN tools USING (batch, trace_id) LEFT JOIN told USING (batch, trace_id))"""
+_LIVE_COLUMNS = "event_count, error_count, tool_use_count, tool_result_count, first_ts_ms, last_ts_ms, unmatched_tool_uses, pending_wait"
+
+
+def _live(spark, sf):
+    """The deltas of the event sessions after three drains; the rows of a part are written just before its own."""
+    e = D.events(spark, sf).withColumn("is_wait", F.col("preview") == D.WAIT_TEXT)
+    root, top = scratch_dir(spark), e.agg((F.max("index") + 1).alias("n"))
+    parted = L.event_rows(e).crossJoin(F.broadcast(top)).withColumn("part", F.floor(F.col("index") * _PARTS / F.col("n")).cast("int")).drop("n")  # one row
+    parted.write.partitionBy("part").parquet(f"{root}/parts")
+    for i in range(_PARTS):
+        spark.read.parquet(f"{root}/parts").filter(F.col("part") == i).drop("part").write.parquet(f"{root}/stream/{i}")
+        sink = L.drain_live(spark.readStream.schema(L.EVENT).option("recursiveFileLookup", "true").parquet(f"{root}/stream"), root)
+    return sink.deltas()
+
+
+@query(q(f"""SELECT batch, trace_id, CASE WHEN fresh THEN 'trace_added' ELSE 'trace_updated' END AS type, NULL::BIGINT AS appended, '' AS latest, {_LIVE_COLUMNS} FROM live
+ UNION ALL SELECT batch, trace_id, 'events_appended', appended, array_to_string(latest, ','), {_LIVE_COLUMNS} FROM live
+ UNION ALL SELECT DISTINCT batch, '', 'overview_updated', NULL, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM live""", EVENTS, _LIVE))
+def stream_deltas(spark, sf):
+    """The change feed of three batches, each from kept state and its own rows."""
+    return _live(spark, sf).select(F.col("batch").cast("bigint").alias("batch"), "trace_id", "type", "appended", F.coalesce(F.array_join("latest", ","), F.lit("")).alias("latest"),
+                                   *_LIVE_COLUMNS.split(", "))
+
+
+@query(q("""SELECT trace_id, 'trace_added' AS type, NULL::BIGINT AS appended, '' AS latest FROM live GROUP BY ALL
+ UNION ALL SELECT trace_id, 'events_appended', sum(appended)::BIGINT, array_to_string(flatten(list(latest ORDER BY batch)), ',') FROM live GROUP BY trace_id
+ UNION ALL SELECT '', 'overview_updated', NULL, '' FROM (SELECT count(*) FROM live)""", EVENTS, _LIVE))
+def stream_deltas_coalesced(spark, sf):
+    """The same feed as one change per session and class, with the newest events of all its appends."""
+    d = T.coalesced_deltas(_live(spark, sf).withColumn("payload", F.lit("")))
+    return d.select("trace_id", "type", "appended", F.array_join("latest", ",").alias("latest"))
