@@ -91,3 +91,30 @@ def stream_deltas_coalesced(spark, sf):
     """The same feed as one change per session and class, with the newest events of all its appends."""
     d = T.coalesced_deltas(_live(spark, sf).withColumn("payload", F.lit("")))
     return d.select("trace_id", "type", "appended", F.array_join("latest", ",").alias("latest"))
+
+
+def _repaired(spark, sf):
+    """Four fifths of the events on time, then one far later row that closes all of them, then the last fifth, all of it late."""
+    root = scratch_dir(spark)
+    e = D.events(spark, sf).select(*_COLUMNS)
+    far = e.agg((F.max("ts_ms") + 10 * 86_400_000).alias("ts_ms")).select(F.lit(_SENTINEL).alias("trace_id"), F.lit(-1).cast("bigint").alias("index"), "ts_ms",
+                                                                          F.lit(_SENTINEL).alias("agent"), F.lit("meta").alias("event_kind"), F.lit(False).alias("has_error"))
+    fifth = F.pmod(F.xxhash64("index"), F.lit(5)) == 0
+    kept = G.Repaired(spark, f"{root}/kept", e.schema, bin_minutes=30)
+    for i, part in enumerate((e.filter(~fifth), far, e.filter(fifth))):
+        part.write.parquet(f"{root}/source/{i}")
+        kept.advance(spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{root}/source"))
+    return kept
+
+
+@query(q("SELECT trace_id, start_ms, end_ms, n_events FROM seg", EVENTS, SEG))
+def stream_segments_repaired(spark, sf):
+    """Streamed segments with late rows folded in equal those of all rows."""
+    return _repaired(spark, sf).segments.read().filter(F.col("trace_id") != _SENTINEL).select("trace_id", "start_ms", "end_ms", "n_events")
+
+
+@query(q("""SELECT ts_ms // 1800000 * 1800000 AS start_ms, agent, count(DISTINCT trace_id) AS sessions, count(*) AS events FROM ev
+  GROUP BY 1, 2""", EVENTS))
+def stream_bins_repaired(spark, sf):
+    """Streamed bins with late rows folded in equal those of all rows."""
+    return _repaired(spark, sf).bins.read().filter(F.col("agent") != _SENTINEL)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import sessions as S
 from ..operators.segments import IDLE_GAP_MS
+from .stores import BinStore, SegmentStore, folder_names
 
 WATERMARK = "24 hours"
 
@@ -40,12 +41,20 @@ def activity_bins(events: DataFrame, bin_minutes: int = 5, start_hour: int = 7)
 
     Bins start at the local day start, which matters for bin lengths that do not divide an hour.
     """
-    w = F.window("ts", f"{bin_minutes} minutes", startTime=f"{start_hour * 60 % bin_minutes} minutes")
-    per = events.groupBy(w, "agent", "trace_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(F.col("window"), "agent").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events")).select(
+    return _binned(events, bin_minutes, start_hour).groupBy(F.col("window"), "agent").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events")).select(
         F.unix_millis("window.start").alias("start_ms"), "agent", "sessions", "events")
 
 
+def _binned(events: DataFrame, bin_minutes: int, start_hour: int) -> DataFrame:
+    w = F.window("ts", f"{bin_minutes} minutes", startTime=f"{start_hour * 60 % bin_minutes} minutes")
+    return events.groupBy(w, "agent", "trace_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bin_members(events: DataFrame, bin_minutes: int = 5, start_hour: int = 7) -> DataFrame:
+    """Events per bin, agent and session, the rows that ``stores.BinStore`` keeps (append mode)."""
+    return _binned(events, bin_minutes, start_hour).select(F.unix_millis("window.start").alias("start_ms"), "agent", "trace_id", "n")
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over everything that is there and gives what it wrote; checkpoint and output lie below ``path``."""
     out, state = f"{path}/out", f"{path}/state"
@@ -79,6 +88,49 @@ class LateSplitter:
             f"{self.root}/marks")
 
 
+class Repaired:
+    """On-time aggregates by streams, and late rows folded into what they stored (SS15).
+
+    ``advance(source)`` takes what the source has new: the splitter lays late rows aside; the aggregates read the on-time rows, all of a
+    splitter's batch in one batch of theirs, so their watermark drops none; what they closed and the late rows are then
+    added to the stores, which rewrite only the partitions these touch. A call that is repeated adds nothing twice.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema, delay_ms: int = 86_400_000, bin_minutes: int = 5):
+        self.spark, self.root, self.schema, self.bin_minutes = spark, root.rstrip("/"), schema, bin_minutes
+        self.split = LateSplitter(spark, f"{self.root}/rows", delay_ms)
+        self.delay = f"{delay_ms} milliseconds"
+        self.segments, self.bins = SegmentStore(spark, f"{self.root}/segments"), BinStore(spark, f"{self.root}/bins")
+
+    def _drain(self, stream: DataFrame, name: str, sink) -> None:
+        (stream.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{self.root}/state-{name}")
+         .trigger(availableNow=True).start().awaitTermination())
+
+    def _add(self, store: SegmentStore | BinStore, folder: str, late: bool) -> None:
+        """Add the batches of a folder that the store has not had: closed ones are even runs, late ones odd."""
+        done = store.store.runs()
+        for n in sorted(int(b.removeprefix("batch=")) for b in folder_names(self.spark, f"{self.root}/{folder}") if b.startswith("batch=")):
+            if 2 * n + late not in done:
+                rows = self.spark.read.parquet(f"{self.root}/{folder}/batch={n}")
+                if not late:
+                    store.add(2 * n, rows)
+                elif store is self.bins:
+                    store.add_events(2 * n + 1, rows, self.bin_minutes)
+                else:
+                    store.add_events(2 * n + 1, rows)
+
+    def advance(self, source: DataFrame) -> None:
+        self._drain(source, "split", self.split)
+        timed = lambda: with_event_time(self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(
+            f"{self.root}/rows/on_time"), self.delay)
+        into = lambda name: (lambda df, i: df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={i}"))
+        self._drain(active_segments(timed()), "segments", into("closed-segments"))
+        self._drain(bin_members(timed(), self.bin_minutes), "bins", into("closed-bins"))
+        for store, closed in ((self.segments, "closed-segments"), (self.bins, "closed-bins")):
+            self._add(store, closed, False)
+            self._add(store, "rows/late", True)
+
+
 def with_late_rows(spark: SparkSession, root: str) -> DataFrame:
     """On-time and late rows together, for the batch repair."""
     read = lambda part: spark.read.option("basePath", f"{root}/{part}").parquet(f"{root}/{part}").drop("batch")
