@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from ..operators import sets as T
 from ..operators.ordered import scratch_dir
+from ..sources import scan
 from ..streaming import aggregates as G
+from ..streaming import invalidation as I
 from ..streaming import live as L
 from . import datasets as D
 from .oracle import EVENTS, SEG, SESS, q
@@ -93,14 +95,14 @@ def stream_deltas_coalesced(spark, sf):
     return d.select("trace_id", "type", "appended", F.array_join("latest", ",").alias("latest"))
 
 
-def _repaired(spark, sf):
+def _repaired(spark, sf, name):
     """Four fifths of the events on time, then one far later row that closes all of them, then the last fifth, all of it late."""
     root = scratch_dir(spark)
     e = D.events(spark, sf).select(*_COLUMNS)
     far = e.agg((F.max("ts_ms") + 10 * 86_400_000).alias("ts_ms")).select(F.lit(_SENTINEL).alias("trace_id"), F.lit(-1).cast("bigint").alias("index"), "ts_ms",
                                                                           F.lit(_SENTINEL).alias("agent"), F.lit("meta").alias("event_kind"), F.lit(False).alias("has_error"))
     fifth = F.pmod(F.xxhash64("index"), F.lit(5)) == 0
-    kept = G.Repaired(spark, f"{root}/kept", e.schema, bin_minutes=30)
+    kept = G.Repaired(spark, f"{root}/kept", e.schema, bin_minutes=30, kept=(name,), buckets=8)
     for i, part in enumerate((e.filter(~fifth), far, e.filter(fifth))):
         part.write.parquet(f"{root}/source/{i}")
         kept.advance(spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{root}/source"))
@@ -110,11 +112,44 @@ def _repaired(spark, sf):
 @query(q("SELECT trace_id, start_ms, end_ms, n_events FROM seg", EVENTS, SEG))
 def stream_segments_repaired(spark, sf):
     """Streamed segments with late rows folded in equal those of all rows."""
-    return _repaired(spark, sf).segments.read().filter(F.col("trace_id") != _SENTINEL).select("trace_id", "start_ms", "end_ms", "n_events")
+    return _repaired(spark, sf, "segments").segments.read().filter(F.col("trace_id") != _SENTINEL).select("trace_id", "start_ms", "end_ms", "n_events")
 
 
 @query(q("""SELECT ts_ms // 1800000 * 1800000 AS start_ms, agent, count(DISTINCT trace_id) AS sessions, count(*) AS events FROM ev
   GROUP BY 1, 2""", EVENTS))
 def stream_bins_repaired(spark, sf):
     """Streamed bins with late rows folded in equal those of all rows."""
-    return _repaired(spark, sf).bins.read().filter(F.col("agent") != _SENTINEL)
+    return _repaired(spark, sf, "bins").bins.read().filter(F.col("agent") != _SENTINEL)
+
+
+def _files(t, version, turns):
+    """Session, message and part files of the conversations: a part's text is its turn's, ``version`` says from which run."""
+    c, sid, at = F.col, F.concat(F.lit("s"), "conv_id"), F.lpad(F.col("turn").cast("string"), 6, "0")
+    mid, body = F.concat(F.lit("m"), "conv_id", F.lit("-"), at), lambda **x: F.to_json(F.struct(*[e.alias(n) for n, e in x.items()]))
+    sessions = t.select("conv_id").distinct().select(F.concat(F.lit("storage/session/p/"), sid, F.lit(".json")).alias("name"), body(id=sid, title=F.concat(F.lit("T"), "conv_id")).alias("text"))
+    rows = t.filter(turns)
+    messages = rows.select(F.concat(F.lit("storage/message/"), sid, F.lit("/"), mid, F.lit(".json")).alias("name"),
+                           body(id=mid, role=c("role"), time=F.struct((c("turn") * 1000 + 1_700_000_000_000).alias("created"))).alias("text"))
+    parts = rows.select(F.concat(F.lit("storage/part/"), mid, F.lit("/p.json")).alias("name"),
+                        body(id=F.lit("p"), type=F.lit("text"), text=F.concat(F.lit(f"{version} "), "role", F.lit(" "), F.length("text"))).alias("text"))
+    return sessions, messages, parts
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'changed' ELSE 'first' END || ' ' || role || ' ' || length(text) AS txt,
+  CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS kind FROM conversations WHERE turn % 4 <> 3 UNION ALL SELECT DISTINCT conv_id, -1, 'T' || conv_id, 'meta' FROM conversations)
+SELECT 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, kind AS event_kind, txt AS text FROM t""")
+def entity_refresh(spark, sf):
+    """All conversations as files, twice: in the second run the parts of some turns have changed, the messages of others have come, and
+    the parts of a third kind are without their message. Events are those of a fresh ingest."""
+    t, root = D.table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"]), scratch_dir(spark)
+    files, turn = f"{root}/files", F.col("turn") % 4
+    kept = I.SessionFiles(spark, f"{root}/kept", buckets=16)
+    first, second = _files(t, "first", turn < 2), _files(t, "changed", turn == 1)
+    new = _files(t, "first", turn >= 2)
+    late = _files(t, "first", turn == 2)
+    # messages of turns 2 come in the second run, their parts are there from the first; turns 3 never get a message
+    for run, some in enumerate(((*first, new[2]), (second[2], late[1]))):
+        for rows in some:
+            scan.write_files(rows, files)
+        kept.refresh(scan.log_files(spark, [files]), run)
+    return kept.read().select("session_id", "index", "event_kind", F.coalesce(F.get("text_blocks", F.lit(0)), F.lit("")).alias("text"))

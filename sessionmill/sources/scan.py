@@ -319,5 +319,19 @@ def write_jsonl(events: DataFrame, path: str, mode: str = "errorifexists") -> No
     events.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """One file per row (name below the root, text), written in tasks and replaced if it is there."""
+    def put(batches):
+        from pyarrow import fs
+        for b in batches:
+            for name, text in zip(b["name"], b["text"]):
+                store, path = fs.FileSystem.from_uri(f"{root.removeprefix('file://') if root.startswith('file:///') else root.removeprefix('file:')}/{name}")
+                store.create_dir(path.rsplit("/", 1)[0])
+                with store.open_output_stream(path) as out:
+                    out.write(text.encode())
+            yield b[["name"]]
+    files.select("name", "text").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+
+
 def as_json_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))

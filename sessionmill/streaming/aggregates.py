@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import sessions as S
 from ..operators.segments import IDLE_GAP_MS
-from .stores import BinStore, SegmentStore, folder_names
+from .stores import BUCKETS, BinStore, SegmentStore, folder_names
 
 WATERMARK = "24 hours"
 
@@ -96,11 +96,12 @@ class Repaired:
     added to the stores, which rewrite only the partitions these touch. A call that is repeated adds nothing twice.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema, delay_ms: int = 86_400_000, bin_minutes: int = 5):
-        self.spark, self.root, self.schema, self.bin_minutes = spark, root.rstrip("/"), schema, bin_minutes
+    def __init__(self, spark: SparkSession, root: str, schema, delay_ms: int = 86_400_000, bin_minutes: int = 5, kept: tuple[str, ...] = ("segments", "bins"),
+                 buckets: int = BUCKETS):
+        self.spark, self.root, self.schema, self.bin_minutes, self.kept = spark, root.rstrip("/"), schema, bin_minutes, kept
         self.split = LateSplitter(spark, f"{self.root}/rows", delay_ms)
         self.delay = f"{delay_ms} milliseconds"
-        self.segments, self.bins = SegmentStore(spark, f"{self.root}/segments"), BinStore(spark, f"{self.root}/bins")
+        self.segments, self.bins = SegmentStore(spark, f"{self.root}/segments", buckets=buckets), BinStore(spark, f"{self.root}/bins")
 
     def _drain(self, stream: DataFrame, name: str, sink) -> None:
         (stream.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{self.root}/state-{name}")
@@ -124,10 +125,10 @@ class Repaired:
         timed = lambda: with_event_time(self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(
             f"{self.root}/rows/on_time"), self.delay)
         into = lambda name: (lambda df, i: df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={i}"))
-        self._drain(active_segments(timed()), "segments", into("closed-segments"))
-        self._drain(bin_members(timed(), self.bin_minutes), "bins", into("closed-bins"))
-        for store, closed in ((self.segments, "closed-segments"), (self.bins, "closed-bins")):
-            self._add(store, closed, False)
+        for name in self.kept:
+            store = self.segments if name == "segments" else self.bins
+            self._drain(active_segments(timed()) if name == "segments" else bin_members(timed(), self.bin_minutes), name, into(f"closed-{name}"))
+            self._add(store, f"closed-{name}", False)
             self._add(store, "rows/late", True)
 
 

@@ -1,10 +1,16 @@
 """Stores that rewrite what a run touches, late rows folded into them, and a changed file deriving its session again."""
+import json
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionmill.operators.segments import active_segments
+from sessionmill.plans.ingest import read_entities
+from sessionmill.sources import scan
 from sessionmill.streaming import aggregates as G
+from sessionmill.streaming import invalidation as I
 from sessionmill.streaming import stores as S
 
 MIN = 60_000
@@ -61,3 +67,51 @@ def test_late_rows_are_repaired_with_ordinary_ones_between(spark, tmp_path):
     for t, ms in rows:
         bins.setdefault(ms // 300_000 * 300_000, []).append(t)
     assert {r.start_ms: (r.sessions, r.events) for r in kept.bins.read().collect()} == {k: (len(set(v)), len(v)) for k, v in bins.items()}
+
+
+def test_changed_files_derive_their_sessions_alone(spark, tmp_path, monkeypatch):
+    root, n = tmp_path / "h", [1_000_000]
+
+    def put(name, **body):
+        n[0] += 10
+        p = root / "storage" / name
+        os.makedirs(p.parent, exist_ok=True)
+        p.write_text(body.pop("raw", None) or json.dumps(body))
+        os.utime(p, (n[0], n[0]))
+    os.makedirs(root / "storage/session_diff")
+    for s in "abcde":
+        put(f"session/p/{s}.json", id=s, title=f"T{s}")
+        put(f"message/{s}/m{s}.json", id=f"m{s}", role="user", time={"created": 5})
+        put(f"part/m{s}/p.json", id="p", type="text", text=f"text {s}")
+    put("part/later/p.json", id="p", type="text", text="waits")
+    kept = I.SessionFiles(spark, str(tmp_path / "kept"), buckets=3)
+    listing = lambda: scan.log_files(spark, [str(root)])
+    ids = lambda run: sorted(r.session_id for r in kept.refresh(listing(), run).collect())
+    columns = ("trace_id", "index", "event_kind", "preview", "ts_ms", "raw_json", "event_id")
+
+    def check():
+        want = read_entities(spark, str(root), 0, diffs=True).events
+        assert sorted(map(tuple, kept.read().select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert ids(0) == list("abcde")
+    check()
+    assert ids(1) == [] and set(kept.events.manifest().values()) <= {0}
+    put("part/mb/p.json", id="p", type="text", text="other text")               # a changed part
+    os.remove(root / "storage/part/mc/p.json")                                  # a part that vanishes
+    put("message/d/later.json", id="later", role="assistant", time={"created": 9})   # the message that a part waited for
+    put("part/me/q.json", raw="{half")                                          # being written
+    assert ids(2) == ["b", "c", "d"]
+    check()
+    put("part/me/q.json", id="q", type="text", text="whole now")
+    put("session_diff/f.json", files=[])
+    os.remove(root / "storage/session/p/a.json")
+    os.remove(root / "storage/message/b/mb.json")                               # its parts have no message any more
+
+    def broken(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:                                            # the run fails after two of its stores are written
+        m.setattr(I.SessionFiles, "_normalized", broken)
+        with pytest.raises(RuntimeError):
+            ids(3)
+    assert ids(3) == ["a", "b", "e", "f"]
+    check()
+    assert ids(4) == []
