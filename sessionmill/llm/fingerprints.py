@@ -109,34 +109,39 @@ def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differing).cast("double") / (n_a + n_b + differing).cast("double"))
 
 
-def order_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k``, ``h``, ``n``, ``copies``, ``rank``, ``prior``, ``need``: the distinct (key, hash of text) by ascending key, null first, then hash; the
-    rank before (the last of all before the first) and half that document's length, which it takes from this one."""
-    ids = docs.groupBy(F.col(key).alias("k"), F.xxhash64(whole_text(text)).alias("h")).agg(
-        F.max(F.length(whole_text(text))).cast("bigint").alias("n"), F.count(F.lit(1)).alias("copies"))
-    shared_dir(docs.sparkSession)
+def named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``ks`` and ``kn`` (the key as text, and whether it is null), ``h`` (hash of the text), ``k`` and ``t``."""
+    k = F.col(f"`{key}`")
+    return docs.select(F.coalesce(k.cast("string"), F.lit("")).alias("ks"), k.isNull().alias("kn"), F.xxhash64(whole_text(F.col(f"`{text}`"))).alias("h"), k.alias("k"),
+                       whole_text(F.col(f"`{text}`")).alias("t"))
+
+
+def order_of(rows: DataFrame) -> DataFrame:
+    """``ks``, ``kn``, ``h``, ``k``, ``n``, ``copies`` and ``pks``, ``pkn``, ``ph``, ``need``: the distinct (key, hash of text), with the one before
+    (the last of all before the first) by ascending key, null first, then hash, and half that document's length, which it takes from
+    this one."""
+    ids = rows.groupBy("ks", "kn", "h").agg(F.min("k").alias("k"), F.max(F.length("t")).cast("bigint").alias("n"), F.count(F.lit(1)).alias("copies"))
+    shared_dir(rows.sparkSession)
     ranked = keep(global_rank(ids, [F.col("k").asc_nulls_first(), F.col("h").asc()]), "order")
     last = ranked.agg(F.max("rank")).first()[0]
     prior = ranked.select(F.when(F.col("rank") == last, F.lit(1)).otherwise(F.col("rank") + 1).cast("bigint").alias("rank"),
-                          F.col("rank").alias("prior"), F.expr("n div 2").alias("need"))
-    return ranked.join(prior, "rank")
+                          F.col("ks").alias("pks"), F.col("kn").alias("pkn"), F.col("h").alias("ph"), F.expr("n div 2").alias("need"))
+    return ranked.join(prior, "rank").drop("rank")
 
 
 def with_edits(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k``, ``n``, ``edited_sha256`` and the digest sets ``own``, ``edited``, ``next`` of each row.
+    """``k``, ``copies``, ``n``, ``edited_sha256`` (binary) and the digest sets ``own``, ``edited``, ``next`` of each distinct (key, text).
 
-    Texts are exchanged twice: whole once by key to learn what the document before needs, then half of each with the needed
-    start of the next.
+    Texts are exchanged once, by key and hash, where repeated rows are one already; each then sends the start that the document
+    before needs to where that one lies.
     """
-    rows = docs.select(F.col(key).alias("k"), whole_text(text).alias("t")).withColumn("h", F.xxhash64("t"))
-    order = order_of(docs, key, text)
-    placed = rows.join(order, rows["k"].eqNullSafe(order["k"]) & (rows["h"] == order["h"])).select(
-        rows["k"], "t", order["n"], "copies", "rank", "prior", "need")
-    own = placed.select("k", "rank", "n", F.expr("left(t, cast(n - n div 2 as int))").alias("t"), paragraphs("t").alias("own"))
-    given = placed.select("copies", F.col("prior").alias("rank"), F.expr("left(t, cast(need as int))").alias("start"), paragraphs("t").alias("next"))
-    given = given.filter("copies = 1").unionByName(given.filter("copies > 1").dropDuplicates(["rank"])).drop("copies")
-    edited = own.join(given, "rank").withColumn("t", F.concat("t", "start"))
-    return edited.select("k", "n", F.sha2(F.col("t").cast("binary"), 256).alias("edited_sha256"), "own", paragraphs("t").alias("edited"), "next")
+    rows, at = named(docs, key, text), ["ks", "kn", "h"]
+    texts = rows.groupBy(*at).agg(F.any_value("t").alias("t"))
+    placed = texts.join(order_of(rows), at)
+    own = placed.select(*at, "k", "copies", "n", F.expr("left(t, cast(n - n div 2 as int))").alias("t"), paragraphs("t").alias("own"))
+    given = placed.select(F.col("pks").alias("ks"), F.col("pkn").alias("kn"), F.col("ph").alias("h"), F.expr("left(t, cast(need as int))").alias("start"), paragraphs("t").alias("next"))
+    edited = own.join(given, at).withColumn("t", F.concat("t", "start"))
+    return edited.select("k", "copies", "n", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("edited_sha256"), "own", paragraphs("t").alias("edited"), "next")
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,7 +155,9 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
         rows.select((F.col("id") * 2 + 1).alias("id"), F.col("own").alias("a"), F.col("next").alias("b")))
     apart = difference(pairs).groupBy(F.expr("id div 2").alias("id")).agg(
         F.sum(F.when(F.col("id") % 2 == 0, F.size("found"))).alias("d_edited"), F.sum(F.when(F.col("id") % 2 == 1, F.size("found"))).alias("d_next"))
-    out = rows.join(apart, "id").withColumn("s", sketch("own")).withColumn("e", sketch("edited"))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_chars"), "edited_sha256", written("s").alias("fingerprint"),
+    narrow = rows.select("id", "k", "copies", "n", "edited_sha256", "own", "edited", F.size("next").alias("n_next"))
+    out = narrow.join(apart, "id").withColumn("s", sketch("own")).withColumn("e", sketch("edited"))
+    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_chars"), F.lower(F.hex("edited_sha256")).alias("edited_sha256"), written("s").alias("fingerprint"),
                       written("e").alias("edited_fingerprint"), likeness(F.size("own"), F.size("edited"), F.col("d_edited")).alias("near_edited"),
-                      likeness(F.size("own"), F.size("next"), F.col("d_next")).alias("near_next"))
+                      likeness(F.size("own"), F.col("n_next"), F.col("d_next")).alias("near_next"))
