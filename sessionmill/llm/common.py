@@ -4,7 +4,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -84,3 +84,43 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
                 begin, held = i, 0
             held += n
         yield batch.slice(begin)
+
+
+class Recent:
+    """Values by text, those used last: two generations of at most ``limit`` / 2 bytes each, whatever the texts' lengths. For what a task
+    remembers; ``clear`` gives the memory back when its rows are done, since Spark keeps Python workers for later tasks."""
+
+    ENTRY = 200        # bytes of an entry besides its text and value
+
+    def __init__(self, limit: int = 32 << 20):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def get(self, texts: list[str], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """The values of distinct texts; ``make`` gives those that are not remembered."""
+        new, old = self.new, self.old
+        got = [new.get(t) for t in texts]
+        fresh, missing = {}, []
+        for i, v in enumerate(got):
+            if v is None:
+                v = old.get(texts[i])
+                if v is None:
+                    missing.append(i)
+                else:
+                    fresh[texts[i]] = got[i] = v
+        if missing:
+            made = make([texts[i] for i in missing])
+            fresh.update(made)
+            for i in missing:
+                got[i] = made[texts[i]]
+        for t, v in fresh.items():
+            if self.held > self.limit // 2:
+                self.old, self.new, self.held = self.new, {}, 0
+            self.new[t] = v
+            self.held += len(t) + len(v) + self.ENTRY
+        return got

@@ -3,7 +3,8 @@
 The automaton reports, at each character, every piece that ends there by following its output links; each relaxes the best score at that
 position from the best score where it starts. A character without a piece of its own costs ``UNKNOWN`` below the worst score and is
 written as its bytes. A text gets a space in front and spaces become the vocabulary's sign; no piece crosses from a character
-to a later space, so the best segmentation of a text is that of its pre-tokens, each searched once per worker while remembered.
+to a later space, so the best segmentation of a text is that of its pre-tokens. Each distinct one of a slice of texts is searched and decoded
+once, and not again while it is remembered.
 """
 from __future__ import annotations
 
@@ -13,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .chunks import default_tokenizer
-from .common import slices, whole_text
-from .token_counts import MODEL, SPACE
+from .common import Recent, slices, whole_text
+from .token_counts import _RUNS, MODEL, SPACE
 
 UNKNOWN = 10.0
-CACHE = 300_000
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*")
 _MODELS: dict[str, "Pieces"] = {}
 
@@ -52,7 +53,7 @@ class Pieces:
                 raise ValueError(f"piece {self.piece[i]!r} crosses the border of a pre-token")
             self.auto.add_word(self.piece[i], (len(self.piece[i]), self.score[i], i))
         self.auto.make_automaton()
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(64 << 20)
 
     def search(self, text: str) -> tuple[float, list[int]]:
         """Best score and ids of a text in which spaces are signs already. Of equal scores the longer piece at the end wins."""
@@ -90,24 +91,57 @@ class Pieces:
             pos -= size
         return best[-1], ids[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        if not text:
-            return b""
-        parts = _CUT.findall((" " + text).replace(" ", SPACE))
-        out = []
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Little-endian unsigned 32-bit ids of each part, and a byte that says whether they decode to the part."""
+        out = {}
         for p in parts:
-            ids = self.known.get(p)
-            if ids is None:
-                if len(self.known) >= CACHE:
-                    for k in list(self.known)[:CACHE // 2]:
-                        del self.known[k]
-                ids = self.known[p] = np.array(self.search(p)[1], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+            ids = self.search(p)[1]
+            out[p] = np.array(ids, "<u4").tobytes() + (b"\x01" if self._written(ids) == p else b"\x00")
+        return out
+
+    def encode_slice(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text, and whether they decode to it. Each distinct pre-token of the slice is searched and decoded once."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, _RUNS), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        names = [w if w[:1] == "\n" else SPACE + w for w in coded.dictionary.to_pylist()]
+        at, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(n)])
+        place, pieces, where = {w: i for i, w in enumerate(names)}, [], np.flatnonzero(odd).tolist()
+        for i in where:        # spaces that meet spaces, line feeds or the ends, and texts with signs of their own
+            text = texts[i].as_py()
+            pieces.append([place.setdefault(p, len(place)) for p in _CUT.findall((" " + text).replace(" ", SPACE))] if text else [])
+        got = self.known.get(list(place), self._learn)
+        fine = np.fromiter((g[-1] for g in got), np.int64, len(got))
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        pool = np.frombuffer(b"".join([g[:-1] for g in got]), "<u4")
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+
+        def joined(parts: np.ndarray) -> np.ndarray:
+            m = size[parts]
+            ends = np.cumsum(m)
+            return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[parts] - ends + m, m)]
+        if not len(names):
+            return [], np.zeros(0, bool)
+        flat, upto = joined(at), np.concatenate([[0], np.cumsum(size[at])])[cut]
+        ids = [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        good = np.diff(np.concatenate([[0], np.cumsum(fine[at])])[cut]) == n
+        for i, parts in zip(where, pieces):
+            parts = np.array(parts, np.int64)
+            ids[i], good[i] = joined(parts), bool(fine[parts].all())
+        return ids, good
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of one text."""
+        return self.encode_slice(pa.array([text]))[0][0].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; a sign becomes a space and the space put in front goes."""
+        return self._written(ids).replace(SPACE, " ")[1:]
+
+    def _written(self, ids: list[int]) -> str:
+        """The pieces of ids one after another, bytes put together to characters."""
         out, held = [], b""
         for i in ids:
             b = self.byte_of.get(i)
@@ -120,7 +154,7 @@ class Pieces:
             out.append(self.piece[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+        return "".join(out)
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -155,11 +189,9 @@ def _over(docs: DataFrame, key: str, text: str, model: str | None, digest: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for b in slices(batches, "t"):
-            texts = b.column("t").to_pylist()
-            ids = [np.frombuffer(pieces.encode(t), "<u4") for t in texts]
+            ids, good = pieces.encode_slice(b.column("t"))
             if digest:
-                cols = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
-                        pa.array([pieces.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, texts)])]
+                cols = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(good)]
             else:
                 cols = [pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("k"), *cols], ["k", *(f.name for f in more)])
