@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PARTS = 400_000
+from .common import Recent
+
 JOINED_PARTS = 1_000
 MARK = "\x00"
 # A cut before each space, line feed, full stop and comma is safe unless white space meets white space or ends a text, a stop
@@ -57,8 +58,7 @@ class PartEncoder:
         self.sep_id = self.tok.token_to_id(self.sep)
         if self.sep_id is None:
             raise ValueError(f"{path} has no {self.sep}")
-        self.recent: dict[str, bytes] = {}   # two generations bound the memory and keep what is used
-        self.older: dict[str, bytes] = {}
+        self.recent = Recent(48 << 20)
 
     def whole(self, text: str) -> np.ndarray:
         """Ids as the library gives them for the text."""
@@ -108,25 +108,13 @@ class PartEncoder:
 
     def pool(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts one after another, and each part's number of ids."""
-        recent, older = self.recent, self.older
-        got = [recent.get(p) for p in parts]
-        missing = []
-        for i, v in enumerate(got):
-            if v is None:
-                v = older.get(parts[i])
-                if v is None:
-                    missing.append(i)
-                else:
-                    recent[parts[i]] = got[i] = v
-        if missing:
-            learned = self._learn([parts[i] for i in missing])
-            recent.update(learned)
-            for i in missing:
-                got[i] = learned[parts[i]]
-        if len(recent) > CACHE_PARTS // 2:
-            self.recent, self.older = {}, recent
+        got = self.recent.get(parts, self._learn)
         return np.frombuffer(b"".join(got), dtype="<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
 
+    def forget(self) -> None:
+        """At the end of a task."""
+        self.recent.clear()
+
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")

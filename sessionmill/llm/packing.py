@@ -168,6 +168,7 @@ def encode_pieces(docs: DataFrame, keys: list[str], text: str = "text", tokenize
             if with_ids:
                 cols.append(pa.array(held, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        enc.forget()
     out = rows.mapInArrow(run, T.StructType(fields))
     return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *[f.name for f in fields[len(keys):]])
 

@@ -176,6 +176,7 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
                     yield close()
         if keys:
             yield close()
+        enc.forget()
     shards = keep(dealt.mapInArrow(run, "name string, first_key long, last_key long, n_docs long, n_ids long"), "shards")
     # one row per file, thousands of documents each; the running sum is over files only
     base = F.sum("n_ids").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1))
