@@ -13,7 +13,7 @@ from ..operators.pricing import rate_table, window_table
 from ..operators.sessions import summarize
 from ..params import CostParams, StatusParams
 from ..schemas import EVENT_COLUMNS, EVENT_SCHEMA
-from ..sources import scan
+from ..sources import scan, trees
 from ..sources.formats import opencode
 from ..sources.formats.registry import HEAD_CHARS, FormatRegistry
 
@@ -49,10 +49,10 @@ class Sources:
     home: str = "~"
 
 
-def listed_files(spark: SparkSession, paths: list[str], host: str, sources: Sources | None) -> DataFrame:
+def listed_files(spark: SparkSession, paths: list[str], host: str, sources: Sources | None, found: DataFrame | None = None) -> DataFrame:
     """The files to read with source, agent and parser hints. With ``sources`` those that belong to one (SC10); without, every
     file below the paths but compaction side chains (SC09), attributed where a default source owns its path (SC12)."""
-    files = scan.log_files(spark, paths, host)
+    files = scan.log_files(spark, paths, host, found=found)
     if sources is not None:
         return scan.without_superseded_diffs(scan.discover(files, sources.directories, sources.profiles, sources.home))
     src = scan.attribution(F.col("path"))
@@ -70,7 +70,8 @@ def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str =
     registry = registry or FormatRegistry()
     rates, windows = (rates if rates is not None else rate_table(spark)), (windows if windows is not None else window_table(spark))
     # the placed lines and the routing are read by every format and again by the metrics: written once
-    lines, files = staged(scan.lines(spark, paths, host)), listed_files(spark, paths, host, sources)
+    found = trees.tree(spark, paths)
+    lines, files = staged(scan.lines(spark, paths, host, found)), listed_files(spark, paths, host, sources, found)
     wanted = F.coalesce(F.lit(hint).cast("string"), F.col("parser_hint"))
     name = registry.choose(F.col("path"), F.coalesce("head", F.lit("")), wanted)
     files = staged(files.join(heads(lines), "trace_id", "left").withColumn("format", name).drop("head", "parser_hint"))
@@ -95,11 +96,12 @@ def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str =
         rows = scan.json_rows(own(f.name))
         if f.name == "gemini":
             # a file of either extension may be one document; what is none is read line by line
-            docs = scan.documents(spark, paths, host, "*.json*").join(of(f.name), "trace_id", "left_semi")
+            docs = scan.documents(spark, paths, host, "*.json*", found).filter(F.col("size_bytes") <= scan.DOCUMENT_BYTES).join(of(f.name), "trace_id", "left_semi")
             docs = docs.filter(scan.is_document(F.col("text")))
-            whole = staged(docs.select("trace_id"))
+            apart = trees.read_documents(scan.apart_documents(found, host, "*.json*").join(of(f.name), "trace_id", "left_semi"))
+            whole = staged(docs.select("trace_id").unionByName(apart.select("trace_id").distinct()))
             rest = lines.join(of(f.name), "trace_id", "left_semi").join(whole, "trace_id", "left_anti")
-            rows = scan.document_rows(docs).unionByName(scan.json_rows(rest).withColumn("doc_session_id", F.lit("")).select(*DOCUMENT_COLUMNS))
+            rows = scan.document_rows(docs).unionByName(apart).unionByName(scan.json_rows(rest).withColumn("doc_session_id", F.lit("")).select(*DOCUMENT_COLUMNS))
         ev = f.normalize(own(f.name), side_table) if f.name == "cursor" else f.normalize(own(f.name) if f.reads == "lines" else rows)
         agent = F.coalesce(F.lit(hint), F.lit("unknown")) if f.name == "generic" else F.lit(f.agent)
         parts.append(ev.select(*EVENT_COLUMNS, F.lit(f.name).alias("format"), agent.alias("agent")))

@@ -10,25 +10,26 @@ from ..functions import times
 from ..functions import variants as V
 from ..functions.ids import stable_id
 from ..operators.ordered import running
+from . import trees
 
-HIDDEN_DEPTH = 12   # folders below a root in which hidden entries are looked for, as deep as any source goes
+DOCUMENT_BYTES = 256 << 20   # documents above this are read in pieces; their rows are the same
 
 
-def roots(spark: SparkSession, paths: list[str]) -> list[str]:
+def roots(spark: SparkSession, paths: list[str], found: DataFrame | None = None) -> list[str]:
     """The paths and every folder below them whose name begins with ``.`` or ``_``: Spark's listing passes those over unless they
-    are named. What is inside such a folder is found by Spark, folders hidden in it by a deeper pattern, so none comes twice."""
-    out = list(paths)
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        deeper = path.rstrip("/")
-        for _ in range(HIDDEN_DEPTH):
-            found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(deeper + "/[._]*"))
-            out += [f.getPath().toString() for f in (found or []) if f.isDirectory()]
-            deeper += "/*"
-            if not fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(deeper)):
-                break
-    return out
+    are named. What is inside such a folder is found by Spark, folders hidden in it are named themselves, so none comes twice.
+    ``found`` is ``trees.tree`` of the paths; the names of hidden folders are all that reaches the driver."""
+    found = trees.tree(spark, paths) if found is None else found
+    # a folder that was named by the caller is there already
+    named = {trees.plain(p) for p in paths}
+    return list(paths) + sorted(r.path for r in found.filter("folder AND error IS NULL").filter(trees.hidden()).select("path").collect() if r.path not in named)
+
+
+def _unlinked(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of files that Spark's reader did not reach through a symbolic link; their names pass the driver."""
+    for r in found.filter(F.col("error") == trees.LINK).select("path").collect() if found is not None else ():
+        rows = rows.filter((F.col("path") != r.path) & ~F.startswith("path", F.lit(r.path + "/")))
+    return rows
 
 
 def _reader(spark: SparkSession, **options: str):
@@ -48,25 +49,37 @@ def _file_columns() -> list[Column]:
             F.unix_millis("_metadata.file_modification_time").alias("mtime_ms")]
 
 
-def log_files(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None) -> DataFrame:
-    """One row per file from the listing alone, contents are not read (SC07)."""
-    r = _reader(spark, **({"pathGlobFilter": glob} if glob else {})).format("binaryFile")
-    return r.load(roots(spark, paths)).select(*_file_columns()).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+def _named(glob: str | None) -> Column:
+    """The file's name fits a pattern of names."""
+    return F.lit(True) if glob is None else F.element_at(F.split("path", "/"), -1).rlike(f"^{glob_regex(glob)}$")
+
+
+def log_files(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """One row per file from the listing alone, contents are not read (SC07); hidden ones and those in hidden folders are files like any.
+    ``found`` is ``trees.tree`` of the paths where it is there already; folders in it that could not be read have an ``error``."""
+    found = trees.tree(spark, paths) if found is None else found
+    files = trees.files_of(found).filter(_named(glob)).select("path", "size_bytes", "mtime_ms")
+    return files.withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
 
 
-def lines(spark: SparkSession, paths: list[str], host: str = "") -> DataFrame:
+def lines(spark: SparkSession, paths: list[str], host: str = "", found: DataFrame | None = None) -> DataFrame:
     """(trace_id, path, mtime_ms, row_no, offset, line) of text files of any size.
 
     Files are split as usual. The place of a line is its place inside its split plus the line and character counts of
-    the splits before, which are folded to one row per split.
+    the splits before, which are folded to one row per split. Files whose names Spark's readers pass over are read by tasks.
     """
-    raw = _reader(spark, lineSep="\n").format("text").load(roots(spark, paths)).select(
+    found = trees.tree(spark, paths) if found is None else found
+    raw = _reader(spark, lineSep="\n").format("text").load(roots(spark, paths, found)).select(
         *_file_columns(), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"),
         F.monotonically_increasing_id().alias("pos"))
-    placed = running(raw, ["path"], "pos", {"row_no": ("count", None), "past": ("sum", F.length("line") + 1)},
+    placed = running(_unlinked(raw, found), ["path"], "pos", {"row_no": ("count", None), "past": ("sum", F.length("line") + 1)},
                      chunk=F.col("block"))
-    return placed.select(stable_id(F.col("path"), F.lit(host)).alias("trace_id"), "path", "size_bytes", "mtime_ms",
-                         "row_no", (F.col("past") - F.length("line") - 1).alias("offset"), "line")
+    columns = ["path", "size_bytes", "mtime_ms", "row_no", "offset", "line"]
+    rows = placed.withColumn("offset", F.col("past") - F.length("line") - 1).select(*columns)
+    dark = trees.files_of(found).filter(trees.hidden())
+    if not dark.isEmpty():
+        rows = rows.unionByName(trees.read_lines(dark).select(*columns))
+    return rows.select(stable_id(F.col("path"), F.lit(host)).alias("trace_id"), *columns)
 
 
 def json_rows(line_rows: DataFrame) -> DataFrame:
@@ -75,11 +88,12 @@ def json_rows(line_rows: DataFrame) -> DataFrame:
     return trimmed.withColumn("v", F.try_parse_json("raw_json")).filter(F.col("raw_json").startswith("{") & F.col("v").isNotNull())
 
 
-def documents(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None) -> DataFrame:
+def documents(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None, found: DataFrame | None = None) -> DataFrame:
     """Whole files as one text each, however they are laid out inside."""
     opts = {"wholetext": "true", **({"pathGlobFilter": glob} if glob else {})}
-    df = _reader(spark, **opts).format("text").load(roots(spark, paths)).select(*_file_columns(), F.col("value").alias("text"))
-    return df.withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+    found = trees.tree(spark, paths) if found is None else found
+    df = _reader(spark, **opts).format("text").load(roots(spark, paths, found)).select(*_file_columns(), F.col("value").alias("text"))
+    return _unlinked(df, found).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
 
 
 def is_document(text: Column) -> Column:
@@ -113,6 +127,21 @@ def document_rows(docs: DataFrame) -> DataFrame:
                        as_object.alias("v"))
 
 
+def document_file_rows(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None, found: DataFrame | None = None,
+                       large: int = DOCUMENT_BYTES) -> DataFrame:
+    """``document_rows`` of the documents among the files below the paths, of any size and name (SC02): those of up to ``large`` bytes as one
+    text each, larger and hidden ones read in pieces by tasks. Both give the same rows."""
+    found = trees.tree(spark, paths) if found is None else found
+    rows, apart = document_rows(documents(spark, paths, host, glob, found).filter(F.col("size_bytes") <= large)), apart_documents(found, host, glob, large)
+    return rows if apart.isEmpty() else rows.unionByName(trees.read_documents(apart))
+
+
+def apart_documents(found: DataFrame, host: str = "", glob: str | None = None, large: int = DOCUMENT_BYTES) -> DataFrame:
+    """The files that Spark's reader would pass over or make too large a row of, for ``trees.read_documents``."""
+    files = trees.files_of(found).filter(_named(glob)).filter(trees.hidden() | (F.col("size_bytes") > large))
+    return files.select(stable_id(F.col("path"), F.lit(host)).alias("trace_id"), "path", "size_bytes", "mtime_ms")
+
+
 def role_blocks(line_rows: DataFrame) -> DataFrame:
     """Lines of a role-headed transcript with role, block number and place inside the block (SC03).
 

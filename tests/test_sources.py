@@ -90,3 +90,79 @@ def test_scratch_folders_can_be_released(spark, tmp_path):
     before = scratch_mark(spark)
     assert read_logs(spark, [str(tmp_path)], NOW).sessions.count() == 1
     assert release(spark, before) > 0 and scratch_mark(spark) == before
+
+
+def test_folders_are_listed_by_tasks_at_any_depth(spark, tmp_path):
+    deep = tmp_path / "home"
+    for i in range(20):
+        deep = deep / (f".h{i}" if i % 2 else f"_h{i}")
+    os.makedirs(deep / "plain")
+    line = '{"type":"user","text":"x"}\n'
+    for p in (deep / "plain/a.jsonl", deep / ".b.jsonl", deep / "_c.jsonl", tmp_path / "home/d.jsonl"):
+        p.write_text(line * 2 + '{"type":"user"}\r\n{"type":"é"}')
+    (deep / ".b.jsonl.crc").write_text("")
+    (deep / ".x.crc").write_text("")
+    os.makedirs(deep / "empty")
+    os.symlink(tmp_path / "home", deep / "loop")
+    root = str(tmp_path / "home")
+    files = {r.path.rsplit("/", 1)[1]: r for r in scan.log_files(spark, [root]).collect()}
+    assert set(files) == {"a.jsonl", ".b.jsonl", "_c.jsonl", "d.jsonl"} and files["d.jsonl"].size_bytes == os.path.getsize(tmp_path / "home/d.jsonl")
+    assert files["d.jsonl"].mtime_ms == os.stat(tmp_path / "home/d.jsonl").st_mtime_ns // 1_000_000
+    got = {}
+    for r in scan.lines(spark, [root]).collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.row_no, r.offset, r.line, r.size_bytes))
+    want = sorted(got["d.jsonl"])
+    assert [w[2] for w in want] == [line.strip(), line.strip(), '{"type":"user"}', '{"type":"é"}'] and set(got) == set(files)
+    assert all(sorted(g) == want for g in got.values())
+    assert {r.path for r in scan.log_files(spark, [root], glob="*.jsonl").collect()} == {r.path for r in files.values()}
+    assert scan.log_files(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_folders_that_cannot_be_read_are_told(spark, tmp_path, monkeypatch):
+    from sessionmill.sources import trees
+    (tmp_path / "a").mkdir()
+    bad = str(tmp_path / "a" / "locked")
+    rows = list(trees._listed(iter([__import__("pandas").DataFrame({"path": [str(tmp_path), str(tmp_path / "gone")]})])))
+    assert [(r.path, r.folder, r.error) for b in rows for r in b.itertuples()] == [(str(tmp_path / "a"), True, None)]
+
+    def denied(path):
+        raise PermissionError(13, "Permission denied")
+    monkeypatch.setattr(os, "lstat", denied)
+    rows = list(trees._listed(iter([__import__("pandas").DataFrame({"path": [bad]})])))
+    assert [(r.path, r.error) for b in rows for r in b.itertuples()] == [(bad, "PermissionError: Permission denied")]
+
+
+def test_documents_in_pieces_give_the_rows_of_whole_ones(spark, tmp_path):
+    import json
+    put = lambda name, value, **kw: (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value, **kw))
+    put("a.json", {"sessionId": "s", "messages": [{"text": "é", "n": 1.5, "z": [1, {"b": 2}]}, 3, "x", {}]}, indent=2)
+    put("b.json", {"messages": [{"b": 1, "a": 2}], "other": {"messages": [1]}, "session_id": "late"})
+    put("c.json", [{"sessionId": "arr", "x": 1}, 5, {}, {"y": "q\\"}], indent=1)
+    put("d.json", {"only": "object", "messages": []})
+    put("e.json", '{"messages": [{"a": 1}')
+    put("f.json", '{"type":"a"}\n{"type":"b"}\n')
+    put("g.json", "[]")
+    put(".h.json", {"messages": [{"text": "hidden"}]})
+    columns = ["path", "doc_session_id", "row_no", "offset", "raw_json", "j"]
+    rows = lambda large: sorted(map(tuple, scan.document_file_rows(spark, [str(tmp_path)], large=large).withColumn("j", F.to_json("v")).select(*columns).collect()))
+    whole, pieces = rows(1 << 20), rows(0)
+    assert whole == pieces and len(whole) == 9 and {r[1] for r in whole} == {"s", "late", "arr", ""}
+
+
+def test_a_large_document_is_read_with_a_bounded_peak(tmp_path):
+    import tracemalloc
+
+    from sessionmill.sources import trees
+    path = str(tmp_path / "big.json")
+    with open(path, "w") as f:
+        f.write('{"history": [')
+        f.writelines(("," if i else "") + '{"t": "%s"}' % ("y" * 900) for i in range(20_000))
+        f.write('], "messages": [')
+        f.writelines(("," if i else "") + '{"t": "%s"}' % ("x" * 900) for i in range(20_000))
+        f.write('], "sessionId": "big"}')
+    tracemalloc.start()
+    assert trees.outline(trees._chunks(path)) == ("messages", "big")
+    assert sum(1 for _ in trees.messages_of("messages", trees._chunks(path))) == 20_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < os.path.getsize(path) / 3
