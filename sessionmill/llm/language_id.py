@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..operators.ordered import ranked
 from .common import slices, whole_text
 
 PER_LANG = 400        # documents of a language that the network is fitted on, at most
-MAX_LANGS = 200       # languages learned, the most frequent ones
 WINDOWS, LENGTH = 8, 64
 HIDDEN, STEPS, BATCH, RATE, SEED = 10, 260, 192, 0.02, 6
 READ = 128            # bytes of a window when predicting
@@ -152,19 +152,18 @@ def held_out(key: str = "doc_id"):
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, windows and their language numbers. At most ``MAX_LANGS * PER_LANG * WINDOWS`` windows of ``LENGTH`` bytes in the end;
-    what reaches the driver before the cut to ``PER_LANG`` is about twice that, whatever the table's size."""
+    """All languages, windows and their language numbers: ``PER_LANG * WINDOWS`` windows of ``LENGTH`` bytes of each at most, those of the
+    rows whose keys have the least hashes; rows of one key follow their texts' hashes. No more reaches the driver."""
     ok = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key) & (F.length(whole_text(text)) > 0))
-    sizes = {r["l"]: r["n"] for r in ok.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
+    sizes = {r["l"]: r["n"] for r in ok.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(SEED)), F.lit(1 << 30)).cast("long")
-    bound = F.lit(0).cast("long")
-    for name, n in sizes.items():
-        bound = F.when(F.col(lang) == name, F.lit(int((1 << 30) * min(1.0, (2 * PER_LANG + 40) / n)))).otherwise(bound)
-    rows = ok.withColumn("__d", draw).filter(F.col("__d") < bound).select(F.col(lang).alias("l"), F.col("__d").alias("d"), whole_text(text).alias("t"))
+    bound = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int((1 << 30) * min(1.0, (2 * PER_LANG + 40) / n)))]), F.col(lang))
+    drawn = ok.select(F.col(lang).alias("l"), draw.alias("d"), whole_text(text).alias("t"), bound.alias("b")).filter("d < b").withColumn("h", F.xxhash64("t"))
+    # Spark prunes each partition to PER_LANG rows of a language before the shuffle
+    rows = ranked(drawn, ["l"], [F.col("d"), F.col("h")], "place", PER_LANG).select("l", "d", "t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +176,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[list[str],
     got = rows.mapInArrow(cut, T.StructType([T.StructField("l", T.StringType()), T.StructField("d", T.LongType()), T.StructField("w", T.BinaryType())])).collect()
     x, y = [], []
     for k, name in enumerate(langs):
-        mine = sorted((r["d"], bytes(r["w"])) for r in got if r["l"] == name)[:PER_LANG]
+        mine = sorted((r["d"], bytes(r["w"])) for r in got if r["l"] == name)
         x += [w for _, w in mine]
         y += [k] * (WINDOWS * len(mine))
     return langs, np.frombuffer(b"".join(x), np.uint8).reshape(-1, LENGTH), np.array(y, np.int64)
@@ -193,20 +192,21 @@ def predict(docs: DataFrame, model: BiGru | None, text: str = "text", pred: str
     """``docs`` with the predicted language and its pooled probability. ``und`` and 0 where the text is null or has no letter, or
     where nothing could be learned. All rows and columns stay."""
     state = pickle.dumps(model)
-    rows = docs.withColumn("__t", whole_text(text))
-    kind = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    # columns go through the task under plain names, whatever they are called
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], whole_text(F.col(f"`{text}`")).alias("t"))
+    kind = T.StructType([*rows.schema.fields[:-1], T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(state)
-        for b in slices(batches, "__t", 2 << 20):
-            texts = b.column("__t").to_pylist()
+        for b in slices(batches, "t", 2 << 20):
+            texts = b.column("t").to_pylist()
             some = [net is not None and has_letter(t) for t in texts]
             probs = net.documents([t.encode("utf-8", "replace") if s else b"" for t, s in zip(texts, some)]) if any(some) else np.zeros((len(texts), 1))
             best = probs.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array([net.langs[k] if s else UNKNOWN for k, s in zip(best, some)], pa.string()),
                  pa.array([float(min(1.0, q[k])) if s else 0.0 for q, k, s in zip(probs, best, some)])], [f.name for f in kind])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind).toDF(*docs.columns, pred, score)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

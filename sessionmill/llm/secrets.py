@@ -198,7 +198,7 @@ def mask(text: str, spans: list, sign: str = "[SECRET]") -> str:
 def mask_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", fdr: float = FDR) -> DataFrame:
     """``docs`` with secrets replaced in the text; all rows and columns stay and a null text stays null."""
     cols = docs.columns
-    found = find_secrets(docs.select(F.struct(*cols).alias("__row"), F.col(text).alias("__t")), ["__row"], "__t", fdr)
+    found = find_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(f"`{text}`").alias("__t")), ["__row"], "__t", fdr)
 
     def run(batches):
         for b in batches:

@@ -109,6 +109,15 @@ class Shard:
         a = int(self.first[place])
         return self.ids[a:a + int(self.lengths[place])].astype("<u4")
 
+    def first_places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the first document of each key lies: the perfect hash gives a slot, its fingerprint tells strangers, the key decides; -1 if absent."""
+        if not len(self.places):
+            return np.full(len(keys), -1, np.int64)
+        slot = self.mph.number(keys)
+        known = (slot >= 0) & (self.prints[slot] == (_mix(keys, 0) >> np.uint64(32)).astype("<u4"))
+        place = np.where(known, self.places[slot].astype(np.int64), 0)
+        return np.where(known & (self.keys[place] == keys), place, -1)
+
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of the documents with this key; none if the key is absent."""
         if not len(self.places):
@@ -184,7 +193,8 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
 
 
 def read_files(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
-    """A row per document from the files: ``key``, ``start``, ``n_tokens``, ``ids_crc32``. Files are read by Spark, one to a row."""
+    """A row per document from the files: ``key``, ``start``, ``n_tokens``, ``ids_crc32``, each found by its key through its file's index. Files are read
+    by Spark, one to a row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
@@ -192,10 +202,16 @@ def read_files(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame
         for b in batches:
             for name, data in zip(b.column("name"), b.column("content")):
                 s = Shard(data.as_buffer())
-                crc = [zlib.crc32(s.document(i).tobytes()) for i in range(len(s.keys))]
+                # every key is looked up in the index; the documents of a repeated one follow its first
+                keys, times = np.unique(s.keys, return_counts=True)
+                first = s.first_places(keys)
+                if (first < 0).any():
+                    raise ValueError(f"{name.as_py()}: the index does not lead to its own keys")
+                at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+                crc = [zlib.crc32(s.document(i).tobytes()) for i in at.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()] * len(crc), pa.string()), pa.array(s.keys, pa.int64()), pa.array(s.first.astype(np.int64)),
-                     pa.array(s.lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["name", "key", "at", "n_tokens", "ids_crc32"])
+                    [pa.array([name.as_py()] * len(crc), pa.string()), pa.array(np.repeat(keys, times), pa.int64()), pa.array(s.first[at].astype(np.int64)),
+                     pa.array(s.lengths[at].astype(np.int64)), pa.array(crc, pa.int64())], ["name", "key", "at", "n_tokens", "ids_crc32"])
     rows = files.mapInArrow(run, "name string, key long, at long, n_tokens long, ids_crc32 long")
     return rows.join(shards.select("name", "base"), "name").select(
         F.when(F.col("key") != NO_KEY, F.col("key")).alias("key"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -46,6 +46,15 @@ def rows_of(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
 
 
+def test_columns_with_dots_and_inner_names_stay(spark):
+    odd = spark.createDataFrame([(1, "the cat of the house token=abcdefghijklmnop", "en", 5, "x", 7), (2, "der Hund und das Haus", "de", 6, "y", 8), (3, None, "de", 6, "y", 8)],
+                                "doc_id long, text string, lang string, `a.b` int, __t string, row int")
+    got = {r["doc_id"]: r for r in secrets.mask_secrets(odd).collect()}
+    assert got[1]["text"].endswith("[SECRET]") and got[1]["a.b"] == 5 and got[2]["__t"] == "y" and got[3]["text"] is None and len(got[1]) == 6
+    said = language_id.predict(odd, language_id.train(odd)).collect()
+    assert {(r["doc_id"], r["a.b"], r["__t"], r["row"]) for r in said} == {(1, 5, "x", 7), (2, 6, "y", 8), (3, 6, "y", 8)}
+
+
 def test_secrets_equal_brute_force(docs, empty):
     got = Counter((r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["base"])) for r in secrets.find_secrets(docs, ["doc_id"]).collect())
     letters, classes = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "0123456789abcdef"
