@@ -107,7 +107,7 @@ def ensure_checkpoint_dir(spark) -> None:
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             configured = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(configured)

@@ -134,10 +134,10 @@ def search_events(spark, sf):
     return B.search_events(e, " ERROR 1").select("event_id", "preview")
 
 
-@query(q("SELECT event_id, ts_ms FROM ev WHERE trace_id IN ('3', '4')", EVENTS))
+@query(q("SELECT event_id, ts_ms FROM ev", EVENTS))
 def timeline(spark, sf):
-    return B.timeline(D.events(spark, sf).filter("trace_id IN ('3', '4')"), descending=True).select("event_id", "ts_ms")
-
+    """All events, latest first."""
+    return B.timeline(D.events(spark, sf), descending=True).select("event_id", "ts_ms")
 
 
 @query(q("SELECT event_id, ts_ms, row_number() OVER (PARTITION BY trace_id ORDER BY ts_ms DESC, seq DESC) AS place FROM ev", EVENTS))
@@ -184,22 +184,10 @@ def session_mentions(spark, sf):
 # ---- files written from the tables --------------------------------------------------------------------------------
 
 
-def _spread_files(spark, df, name, text):
-    """One file per row: a folder per name, written as whole text with its line breaks."""
-    path = scratch_dir(spark)
-    df.select(name.alias("owner"), text.alias("value")).repartition(8, "owner").write.partitionBy("owner").option("maxRecordsPerFile", 1).text(path)
-    return path
-
-
-@query(q("""SELECT trace_id, row_no, 'x' || k AS text FROM (SELECT trace_id, k, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS row_no FROM ev
-  WHERE CAST(trace_id AS BIGINT) % 10 = 0)""", EVENTS))
+@query(q("""SELECT trace_id, row_no, 'x' || k AS text FROM (SELECT trace_id, k, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS row_no FROM ev)""", EVENTS))
 def document_files(spark, sf):
-    """Every tenth session as an indented document on disk, read as a whole file."""
-    docs = D.events(spark, sf).filter(_C("trace_id").cast("bigint") % 10 == 0).groupBy("trace_id").agg(F.sort_array(F.collect_list(_S("index", "k"))).alias("a"))
-    body = F.to_json(_S(F.lit("d").alias("sessionId"), F.transform("a", lambda x: _S(F.concat(F.lit("x"), x["k"]).alias("text"))).alias("messages")), {"pretty": "true"})
-    path = _spread_files(spark, docs, _C("trace_id"), body)
-    rows = scan.document_rows(scan.documents(spark, [path]))
-    return rows.select(F.regexp_extract("path", "owner=([^/]+)/", 1).alias("trace_id"), "row_no", V.text(_C("v"), "$.text").alias("text"))
+    """Every session as indented documents on disk, their messages numbered on through its documents."""
+    return document_part_files(spark, sf).select("trace_id", (_C("part") * _MESSAGES + _C("row_no")).alias("row_no"), "text")
 
 
 _MESSAGES = 500   # messages of a document
@@ -221,16 +209,14 @@ def document_part_files(spark, sf):
     return rows.select(owner(1).alias("trace_id"), owner(2).cast("bigint").alias("part"), "row_no", V.text(_C("v"), "$.text").alias("text"))
 
 
-@query("""SELECT 's' || conv_id AS owner, 'one' || turn AS text FROM conversations WHERE conv_id % 20 = 0""")
+@query("""SELECT 's' || conv_id AS owner, 'one' || turn AS text FROM conversations""")
 def entity_files(spark, sf):
-    """Message files of every twentieth conversation, indented, read back with their folder as owner."""
-    t = D.table(spark, sf, "conversations").filter("conv_id % 20 = 0")
+    """Message files of all conversations, each written by its name in tasks, read back with their folder as owner."""
+    t, root = D.table(spark, sf, "conversations").withColumn("__n", F.monotonically_increasing_id()), scratch_dir(spark)
     body = F.to_json(_S(F.concat(F.lit("one"), "turn").alias("text")), {"pretty": "true"})
-    root = scratch_dir(spark)
-    t.select(F.concat(F.lit("s"), "conv_id").alias("owner"), body.alias("value")).repartition(4, "owner").write.partitionBy("owner").option(
-        "maxRecordsPerFile", 1).format("text").save(f"{root}/storage/message")
-    found = scan.entities(spark, root, "message", glob="*")
-    return found.select(F.regexp_replace("owner", "^owner=", "").alias("owner"), V.text(_C("v"), "$.text").alias("text"))
+    name = F.concat(F.lit("storage/message/s"), "conv_id", F.lit("/"), "__n", F.lit(".json"))
+    scan.write_files(t.select(name.alias("name"), body.alias("text")), root)
+    return scan.entities(spark, root, "message").select("owner", V.text(_C("v"), "$.text").alias("text"))
 
 
 @query("""SELECT 's' || conv_id AS owner, 'one' || turn AS text FROM conversations""")
