@@ -10,12 +10,14 @@ radius is taken as a whole. Only links that are needed to keep each group's comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..operators.ordered import ranked
 from .common import keep, slices, whole_text
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -28,7 +30,7 @@ GROUPS, ROWS = 24, 5   # groups of minima: texts of that similarity share one wi
 SIGMAS = 6.0           # deviations of equal minima below their expected number at which a pair is dropped
 BLOCK = 1_024          # texts of a block of a large cell
 PAIRS = 20_000         # pairs whose minima are compared together
-PARTNERS = 10          # pairs of all cells per text up to which no drawn search need shrink the cells first
+WIDER = 4              # how many times more pairs of two components each further round compares
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -298,17 +300,18 @@ class Marks:
         self.size, self.mark, self.least = size, np.frombuffer(b"".join(mark.to_pylist()), np.uint8).reshape(-1, m), least
         self.equal = m * least - SIGMAS * np.sqrt(m * least * (1 - least))
 
-    def may(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The listed pairs that may be."""
+    def may(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The listed pairs that may be, and how many of their minima are equal."""
         fit = np.minimum(self.size[a], self.size[b]) + 1e-9 >= self.least * np.maximum(self.size[a], self.size[b])
         a, b = a[fit], b[fit]
-        fit = (self.mark[a] == self.mark[b]).sum(axis=1) >= self.equal
-        return a[fit], b[fit]
+        same = (self.mark[a] == self.mark[b]).sum(axis=1)
+        fit = same >= self.equal
+        return a[fit], b[fit], same[fit]
 
 
 def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
-    """``id``, ``key``, ``tid``, ``fp``, ``groups``, ``size``, ``mark`` from ``id``, ``key``, ``text``."""
-    some = rows.select("id", "key", F.xxhash64("text").alias("tid"), F.col("text").alias("t"))
+    """``r1``, ``r2``, ``key``, ``t1``, ``t2``, ``fp``, ``groups``, ``size``, ``mark`` from ``r1``, ``r2``, ``key``, ``text``. Two hashes name a row, and two a text."""
+    some = rows.select("r1", "r2", "key", F.xxhash64("text").alias("t1"), F.hash("text", F.length("text")).alias("t2"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
@@ -323,10 +326,11 @@ def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, live: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs whose minima allow the similarity."""
+    """``a``, ``b``, ``e``: the distinct pairs of different components whose minima allow the similarity, and how many are equal."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda i: live.select(F.col("id").alias(i), F.struct("size", "mark").alias(f"m{i}"))
-    both = one.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma.size", "ma.mark", F.col("mb.size").alias("size2"), F.col("mb.mark").alias("mark2"))
+    side = lambda i: live.select(F.col("id").alias(i), F.struct("root", "size", "mark").alias(f"m{i}"))
+    both = one.join(side("a"), "a").join(side("b"), "b").filter("ma.root <> mb.root").select(
+        "a", "b", "ma.size", "ma.mark", F.col("mb.size").alias("size2"), F.col("mb.mark").alias("mark2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,25 +338,35 @@ def _candidates(pairs: DataFrame, live: DataFrame, least: float) -> DataFrame:
                 n = np.arange(b.num_rows)
                 marks = Marks(np.concatenate([b.column("size").to_numpy(), b.column("size2").to_numpy()]),
                               pa.concat_arrays([b.column("mark"), b.column("mark2")]), least)
-                yield b.select(["a", "b"]).take(pa.array(marks.may(n, n + b.num_rows)[0]))
-    return keep(both.mapInArrow(run, "a long, b long"), "pairs")
+                at, _, same = marks.may(n, n + b.num_rows)
+                some = b.select(["a", "b"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(same.astype(np.int32))], ["a", "b", "e"])
+    return keep(both.mapInArrow(run, "a long, b long, e int"), "pairs")
 
 
 def _all_candidates(live: DataFrame, least: float) -> DataFrame:
-    """``a``, ``b``: of all pairs of texts that share a group of minima, those whose minima allow the similarity.
+    """``a``, ``b``, ``e``: of all pairs of texts of different components that share a group of minima, those whose minima allow the similarity.
 
-    A cell of more than ``BLOCK`` texts is dealt to (block, block) cells. A pair counts only in the first cell that holds both.
+    A cell whose texts are one component has none. In the others the texts of the largest component, in blocks of ``BLOCK``, meet only
+    the blocks of the other texts, and these meet each other: a large group of copies costs as much as it has texts outside. A
+    pair counts only in the first cell that holds both.
     """
-    lines = live.select("id", F.posexplode("groups").alias("g", "v"))
-    counts = keep(lines.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn(
-        "blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "cell-sizes")
-    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least(o, F.col("own")).alias("row"), F.greatest(o, F.col("own")).alias("col")))
+    lines = live.select("id", "root", F.posexplode("groups").alias("g", "v"))
+    roots = lines.groupBy("g", "v", "root").agg(F.count(F.lit(1)).alias("m"))
+    counts = keep(roots.groupBy("g", "v").agg(F.max_by("root", F.struct("m", "root")).alias("big"), F.max("m").alias("m"), F.sum("m").alias("n")).filter("m < n").select(
+        "g", "v", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("bigs"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others")), "cell-sizes")
+    upto = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    cell = lambda row, col: F.struct(row.alias("row"), col.alias("col"))
+    large, own = F.col("root") == F.col("big"), F.col("own")
+    # blocks of the largest component have negative numbers
+    block = F.when(large, -1 - F.pmod(F.xxhash64("id"), F.col("bigs"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    cells = F.when(large, upto("others", lambda o: cell(own, o))).otherwise(F.concat(
+        upto("bigs", lambda o: cell(-1 - o, own)), upto("others", lambda o: cell(F.least(o, own), F.greatest(o, own)))))
     keys = ["g", "v", "row", "col"]
-    cells = keep(lines.join(counts, ["g", "v"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
-        "cell", F.explode(cell)).select("id", "own", "g", "v", "cell.row", "cell.col"), "cells")
+    dealt = keep(lines.join(counts, ["g", "v"]).withColumn("own", block).withColumn("cell", F.explode(cells)).select(
+        "id", "root", "own", "g", "v", "cell.row", "cell.col"), "cells")
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cells.join(live.select("id", "groups", "size", "mark"), "id").repartition(parts, *keys).sortWithinPartitions(*keys)
+    spread = dealt.join(live.select("id", "groups", "size", "mark"), "id").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def listed(first: np.ndarray, n: int, own: np.ndarray, row: np.ndarray, col: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs of each cell, about ``PAIRS`` together."""
@@ -375,13 +389,14 @@ def _all_candidates(live: DataFrame, least: float) -> DataFrame:
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        ids, own, row, col, g = (t.column(k).to_numpy() for k in ("id", "own", "row", "col", "g"))
+        ids, root, own, row, col, g = (t.column(k).to_numpy() for k in ("id", "root", "own", "row", "col", "g"))
         groups = t.column("groups").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
         marks = Marks(t.column("size").to_numpy(), t.column("mark"), least)
         for a, b in listed(_firsts(t, keys), t.num_rows, own, row, col):
-            a, b = marks.may(a, b)
-            early = ((groups[a] == groups[b]) & (np.arange(GROUPS) < g[a][:, None])).any(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[~early]]), pa.array(ids[b[~early]])], ["a", "b"])
+            apart = root[a] != root[b]
+            a, b, same = marks.may(a[apart], b[apart])
+            first = ~((groups[a] == groups[b]) & (np.arange(GROUPS) < g[a][:, None])).any(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]]), pa.array(same[first].astype(np.int32))], ["a", "b", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -395,7 +410,7 @@ def _all_candidates(live: DataFrame, least: float) -> DataFrame:
                 held, size = t.slice(stop).to_batches(), t.num_rows - stop
         if size:
             yield from found(pa.Table.from_batches(held))
-    return keep(spread.mapInArrow(run, "a long, b long"), "pairs")
+    return keep(spread.mapInArrow(run, "a long, b long, e int"), "pairs")
 
 
 def _firsts(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -408,10 +423,11 @@ def _firsts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _texts(pairs: DataFrame, live: DataFrame, rows: DataFrame) -> DataFrame:
     """``id``, ``text`` of all texts in the pairs, stored."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return keep(rows.select("id", "text").join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    where = live.select("id", "r1", "r2").join(named, "id", "left_semi")
+    return keep(rows.select("r1", "r2", "text").join(where, ["r1", "r2"]).select("id", "text").dropDuplicates(["id"]), "texts")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -434,49 +450,53 @@ def _stars(live: DataFrame, anew: bool) -> DataFrame:
     return lines.join(first, ["g", "v"]).filter("a <> id").select("a", F.col("id").alias("b"))
 
 
-def _small_cells(live: DataFrame) -> bool:
-    """All cells together have at most ``PARTNERS`` pairs per text."""
-    n = F.col("n")
-    cells = live.select(F.posexplode("groups").alias("g", "v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    pairs, lines = cells.agg(F.sum(n * (n - 1) / 2), F.sum(n)).first()
-    return (pairs or 0) <= PARTNERS * (lines or 0) / GROUPS
+def _joined(live: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``live`` with the ``root`` of each text's component."""
+    stars = connected(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("id"), F.col("root").alias("__root"))
+    return keep(live.join(stars, "id", "left").withColumn("root", F.coalesce("__root", "id")).drop("__root"), "live")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest non-null key's, a null key's only if the group has no other,
     and of equal keys that with the smallest hash of all columns. All columns stay; an empty table gives no rows.
 
-    Near copies have ``least`` of their distinct shingles in common; a null text is empty, and texts without a word are copies of
-    each other. Equal texts are one first. The Gray-order index finds pairs of close fingerprints; texts of this similarity can
-    differ in far more bits, so groups of minima of the same hashes find the others. A pair whose minima allow the similarity is
-    compared by its shingles. Large groups shrink in searches that compare each text with a drawn one of each cell; when these
-    find no more or cells are small, all pairs of what stays in every cell are looked at, so no two rows that stay are such a pair. A text that
-    was linked only to one that went in an earlier search stays.
+    Near copies have ``least`` of their distinct shingles in common, and a group is all that such links reach; a null text is empty, and
+    texts without a word are copies of each other. Equal texts are one first. The Gray-order index finds pairs of close
+    fingerprints; texts of this similarity can differ in far more bits, so groups of minima of the same hashes find the others. A
+    pair whose minima allow the similarity is compared by its shingles. Two searches compare each text with a drawn one of each
+    of its cells, which joins most of a large group; then all pairs of every cell are looked at that are not in one component yet, of
+    any two components those with the most equal minima first. No text leaves the search, so what stays does not depend on the draw.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), whole_text(text).alias("text"), F.xxhash64(*columns).alias("id"))
-    order = F.struct(F.col("key").isNull().alias("none"), "key", "id")
-    sketched = keep(_sketched(rows, shingle), "sketches")
-    live = keep(sketched.groupBy("tid").agg(F.min(F.struct(order.alias("o"), "fp", "groups", "size", "mark")).alias("m")).select(
-        "m.o.id", "m.o.key", "m.fp", "m.groups", "m.size", "m.mark"), "live")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("key"), whole_text(F.col(f"`{text}`")).alias("text"),
+                       F.xxhash64(*columns).alias("r1"), F.hash(*columns).alias("r2"))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")
+    one = _sketched(rows, shingle).groupBy("t1", "t2").agg(F.min(F.struct(order.alias("o"), "fp", "groups", "size", "mark")).alias("m"))
+    live = keep(one.select("m.o.key", "m.o.r1", "m.o.r2", "m.fp", "m.groups", "m.size", "m.mark").withColumn("id", F.monotonically_increasing_id()), "texts-of-one")
+    live = live.withColumn("root", F.col("id"))
     fp = keep(live.groupBy("fp").agg(F.min("id").alias("a")), "distinct")
     near = near_links(fp.select("fp"), radius)
     near = near.join(fp.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
         fp.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = live.join(fp, "fp").filter("a <> id").select("a", F.col("id").alias("b"))
-    pairs, search = _candidates(near.unionByName(equal).unionByName(_stars(live, False)), live, least), ""
-    while True:
-        links = _similar(pairs, _texts(pairs, rows), shingle, least)
-        none = links.isEmpty()
-        if not none:
-            stars = connected(links).withColumnRenamed("node", "id")
-            member = keep(live.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
-            best = keep(member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("id")), "best")
-            live = keep(live.join(best, "id", "left_semi"), "live")
-        if search == "all":
-            break
-        # the pairs of small cells, and those that drawn texts leave when they give no more links, are looked at once
-        search = "all" if none and search or _small_cells(live) else "drawn"
-        pairs = _all_candidates(live, least) if search == "all" else _candidates(_stars(live, True), live, least)
-    found = rows.select("row", "id").join(live.select("id"), "id", "left_semi")
-    return found.dropDuplicates(["id"]).select("row.*")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, _texts(pairs, live, rows), shingle, least)
+    links = [compared(_candidates(near.unionByName(equal).unionByName(_stars(live, False)), live, least))]
+    live = _joined(live, links)
+    links.append(compared(_candidates(_stars(live, True), live, least)))
+    live = _joined(live, links)
+    rest, most = _all_candidates(live, least), 1
+    while not rest.isEmpty():
+        # of each two components the pairs with the most equal minima; of those left, the ones still apart are looked at next
+        at = lambda i: live.select(F.col("id").alias(i), F.col("root").alias(f"r{i}"))
+        apart = keep(rest.join(at("a"), "a").join(at("b"), "b").filter("ra <> rb").select("a", "b", "e", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")), "apart")
+        chosen = keep(ranked(apart, ["lo", "hi"], [F.desc("e"), F.col("a"), F.col("b")], "place", most).select("a", "b"), "chosen")
+        new = compared(chosen)
+        if not new.isEmpty():
+            links.append(new)
+            live = _joined(live, links)
+        rest, most = keep(apart.select("a", "b", "e").join(chosen, ["a", "b"], "left_anti"), "pairs"), most * WIDER
+    best = live.groupBy("root").agg(F.min(order).alias("o")).select("o.r1", "o.r2")
+    found = rows.select("row", "r1", "r2").join(best, ["r1", "r2"], "left_semi")
+    return found.dropDuplicates(["r1", "r2"]).select("row.*")

@@ -401,6 +401,27 @@ def test_near_copies_inside_a_family_of_one_template(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 20])
+def test_chains_of_near_copies_are_one_group_whatever_the_cells(spark, monkeypatch, block):
+    """Each text of a chain is a near copy of the next alone; the first key stays, also where copies of its links make cells large."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(15)
+    words, made = [f"w{i}" for i in range(50_000)], []
+    for c in range(12):
+        t = [rng.choice(words) for _ in range(220)]
+        for i in range(12):
+            made.append((100 * c + i, " ".join(t)))
+            if c < 3:
+                made += [(10_000 + 1000 * c + 50 * i + j, " ".join([*t[:-1], f"copy{j}"])) for j in range(30)]
+            t = t[:18 * i] + [rng.choice(words) for _ in range(18)] + t[18 * i + 18:]
+    sets = [shingles(t) for _, t in made[-24:]]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert share(0, 1) >= 0.8 > share(0, 2)
+    rng.shuffle(made)
+    out = simhash.one_of_each(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [100 * c for c in range(12)]
+
+
 @pytest.mark.parametrize("hot", [50_000, 20])
 def test_gray_index_loses_no_link(spark, monkeypatch, hot):
     rng = np.random.default_rng(8)
