@@ -30,7 +30,7 @@ GROUPS, ROWS = 24, 5   # groups of minima: texts of that similarity share one wi
 SIGMAS = 6.0           # deviations of equal minima below their expected number at which a pair is dropped
 BLOCK = 1_024          # texts of a block of a large cell
 PAIRS = 20_000         # pairs whose minima are compared together
-WIDER = 4              # how many times more pairs of two components each further round compares
+WIDER = 64             # how many times more pairs of two components each further round compares
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
