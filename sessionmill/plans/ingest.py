@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import times
+from ..functions.ids import stable_id
 from ..operators import usage_rows as U
 from ..operators.ordered import staged
 from ..operators.pricing import rate_table, window_table
@@ -96,7 +97,9 @@ def read_logs(spark: SparkSession, paths: list[str], now_ms: int, *, host: str =
         rows = scan.json_rows(own(f.name))
         if f.name == "gemini":
             # a file of either extension may be one document; what is none is read line by line
-            docs = scan.documents(spark, paths, host, "*.json*", found).filter(F.col("size_bytes") <= scan.DOCUMENT_BYTES).join(of(f.name), "trace_id", "left_semi")
+            own_files = found.withColumn("trace_id", stable_id(F.col("path"), F.lit(host))).join(of(f.name).withColumn("own", F.lit(True)), "trace_id", "left")
+            own_files = own_files.filter(F.col("folder") | F.col("error").isNotNull() | (F.col("own") & (F.col("size_bytes") <= scan.DOCUMENT_BYTES))).drop("own", "trace_id")
+            docs = scan.documents(spark, paths, host, "*.json*", own_files).filter(F.col("size_bytes") <= scan.DOCUMENT_BYTES)
             docs = docs.filter(scan.is_document(F.col("text")))
             apart = trees.read_documents(scan.apart_documents(found, host, "*.json*").join(of(f.name), "trace_id", "left_semi"))
             whole = staged(docs.select("trace_id").unionByName(apart.select("trace_id").distinct()))
@@ -135,7 +138,6 @@ def read_entities(spark: SparkSession, root: str, now_ms: int, *, host: str = ""
                   exported_messages: DataFrame | None = None, exported_parts: DataFrame | None = None, rates: DataFrame | None = None,
                   windows: DataFrame | None = None, cost: CostParams = CostParams(), status: StatusParams = StatusParams()) -> Logs:
     """The same for multi-file sessions (session, message and part files below ``root``/storage)."""
-    from ..functions.ids import stable_id
     rates, windows = (rates if rates is not None else rate_table(spark)), (windows if windows is not None else window_table(spark))
     s = scan.entities(spark, root, "session").withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
     if diffs:

@@ -202,8 +202,8 @@ def document_part_files(spark, sf):
     docs = e.groupBy("trace_id", part.alias("part")).agg(F.sort_array(F.collect_list(_S("n", "k"))).alias("a"))
     body = F.to_json(_S(F.lit("d").alias("sessionId"), F.transform("a", lambda x: _S(F.concat(F.lit("x"), x["k"]).alias("text"))).alias("messages")), {"pretty": "true"})
     path = scratch_dir(spark)
-    docs.select(F.concat_ws("-", "trace_id", "part").alias("owner"), body.alias("value")).repartition("owner").write.partitionBy("owner").option(
-        "maxRecordsPerFile", 1).text(path)
+    name = F.concat(F.lit("owner="), F.concat_ws("-", "trace_id", "part"), F.lit("/document.txt"))
+    scan.write_files(docs.select(name.alias("name"), body.alias("text")), path)
     rows = scan.document_rows(scan.documents(spark, [path]))
     owner = lambda i: F.regexp_extract("path", "owner=([^/]+)-([0-9]+)/", i)
     return rows.select(owner(1).alias("trace_id"), owner(2).cast("bigint").alias("part"), "row_no", V.text(_C("v"), "$.text").alias("text"))
@@ -222,10 +222,10 @@ def entity_files(spark, sf):
 @query("""SELECT 's' || conv_id AS owner, 'one' || turn AS text FROM conversations""")
 def entity_message_files(spark, sf):
     """Message files of all conversations, indented, read back with their folder as owner."""
-    t = D.table(spark, sf, "conversations")
+    t, root = D.table(spark, sf, "conversations").withColumn("__n", F.monotonically_increasing_id()), scratch_dir(spark)
     body = F.to_json(_S(F.concat(F.lit("one"), "turn").alias("text")), {"pretty": "true"})
-    root = scratch_dir(spark)
-    t.select(F.concat(F.lit("s"), "conv_id").alias("owner"), body.alias("value")).repartition("owner").write.partitionBy("owner").option(
-        "maxRecordsPerFile", 1).text(f"{root}/storage/message")
+    owner = F.coalesce(F.concat(F.lit("s"), "conv_id"), F.lit("__HIVE_DEFAULT_PARTITION__"))   # the folder that Spark gives rows without one
+    name = F.concat(F.lit("storage/message/owner="), owner, F.lit("/"), "__n", F.lit(".txt"))
+    scan.write_files(t.select(name.alias("name"), body.alias("text")), root)
     found = scan.entities(spark, root, "message", glob="*")
     return found.select(F.regexp_replace("owner", "^owner=", "").alias("owner"), V.text(_C("v"), "$.text").alias("text"))

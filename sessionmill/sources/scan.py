@@ -62,20 +62,51 @@ def log_files(spark: SparkSession, paths: list[str], host: str = "", glob: str |
     return files.withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
 
 
+def _must_exist(spark: SparkSession, paths: list[str]) -> None:
+    """Paths that are not there are an error, as they are to Spark's reader."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+            _reader(spark).format("text").load(path)
+
+
+def _near_and_far(found: DataFrame, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files that tasks read whole, and those left to Spark's reader: large and packed ones. Hidden names are in neither."""
+    seen, small = trees.files_of(found).filter(~trees.hidden()).filter(_named(glob)), (F.col("size_bytes") <= trees.SMALL) & ~trees.packed()
+    return seen.filter(small), seen.filter(~small)
+
+
+def _far_rows(spark: SparkSession, paths: list[str], found: DataFrame, far: DataFrame, columns: list[Column], **options: str) -> DataFrame:
+    """What Spark's reader gives for the files left to it; the condition on the file's size keeps it from opening the others."""
+    raw = _reader(spark, **options).format("text").load(roots(spark, paths, found))
+    raw = raw.filter((F.col("_metadata.file_size") > trees.SMALL) | trees.packed("_metadata.file_path")).select(*_file_columns(), *columns)
+    return _unlinked(raw, found).join(far.select("path"), "path", "left_semi")
+
+
+def _texts(spark: SparkSession, paths: list[str], found: DataFrame, glob: str | None = None) -> DataFrame:
+    """(path, size_bytes, mtime_ms, text) of whole files with names that Spark's listing gives: small ones opened by tasks."""
+    _must_exist(spark, paths)
+    near, far = _near_and_far(found, glob)
+    rows = trees.read_texts(near)
+    return rows if far.isEmpty() else rows.unionByName(_far_rows(spark, paths, found, far, [F.col("value").alias("text")], wholetext="true").select(*rows.columns))
+
+
 def lines(spark: SparkSession, paths: list[str], host: str = "", found: DataFrame | None = None) -> DataFrame:
     """(trace_id, path, mtime_ms, row_no, offset, line) of text files of any size.
 
-    Files are split as usual. The place of a line is its place inside its split plus the line and character counts of
-    the splits before, which are folded to one row per split. Files whose names Spark's readers pass over are read by tasks.
+    Small files are read whole by tasks. Large ones are split as usual: the place of a line is its place inside its split plus the line and
+    character counts of the splits before, which are folded to one row per split. Files whose names Spark's readers pass over are read by tasks.
     """
     found = trees.tree(spark, paths) if found is None else found
-    raw = _reader(spark, lineSep="\n").format("text").load(roots(spark, paths, found)).select(
-        *_file_columns(), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"),
-        F.monotonically_increasing_id().alias("pos"))
-    placed = running(_unlinked(raw, found), ["path"], "pos", {"row_no": ("count", None), "past": ("sum", F.length("line") + 1)},
-                     chunk=F.col("block"))
+    _must_exist(spark, paths)
+    near, far = _near_and_far(found)
     columns = ["path", "size_bytes", "mtime_ms", "row_no", "offset", "line"]
-    rows = placed.withColumn("offset", F.col("past") - F.length("line") - 1).select(*columns)
+    rows = trees.read_small_lines(near).select(*columns)
+    if not far.isEmpty():
+        raw = _far_rows(spark, paths, found, far, [F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"),
+                                                   F.monotonically_increasing_id().alias("pos")], lineSep="\n")
+        placed = running(raw, ["path"], "pos", {"row_no": ("count", None), "past": ("sum", F.length("line") + 1)}, chunk=F.col("block"))
+        rows = rows.unionByName(placed.withColumn("offset", F.col("past") - F.length("line") - 1).select(*columns))
     dark = trees.files_of(found).filter(trees.hidden())
     if not dark.isEmpty():
         rows = rows.unionByName(trees.read_lines(dark).select(*columns))
@@ -90,10 +121,8 @@ def json_rows(line_rows: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, paths: list[str], host: str = "", glob: str | None = None, found: DataFrame | None = None) -> DataFrame:
     """Whole files as one text each, however they are laid out inside."""
-    opts = {"wholetext": "true", **({"pathGlobFilter": glob} if glob else {})}
     found = trees.tree(spark, paths) if found is None else found
-    df = _reader(spark, **opts).format("text").load(roots(spark, paths, found)).select(*_file_columns(), F.col("value").alias("text"))
-    return _unlinked(df, found).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
+    return _texts(spark, paths, found, glob).withColumn("trace_id", stable_id(F.col("path"), F.lit(host)))
 
 
 def is_document(text: Column) -> Column:
@@ -132,7 +161,8 @@ def document_file_rows(spark: SparkSession, paths: list[str], host: str = "", gl
     """``document_rows`` of the documents among the files below the paths, of any size and name (SC02): those of up to ``large`` bytes as one
     text each, larger and hidden ones read in pieces by tasks. Both give the same rows."""
     found = trees.tree(spark, paths) if found is None else found
-    rows, apart = document_rows(documents(spark, paths, host, glob, found).filter(F.col("size_bytes") <= large)), apart_documents(found, host, glob, large)
+    few = found.filter(F.col("folder") | (F.col("size_bytes") <= large))
+    rows, apart = document_rows(documents(spark, paths, host, glob, few).filter(F.col("size_bytes") <= large)), apart_documents(found, host, glob, large)
     return rows if apart.isEmpty() else rows.unionByName(trees.read_documents(apart))
 
 
@@ -163,9 +193,12 @@ def entities(spark: SparkSession, root: str, kind: str, glob: str = "*.json") ->
 
     ``owner`` is the directory name (project, session or message id), ``key`` the file name without extension.
     """
-    docs = _reader(spark, wholetext="true", pathGlobFilter=glob).format("text").load(
-        roots(spark, [f"{root}/storage/{kind}"])).select(*_file_columns(), "value")
-    path = F.col("path")
+    paths = [f"{root}/storage/{kind}"]
+    found = trees.tree(spark, paths)
+    docs, path = _texts(spark, paths, found, glob).withColumnRenamed("text", "value"), F.col("path")
+    # links are followed here
+    if linked := [r.path for r in found.filter(F.col("error") == trees.LINK).filter(~trees.hidden()).select("path").collect()]:
+        docs = docs.unionByName(_reader(spark, wholetext="true", pathGlobFilter=glob).format("text").load(linked).select(*_file_columns(), "value"))
     return (docs.select(X.basename_stem(path).alias("key"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("owner"),
                         "path", "size_bytes", "mtime_ms", F.col("value").alias("raw_json"),
                         F.try_parse_json("value").alias("v")).filter(V.is_object(F.col("v"))))
@@ -352,14 +385,19 @@ def write_files(files: DataFrame, root: str) -> None:
     """One file per row (name below the root, text), written in tasks and replaced if it is there."""
     def put(batches):
         from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root.removeprefix("file://") if root.startswith("file:///") else root.removeprefix("file:"))
+        made = set()
         for b in batches:
             for name, text in zip(b["name"], b["text"]):
-                store, path = fs.FileSystem.from_uri(f"{root.removeprefix('file://') if root.startswith('file:///') else root.removeprefix('file:')}/{name}")
-                store.create_dir(path.rsplit("/", 1)[0])
+                path = f"{base}/{name}"
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
                 with store.open_output_stream(path) as out:
                     out.write(text.encode())
             yield b[["name"]]
-    files.select("name", "text").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+    trees.dealt(files.select("name", "text"), "name").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
 
 
 def as_json_lines(events: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..operators.ordered import scratch_dir
 
 LISTED = "path string, folder boolean, size_bytes bigint, mtime_ms bigint, error string"
 ROWS = 10_000                      # rows that a listing or reading task gives at a time
+SMALL = 4 << 20                    # files up to this are read whole by tasks; Spark's readers plan and open each file apart
 CHUNK = 1 << 20                    # bytes read at a time
 LINK = "symbolic link"             # the error of links, which are not followed
 # Names that Hadoop's file systems write for themselves, no part of any log.
@@ -122,6 +123,94 @@ def _chunks(path: str) -> Iterator[str]:
     yield decode(b"", True)
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that each cost a file to open or write, dealt over all cores: their bytes are so few that Spark would join them into a task or two."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def packed(name_of: str = "path"):
+    """A file that Spark's text reader unpacks."""
+    return F.col(name_of).rlike(r"(?i)\.(?:gz|bz2|deflate|snappy|lz4|zst)$")
+
+
+def _whole(path: str) -> tuple[bytes, int, int]:
+    """Bytes, size and time of a file as it is now."""
+    if _local(path):
+        with open(path, "rb") as source:
+            info = os.fstat(source.fileno())
+            return source.read(), info.st_size, info.st_mtime_ns // 1_000_000
+    from pyarrow import fs
+    store, inner = fs.FileSystem.from_uri(path)
+    info = store.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    with store.open_input_stream(inner, compression=None) as source:
+        return source.read(), info.size or 0, (info.mtime_ns or 0) // 1_000_000
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """(path, size_bytes, mtime_ms, text) of whole files of a listing, opened by tasks. Size and time are those of the moment of reading; a file
+    that is gone or empty gives nothing, as with Spark's reader."""
+    names = ["path", "size_bytes", "mtime_ms", "data"]
+
+    def read(batches):
+        held, weight = [], 0
+        for b in batches:
+            for path in b["path"]:
+                try:
+                    data, size, mtime = _whole(path)
+                except FileNotFoundError:
+                    continue
+                if not data:
+                    continue
+                held.append((path, size, mtime, data))
+                weight += len(data) + 100
+                if weight > CHUNK:
+                    yield pd.DataFrame(held, columns=names)
+                    held, weight = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
+    rows = dealt(files.select("path"), "path").mapInPandas(read, "path string, size_bytes bigint, mtime_ms bigint, data binary")
+    return rows.select("path", "size_bytes", "mtime_ms", F.col("data").cast("string").alias("text"))
+
+
+_CR = re.compile("\r(?=[\r\u0085\u2028\u2029]?\\Z)")      # what Spark's pattern ``\\r$`` takes from a line
+
+
+def _lines(data: bytes) -> list[str]:
+    """The lines of a file as Spark's reader gives them; bytes that are no UTF-8 are replaced."""
+    some = data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace").split("\n")
+    if not some[-1]:
+        some.pop()
+    return [_CR.sub("", line) if "\r" in line else line for line in some]
+
+
+def read_small_lines(files: DataFrame) -> DataFrame:
+    """The rows of ``read_lines`` for files that fit a task whole, as Spark's reader gives them."""
+    names = ["path", "size_bytes", "mtime_ms", "row_no", "offset", "line"]
+
+    def read(batches):
+        held, weight = [], 0
+        for b in batches:
+            for path in b["path"]:
+                try:
+                    data, size, mtime = _whole(path)
+                except FileNotFoundError:
+                    continue
+                at = 0
+                for n, line in enumerate(_lines(data), 1):
+                    held.append((path, size, mtime, n, at, line))
+                    at += len(line) + 1
+                    weight += len(line) + 100
+                    if weight > CHUNK:
+                        yield pd.DataFrame(held, columns=names)
+                        held, weight = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
+    return dealt(files.select("path"), "path").mapInPandas(read, "path string, size_bytes bigint, mtime_ms bigint, row_no bigint, offset bigint, line string")
+
+
 def read_lines(files: DataFrame) -> DataFrame:
     """(path, size_bytes, mtime_ms, row_no, offset, line) of files read by tasks, a file in one task, in batches of bounded size."""
     names = ["path", "size_bytes", "mtime_ms", "row_no", "offset", "line"]

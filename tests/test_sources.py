@@ -166,3 +166,28 @@ def test_a_large_document_is_read_with_a_bounded_peak(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < os.path.getsize(path) / 3
+
+
+def test_small_files_are_opened_by_tasks_and_give_the_rows_of_sparks_reader(spark, tmp_path, monkeypatch):
+    odd = {"a.jsonl": b"\xef\xbb\xbf{\"a\": 1}\r\nb\r\r\n\nz\r\xe2\x80\xa8", "b c+%20.json": b"\xff\xc3\xa9\xe2\x82x\r\nlast", "empty.json": b"", "_h.json": b"{}\n", "d/.e.jsonl": b"{}", "end.json": "ü\n\n".encode()}
+    for name, data in odd.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    assert not any("jsonl" in n for n in scan.lines(spark, [str(tmp_path)]).inputFiles())
+    with __import__("gzip").open(tmp_path / "p.json.gz", "wb") as f:
+        f.write(b"packed\n")
+    raw = lambda df, c: sorted((r[:-1], bytes(r[-1])) for r in df.withColumn(c, F.col(c).cast("binary")).select(*[x for x in df.columns if x != c], c).collect())
+    near = raw(scan.lines(spark, [str(tmp_path)]), "line"), raw(scan.documents(spark, [str(tmp_path)], glob="*.json*"), "text")
+    monkeypatch.setattr(scan.trees, "SMALL", -1)
+    assert near == (raw(scan.lines(spark, [str(tmp_path)]), "line"), raw(scan.documents(spark, [str(tmp_path)], glob="*.json*"), "text"))
+    assert len(near[1]) == 4 and (b"packed",) in {r[-1:] for r in near[0]}
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    spark.sparkContext.setJobGroup("written", "")
+    rows = spark.range(100).coalesce(1).select(F.concat(F.lit("f/"), "id", F.lit(".json")).alias("name"), F.lit("{}").alias("text"))
+    scan.write_files(rows, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("written") for s in status.getJobInfo(j).stageIds]
+    assert max(tasks) >= spark.sparkContext.defaultParallelism and len(os.listdir(tmp_path / "f")) == 100
