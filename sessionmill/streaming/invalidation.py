@@ -16,7 +16,7 @@ from ..functions import variants as V
 from ..functions.ids import stable_id
 from ..operators.ordered import scratch_dir
 from ..schemas import EVENT_COLUMNS, EVENT_SCHEMA
-from ..sources import scan
+from ..sources import scan, trees
 from ..sources.formats import opencode
 from .stores import BUCKETS, PartitionStore, bucket_of, folder_names, parts_of
 
@@ -24,7 +24,7 @@ KINDS = ("session", "session_diff", "message", "part")
 WAITING = -1   # the bucket of parts without a known message
 _ENTITY = "kind string, session_id string, key string, owner string, mid string, path string, size_bytes bigint, mtime_ms bigint, raw_json string"
 _COLUMNS = [c.split()[0] for c in _ENTITY.split(", ")]
-PATHS = 10_000  # changed paths named to the reader at a time
+PATHS = 10_000  # packed paths named to the reader at a time
 
 
 def kind_of(path: Column) -> Column:
@@ -49,18 +49,20 @@ class SessionFiles:
         return F.when(F.col("session_id") == "", F.lit(WAITING)).otherwise(bucket_of("session_id", self.buckets))
 
     def _read(self, paths: DataFrame) -> DataFrame:
-        """The named files that hold a JSON object, with their own ids. Their names pass the driver in parts of ``PATHS``."""
-        out, todo = f"{scratch_dir(self.spark)}/read", paths.select("path").toLocalIterator()
-        found = self._empty().drop("session_id")
-        found.write.parquet(out)
-        while names := [r.path for _, r in zip(range(PATHS), todo)]:
-            docs = self.spark.read.format("text").option("wholetext", "true").option("ignoreMissingFiles", "true").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names]).select(
-                *scan._file_columns(), F.col("value").alias("raw_json"))
+        """The named files that hold a JSON object, with their own ids, opened by tasks. Names of packed ones pass the driver in parts of ``PATHS``."""
+        out, seen = f"{scratch_dir(self.spark)}/read", paths.select("path").filter(~trees.hidden())
+        found, packed = self._empty().drop("session_id"), seen.filter(trees.packed()).toLocalIterator()
+
+        def keep(docs: DataFrame) -> None:
             v, path = F.try_parse_json("raw_json"), F.col("path")
             rows = docs.withColumn("v", v).filter(V.is_object(F.col("v"))).select(
                 kind_of(path).alias("kind"), X.basename_stem(path).alias("key"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("owner"),
                 X.strip(V.text(F.col("v"), "$.id")).alias("mid"), "path", "size_bytes", "mtime_ms", "raw_json")
             rows.write.mode("append").parquet(out)
+        keep(trees.read_texts(seen.filter(~trees.packed())).withColumnRenamed("text", "raw_json"))
+        while names := [r.path for _, r in zip(range(PATHS), packed)]:
+            keep(self.spark.read.format("text").option("wholetext", "true").option("ignoreMissingFiles", "true").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names]).select(
+                *scan._file_columns(), F.col("value").alias("raw_json")))
         return self.spark.read.schema(found.schema).parquet(out)
 
     def _normalized(self, entities: DataFrame) -> DataFrame:

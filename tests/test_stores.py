@@ -115,3 +115,15 @@ def test_changed_files_derive_their_sessions_alone(spark, tmp_path, monkeypatch)
     assert ids(3) == ["a", "b", "e", "f"]
     check()
     assert ids(4) == []
+
+
+def test_changed_files_are_opened_by_tasks(spark, tmp_path, monkeypatch):
+    from sessionmill.sources import scan
+    from sessionmill.streaming import invalidation
+    monkeypatch.setattr(invalidation, "PATHS", 0)     # no name may pass the driver
+    for i in range(3):
+        path = tmp_path / f"files/storage/session/p/s{i}.json"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text('{"id": "s%d", "title": "t"}' % i)
+    kept = invalidation.SessionFiles(spark, f"{tmp_path}/kept", buckets=2)
+    assert kept._read(scan.log_files(spark, [f"{tmp_path}/files"])).count() == 3
