@@ -44,12 +44,15 @@ def structured_wait_text(raw_json: Column, raw_type: Column) -> Column:
     """``structured_wait`` of a row's JSON text, which is parsed only where a marker's word occurs at all."""
     maybe = F.concat_ws(" ", raw_type, raw_json).rlike(_MARKER_WORDS)
     parsed = F.when(maybe, F.try_parse_json(raw_json))
-    return F.when(maybe, V.let(F.struct(parsed.alias("v"), raw_type.alias("t")), lambda x: structured_wait(x["v"], x["t"]))).otherwise(F.lit(False))
+    return F.when(maybe, structured_wait(parsed, raw_type)).otherwise(F.lit(False))
 
 
 def structured_wait(v: Column, raw_type: Column) -> Column:
-    values = F.array(raw_type, *[F.try_variant_get(v, p, "string") for p in WAIT_FIELDS])
-    return F.exists(values, lambda x: F.coalesce(is_wait_marker(x), F.lit(False)))
+    """A row's type or one of its fields is a marker. The row is evaluated once, not for every field, and fields that are not there are passed over."""
+    def test(x: Column) -> Column:
+        values = F.array(x["t"], *[F.try_variant_get(x["v"], p, "string") for p in WAIT_FIELDS])
+        return F.exists(values, lambda m: m.isNotNull() & F.coalesce(is_wait_marker(m), F.lit(False)))
+    return V.let(F.struct(v.alias("v"), raw_type.alias("t")), test)
 
 
 def text_wait(*parts: Column) -> Column:

@@ -206,3 +206,11 @@ def test_gap_is_strict(spark):
     ev = spark.createDataFrame([("a", 1), ("a", 1 + g), ("b", 1), ("b", 2 + g)], "trace_id string, ts_ms bigint")
     got = {r.trace_id: r.n for r in active_segments(ev).groupBy("trace_id").agg(F.count("*").alias("n")).collect()}
     assert got == {"a": 1, "b": 2}
+
+
+def test_structured_wait_evaluates_its_row_once(spark):
+    from sessionmill.functions import waits
+    rows = spark.createDataFrame([('{"payload": {"status": "Awaiting_User"}}', None), ("{}", "waiting"), ("[", None), (None, "done"), ('{"status": "x"}', "y")], "j string, t string")
+    found = rows.select(waits.structured_wait(F.try_parse_json("j"), F.col("t")).alias("w"))
+    assert [r.w for r in found.collect()] == [True, True, False, False, False]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
