@@ -76,16 +76,18 @@ def normalize(rows: DataFrame) -> DataFrame:
                    "v", F.posexplode(seeds).alias("item_no", "s"))
     df = df.withColumns({"item_no": c("item_no").cast("bigint"), "iv": c("s.iv"), "rv": c("s.rv"), "what": c("s.what"),
                          "event_offset": c("offset") + c("s.slot")})
-    iv, rv, what = c("iv"), c("rv"), c("what")
-    jt = lambda x, *paths: X.compact(V.first_json_text(F.to_json(x), x, *paths))
+    # the JSON texts of an item once per row, the fields below look into them many times
+    df = df.withColumns({"ij": F.to_json("iv"), "rj": F.to_json("rv")})
+    iv, rv, what, ij, rj = c("iv"), c("rv"), c("what"), c("ij"), c("rj")
+    jt = lambda x, *paths: X.compact(V.first_json_text(ij, x, *paths))
     role = F.when(c("typ").isin("gemini", "model", "assistant"), "assistant").otherwise(c("typ"))
     row_key = (c("row_no")).cast("string")
     by_call = what == "call"
     status = V.text(iv, "$.status")
     # record texts in order of preference, then the call's display text, then the record itself
-    record = V.first_filled(*[X.compact(F.get_json_object(F.to_json(rv), f"$.{p}")) for p in ("response", "output", "result", "content")],
-                            X.compact(F.get_json_object(F.to_json(iv), "$.resultDisplay")), X.compact(F.to_json(rv)))
-    fallback = V.first_filled(*[X.compact(F.get_json_object(F.to_json(iv), f"$.{p}")) for p in ("resultDisplay", "result", "response")], status)
+    record = V.first_filled(*[X.compact(F.get_json_object(rj, f"$.{p}")) for p in ("response", "output", "result", "content")],
+                            X.compact(F.get_json_object(ij, "$.resultDisplay")), X.compact(rj))
+    fallback = V.first_filled(*[X.compact(F.get_json_object(ij, f"$.{p}")) for p in ("resultDisplay", "result", "response")], status)
     df = df.withColumns({
         "role": role,
         "name": F.when(by_call, or_tool(V.text(iv, "$.functionCall.name")))
