@@ -17,7 +17,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..operators.ordered import ranked
 from .common import keep, slices, whole_text
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -29,8 +28,9 @@ SIMILARITY = 0.8       # common share of shingles of near copies, where texts ar
 GROUPS, ROWS = 24, 5   # groups of minima: texts of that similarity share one with a probability above 0.9999
 SIGMAS = 6.0           # deviations of equal minima below their expected number at which a pair is dropped
 BLOCK = 1_024          # texts of a block of a large cell
+BLOCK_SHINGLES = 1_000_000   # and their distinct shingles
+GATHERED = 1_000_000   # shingles looked up together
 PAIRS = 20_000         # pairs whose minima are compared together
-WIDER = 64             # how many times more pairs of two components each further round compares
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -300,13 +300,42 @@ class Marks:
         self.size, self.mark, self.least = size, np.frombuffer(b"".join(mark.to_pylist()), np.uint8).reshape(-1, m), least
         self.equal = m * least - SIGMAS * np.sqrt(m * least * (1 - least))
 
-    def may(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The listed pairs that may be, and how many of their minima are equal."""
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the listed pairs may be."""
         fit = np.minimum(self.size[a], self.size[b]) + 1e-9 >= self.least * np.maximum(self.size[a], self.size[b])
-        a, b = a[fit], b[fit]
-        same = (self.mark[a] == self.mark[b]).sum(axis=1)
-        fit = same >= self.equal
-        return a[fit], b[fit], same[fit]
+        fit[fit] = (self.mark[a[fit]] == self.mark[b[fit]]).sum(axis=1) >= self.equal
+        return fit
+
+
+class Shingles:
+    """The distinct shingles of texts, numbered, to compare one text with many others at a time."""
+
+    def __init__(self, size: np.ndarray, shingles: pa.ChunkedArray):
+        self.size, self.start = size, np.cumsum(size) - size
+        names, number = np.unique(np.frombuffer(b"".join(shingles.to_pylist()), np.uint64), return_inverse=True)
+        self.number, self.own = number.astype(np.int32), np.zeros(len(names), bool)
+
+    def common_share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common share of the shingles of each listed pair; 1 if neither has any."""
+        out = np.empty(len(a))
+        order = np.argsort(a, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            if not len(at):
+                continue
+            x = a[at[0]]
+            mine = self.number[self.start[x]:self.start[x] + self.size[x]]
+            self.own[mine] = True
+            n = self.size[b[at]]
+            for some in np.split(at, np.flatnonzero(np.diff(np.cumsum(n) // GATHERED)) + 1):
+                n = self.size[b[some]]
+                end = np.cumsum(n)
+                place = np.arange(end[-1]) + np.repeat(self.start[b[some]] - (end - n), n)
+                hits = np.concatenate([[0], np.cumsum(self.own[self.number[place]])])
+                both = hits[end] - hits[end - n]
+                union = self.size[x] + n - both
+                out[some] = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+            self.own[mine] = False
+        return out
 
 
 def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
@@ -326,7 +355,7 @@ def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, live: DataFrame, least: float) -> DataFrame:
-    """``a``, ``b``, ``e``: the distinct pairs of different components whose minima allow the similarity, and how many are equal."""
+    """``a``, ``b``: the distinct pairs of different components whose minima allow the similarity."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda i: live.select(F.col("id").alias(i), F.struct("root", "size", "mark").alias(f"m{i}"))
     both = one.join(side("a"), "a").join(side("b"), "b").filter("ma.root <> mb.root").select(
@@ -338,23 +367,26 @@ def _candidates(pairs: DataFrame, live: DataFrame, least: float) -> DataFrame:
                 n = np.arange(b.num_rows)
                 marks = Marks(np.concatenate([b.column("size").to_numpy(), b.column("size2").to_numpy()]),
                               pa.concat_arrays([b.column("mark"), b.column("mark2")]), least)
-                at, _, same = marks.may(n, n + b.num_rows)
-                some = b.select(["a", "b"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(same.astype(np.int32))], ["a", "b", "e"])
-    return keep(both.mapInArrow(run, "a long, b long, e int"), "pairs")
+                yield b.select(["a", "b"]).filter(pa.array(marks.may(n, n + b.num_rows)))
+    return keep(both.mapInArrow(run, "a long, b long"), "pairs")
 
 
-def _all_candidates(live: DataFrame, least: float) -> DataFrame:
-    """``a``, ``b``, ``e``: of all pairs of texts of different components that share a group of minima, those whose minima allow the similarity.
+def _rest_links(live: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``a``, ``b``: links between texts of different components, enough to join all that pairs which share a group of minima hold together.
 
     A cell whose texts are one component has none. In the others the texts of the largest component, in blocks of ``BLOCK``, meet only
     the blocks of the other texts, and these meet each other: a large group of copies costs as much as it has texts outside. A
-    pair counts only in the first cell that holds both.
+    pair counts only in the first cell that holds both. Pairs never leave their task: the first pass tells which texts of a block
+    have a pair whose minima allow the similarity, and for these alone the second gets the shingles and compares the pairs
+    that its links have not joined yet. Both passes give at most a row for each text of a block.
     """
-    lines = live.select("id", "root", F.posexplode("groups").alias("g", "v"))
-    roots = lines.groupBy("g", "v", "root").agg(F.count(F.lit(1)).alias("m"))
-    counts = keep(roots.groupBy("g", "v").agg(F.max_by("root", F.struct("m", "root")).alias("big"), F.max("m").alias("m"), F.sum("m").alias("n")).filter("m < n").select(
-        "g", "v", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("bigs"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others")), "cell-sizes")
+    lines = live.select("id", "root", "size", F.posexplode("groups").alias("g", "v"))
+    roots = lines.groupBy("g", "v", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    most = F.struct("m", "root")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    counts = keep(roots.groupBy("g", "v").agg(F.max_by("root", most).alias("big"), F.max("m").alias("m"), F.sum("m").alias("n"), F.max_by("s", most).alias("s"), F.sum("s").alias("ns"))
+                  .filter("m < n").select("g", "v", "big", blocks(F.col("m"), F.col("s")).alias("bigs"),
+                                          blocks(F.col("n") - F.col("m"), F.col("ns") - F.col("s")).alias("others")), "cell-sizes")
     upto = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
     cell = lambda row, col: F.struct(row.alias("row"), col.alias("col"))
     large, own = F.col("root") == F.col("big"), F.col("own")
@@ -366,7 +398,6 @@ def _all_candidates(live: DataFrame, least: float) -> DataFrame:
     dealt = keep(lines.join(counts, ["g", "v"]).withColumn("own", block).withColumn("cell", F.explode(cells)).select(
         "id", "root", "own", "g", "v", "cell.row", "cell.col"), "cells")
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = dealt.join(live.select("id", "groups", "size", "mark"), "id").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def listed(first: np.ndarray, n: int, own: np.ndarray, row: np.ndarray, col: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs of each cell, about ``PAIRS`` together."""
@@ -387,30 +418,67 @@ def _all_candidates(live: DataFrame, least: float) -> DataFrame:
         if size:
             yield tuple(np.concatenate(x) for x in zip(*held))
 
-    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        ids, root, own, row, col, g = (t.column(k).to_numpy() for k in ("id", "root", "own", "row", "col", "g"))
+    def allowed(t: pa.Table, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of each cell of different labels whose minima allow the similarity, each in its first cell; a label may change between them."""
+        own, row, col, g = (t.column(k).to_numpy() for k in ("own", "row", "col", "g"))
         groups = t.column("groups").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
         marks = Marks(t.column("size").to_numpy(), t.column("mark"), least)
+        root = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
         for a, b in listed(_firsts(t, keys), t.num_rows, own, row, col):
-            apart = root[a] != root[b]
-            a, b, same = marks.may(a[apart], b[apart])
+            apart = label[root[a]] != label[root[b]]
+            a, b = a[apart], b[apart]
+            fit = marks.may(a, b)
+            a, b = a[fit], b[fit]
             first = ~((groups[a] == groups[b]) & (np.arange(GROUPS) < g[a][:, None])).any(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]]), pa.array(same[first].astype(np.int32))], ["a", "b", "e"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= 16 * BLOCK:
-                t = pa.Table.from_batches(held)
-                stop = int(_firsts(t, keys)[-1])
-                yield from found(t.slice(0, stop)) if stop else ()
-                held, size = t.slice(stop).to_batches(), t.num_rows - stop
-        if size:
-            yield from found(pa.Table.from_batches(held))
-    return keep(spread.mapInArrow(run, "a long, b long, e int"), "pairs")
+            if first.any():
+                yield a[first], b[first]
+
+    def by_cell(find):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, inside = [], 0, 0
+            for b in batches:
+                held.append(b)
+                size += b.num_rows
+                inside += int(pa.compute.sum(b.column("size")).as_py() or 0)
+                if size >= 16 * BLOCK or inside >= 2 * BLOCK_SHINGLES:
+                    t = pa.Table.from_batches(held)
+                    stop = int(_firsts(t, keys)[-1])
+                    if stop:
+                        yield find(t.slice(0, stop).combine_chunks())
+                    rest = t.slice(stop)
+                    held, size, inside = rest.to_batches(), rest.num_rows, int(pa.compute.sum(rest.column("size")).as_py() or 0)
+            if size:
+                yield find(pa.Table.from_batches(held).combine_chunks())
+        return run
+
+    def marked(t: pa.Table) -> pa.RecordBatch:
+        """The rows of texts that have a pair."""
+        hit = np.zeros(t.num_rows, bool)
+        for a, b in allowed(t, np.arange(t.num_rows)):
+            hit[a] = hit[b] = True
+        some = t.select(["id", "root", "own", *keys]).filter(pa.array(hit)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in some.columns], some.schema.names)
+
+    def linked(t: pa.Table) -> pa.RecordBatch:
+        """A link for each component that similar pairs join to another."""
+        names, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        label, held = np.arange(len(names)), Shingles(t.column("size").to_numpy(), t.column("shingles"))
+        for a, b in allowed(t, label):
+            same = held.common_share(a, b) >= least
+            label[:] = components(label, root[a[same]], root[b[same]])
+        joined = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[label[joined]]), pa.array(names[joined])], ["a", "b"])
+    first = dealt.join(live.select("id", "groups", "size", "mark"), "id").repartition(parts, *keys).sortWithinPartitions(*keys)
+    places = keep(first.mapInArrow(by_cell(marked), dealt.select("id", "root", "own", *keys).schema), "places")
+    texts = _texts(places.select("id").distinct(), live, rows)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
+    sets = live.select("id", "groups", "size", "mark").join(texts.mapInArrow(hashed, "id long, shingles binary"), "id")
+    second = places.join(sets, "id").repartition(parts, *keys).sortWithinPartitions(*keys)
+    return keep(second.mapInArrow(by_cell(linked), "a long, b long"), "similar")
 
 
 def _firsts(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -423,9 +491,8 @@ def _firsts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _texts(pairs: DataFrame, live: DataFrame, rows: DataFrame) -> DataFrame:
-    """``id``, ``text`` of all texts in the pairs, stored."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _texts(named: DataFrame, live: DataFrame, rows: DataFrame) -> DataFrame:
+    """``id``, ``text`` of the texts with these ids, stored."""
     where = live.select("id", "r1", "r2").join(named, "id", "left_semi")
     return keep(rows.select("r1", "r2", "text").join(where, ["r1", "r2"]).select("id", "text").dropDuplicates(["id"]), "texts")
 
@@ -464,8 +531,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     texts without a word are copies of each other. Equal texts are one first. The Gray-order index finds pairs of close
     fingerprints; texts of this similarity can differ in far more bits, so groups of minima of the same hashes find the others. A
     pair whose minima allow the similarity is compared by its shingles. Two searches compare each text with a drawn one of each
-    of its cells, which joins most of a large group; then all pairs of every cell are looked at that are not in one component yet, of
-    any two components those with the most equal minima first. No text leaves the search, so what stays does not depend on the draw.
+    of its cells, which joins most of a large group; then all pairs of every cell are looked at that are not in one component yet. No
+    text leaves the search, so what stays does not depend on the draw.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("key"), whole_text(F.col(f"`{text}`")).alias("text"),
@@ -481,22 +548,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     equal = live.join(fp, "fp").filter("a <> id").select("a", F.col("id").alias("b"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return _similar(pairs, _texts(pairs, live, rows), shingle, least)
+        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        return _similar(pairs, _texts(named, live, rows), shingle, least)
     links = [compared(_candidates(near.unionByName(equal).unionByName(_stars(live, False)), live, least))]
     live = _joined(live, links)
     links.append(compared(_candidates(_stars(live, True), live, least)))
     live = _joined(live, links)
-    rest, most = _all_candidates(live, least), 1
-    while not rest.isEmpty():
-        # of each two components the pairs with the most equal minima; of those left, the ones still apart are looked at next
-        at = lambda i: live.select(F.col("id").alias(i), F.col("root").alias(f"r{i}"))
-        apart = keep(rest.join(at("a"), "a").join(at("b"), "b").filter("ra <> rb").select("a", "b", "e", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")), "apart")
-        chosen = keep(ranked(apart, ["lo", "hi"], [F.desc("e"), F.col("a"), F.col("b")], "place", most).select("a", "b"), "chosen")
-        new = compared(chosen)
-        if not new.isEmpty():
-            links.append(new)
-            live = _joined(live, links)
-        rest, most = keep(apart.select("a", "b", "e").join(chosen, ["a", "b"], "left_anti"), "pairs"), most * WIDER
+    links.append(_rest_links(live, rows, shingle, least))
+    live = _joined(live, links)
     best = live.groupBy("root").agg(F.min(order).alias("o")).select("o.r1", "o.r2")
     found = rows.select("row", "r1", "r2").join(best, ["r1", "r2"], "left_semi")
     return found.dropDuplicates(["r1", "r2"]).select("row.*")

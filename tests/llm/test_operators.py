@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -401,6 +402,40 @@ def test_near_copies_inside_a_family_of_one_template(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
 
 
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Texts whose minima allow the similarity that they do not have: all pairs are compared, none is a row of a table or a join."""
+    rows, real = {}, simhash.keep
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(simhash, "keep", counted)
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(5000)]
+    shared, made, n = [rng.choice(words) for _ in range(200)], [], 400
+    for i in range(n):
+        made.append((i, " ".join(shared + [rng.choice(words) for _ in range(30)])))
+    made.append((n, made[7][1] + " more"))
+    sets = [shingles(t) for _, t in made[:20]]
+    assert all(0.7 < len(x & y) / len(x | y) < 0.8 for x in sets for y in sets if x is not y)
+    out = simhash.one_of_each(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(n))
+    assert max(rows.values()) <= n * (simhash.GROUPS + 1)
+
+
+def test_common_share_of_pairs(monkeypatch):
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 40, 1, 90, 0, 25, 60, 7)]
+    size = np.array([len(x) for x in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8)))
+    for gathered in (1_000_000, 30):
+        monkeypatch.setattr(simhash, "GATHERED", gathered)
+        got = simhash.Shingles(size, pa.chunked_array([[x.tobytes() for x in sets]])).common_share(a, b)
+        want = [len(x & y) / len(x | y) if x | y else 1.0 for x, y in ((set(sets[i].tolist()), set(sets[j].tolist())) for i, j in zip(a, b))]
+        assert got.tolist() == want
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 20])
 def test_chains_of_near_copies_are_one_group_whatever_the_cells(spark, monkeypatch, block):
     """Each text of a chain is a near copy of the next alone; the first key stays, also where copies of its links make cells large."""
