@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import sets as T
@@ -31,6 +33,8 @@ _NAMES = tuple(f.split()[0] for f in _STATE.split(", "))
 INLINE = 1_000   # tool ids kept in a session's value
 DELTA = ("trace_id string, step bigint, type string, appended bigint, latest array<string>, " + ", ".join(f"{m} bigint" for m in MEASURES)
          + ", first_ts_ms bigint, last_ts_ms bigint, unmatched_tool_uses bigint, pending_wait boolean")
+_DELTA_ROW = Row(*[f.split()[0] for f in DELTA.split(", ")])
+FOLD, FOLD_BYTES = 200_000, 64 << 20   # rows and bytes that a task folds at a time
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,55 +54,95 @@ def removal_rows(files: DataFrame) -> DataFrame:
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """The rows of a task folded to one per session, generation and Arrow batch, before anything is shuffled."""
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf.sort_values("index", kind="stable")
-            keys = ["trace_id", "generation", "gone"]
-            kind = pdf["event_kind"]
-            ids = pdf["tool_use_id"].where(pdf["tool_use_id"] != "")
-            resolves = kind.isin(["user", "tool_use", "tool_result"])
-            telling, timed = resolves | pdf["is_wait"].astype(bool), pdf["ts_ms"].notna()
-            one = pdf.assign(event_count=(~pdf["gone"].astype(bool)).astype("int64"), error_count=pdf["has_error"].astype("int64"),
-                             tool_use_count=(kind == "tool_use").astype("int64"), tool_result_count=(kind == "tool_result").astype("int64"),
-                             used=ids.where(kind == "tool_use"), answered=ids.where(kind == "tool_result"), telling_waits=~resolves)
-            out = one.groupby(keys, sort=False)[list(MEASURES)].sum()
-            ends = one[timed].groupby(keys, sort=False)
-            out = out.join(ends[["index", "ts_ms"]].first().set_axis(["first_index", "first_ts_ms"], axis=1)).join(
-                ends[["index", "ts_ms"]].last().set_axis(["last_index", "last_ts_ms"], axis=1))
-            out = out.join(one[telling].groupby(keys, sort=False)[["index", "telling_waits"]].last().rename(columns={"index": "telling_index"}))
-            lists = lambda c: one[one[c].notna()].groupby(keys, sort=False)[c].agg(lambda x: sorted(set(x)))
-            tail = one[one["event_id"].notna()].groupby(keys, sort=False).tail(T.LATEST_EVENTS).groupby(keys, sort=False)
-            newest = tail.agg(newest_index=("index", list), newest=("event_id", list))
-            out = out.join(lists("used")).join(lists("answered")).join(newest).reset_index()
-            for c in ("first_index", "first_ts_ms", "last_index", "last_ts_ms", "telling_index"):
-                out[c] = out[c].astype("Int64")
-            for c in ("used", "answered", "newest_index", "newest"):
-                out[c] = [x if isinstance(x, list) else [] for x in out[c]]
-            out["telling_waits"] = out["telling_waits"].astype("boolean")
-            yield out[[f.split()[0] for f in _PARTIAL.split(", ")]]
-    return events.mapInPandas(fold, _PARTIAL)
+    """The rows of a task folded to one per session and generation, ``FOLD`` rows at a time, before anything is shuffled."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for b in batches:
+            held, rows, size = [*held, b], rows + b.num_rows, size + b.nbytes
+            if rows >= FOLD or size >= FOLD_BYTES:
+                yield _folded(pa.Table.from_batches(held))
+                held, rows, size = [], 0, 0
+        if rows:
+            yield _folded(pa.Table.from_batches(held))
+    return events.mapInArrow(fold, _PARTIAL)
+
+
+def _folded(t: pa.Table) -> pa.RecordBatch:
+    """One row per session and generation of ``EVENT`` rows; rows without a session count for nothing."""
+    t = t.filter(pc.and_(t["trace_id"].is_valid(), t["generation"].is_valid())).combine_chunks()
+    column = lambda c: t[c].combine_chunks()
+    true = lambda x: x.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    trace, generation, gone = column("trace_id").dictionary_encode(), column("generation").to_numpy(), true(column("gone"))
+    generations, g = np.unique(generation, return_inverse=True)
+    group = (trace.indices.to_numpy().astype(np.int64) * max(1, len(generations)) + g) * 2 + gone
+    _, head, group = np.unique(group, return_index=True, return_inverse=True)
+    n, has_index = len(head), column("index").is_valid().to_numpy(zero_copy_only=False)
+    index = column("index").fill_null(2**63 - 1).to_numpy()
+    order = np.lexsort((index, group))   # stable; rows without an index come last
+    group, index, has_index = group[order], index[order], has_index[order]
+    of = lambda x: x[order]
+    kind = column("event_kind")
+    is_kind = lambda k: of(true(pc.equal(kind, k)))
+    uses, answers = is_kind("tool_use"), is_kind("tool_result")
+    resolves, ts, timed = uses | answers | is_kind("user"), of(column("ts_ms").fill_null(0).to_numpy()), of(column("ts_ms").is_valid().to_numpy(zero_copy_only=False))
+    telling = resolves | of(true(column("is_wait")))
+    count = lambda x: pa.array(np.bincount(group[x], minlength=n).astype(np.int64))
+
+    def end(rows: np.ndarray, values: np.ndarray, last: bool) -> pa.Array:
+        """The value of each group's first or last row of these."""
+        at = np.flatnonzero(rows)
+        change = group[at][1:] != group[at][:-1]
+        at = at[np.concatenate([change, [True]] if last else [[True], change])] if len(at) else at
+        out, none = np.zeros(n, values.dtype), np.ones(n, bool)
+        out[group[at]], none[group[at]] = values[at], False
+        return pa.array(out, mask=none)
+
+    def lists(of_group: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(of_group, minlength=n))]).astype(np.int32), values)
+    tool = pc.fill_null(column("tool_use_id"), "").dictionary_encode()
+    names = tool.dictionary
+    by_name = pc.array_sort_indices(names).to_numpy()
+    place = np.empty(len(names), np.int64)
+    place[by_name] = np.arange(len(names))
+    named, tool = of(true(pc.not_equal(pc.fill_null(column("tool_use_id"), ""), ""))), place[of(tool.indices.to_numpy())]
+
+    def tools(rows: np.ndarray) -> pa.Array:
+        """The distinct tool ids of these rows, in order."""
+        some = np.unique(group[rows] * max(1, len(names)) + tool[rows])
+        return lists(some // max(1, len(names)), names.take(pa.array(by_name[some % max(1, len(names))])))
+    ids = column("event_id")
+    at = np.flatnonzero(of(ids.is_valid().to_numpy(zero_copy_only=False)))
+    left = np.cumsum(np.bincount(group[at], minlength=n))[group[at]] - np.arange(len(at))   # rows of the group from this one on
+    at = at[left <= T.LATEST_EVENTS]
+    first = pa.array(head)
+    return pa.RecordBatch.from_arrays([
+        column("trace_id").take(first), column("generation").take(first), pa.array(gone[head]),
+        count(~of(gone)), count(of(true(column("has_error")))), count(uses), count(answers),
+        end(timed & has_index, index, False), end(timed, ts, False), end(timed & has_index, index, True), end(timed, ts, True),
+        end(telling & has_index, index, True), end(telling, ~resolves, True),
+        tools(uses & named), tools(answers & named), lists(group[at], pa.array(index[at], mask=~has_index[at])), lists(group[at], ids.take(pa.array(order[at])))],
+        [f.split()[0] for f in _PARTIAL.split(", ")])
 
 
 class LiveSession(StatefulProcessor):
     """One session's kept summary: one value with the folded measures, the newest events and the tool ids seen (1 used, 2 answered, 3
-    both). A session with more than ``INLINE`` ids has them in a map, so that its value stays small; each call to the state costs."""
+    both). A session with more than ``INLINE`` ids has them in a map, so that its value stays small; each call to the state costs. A step
+    has a few folded rows and works on them as they are: a data frame for each would take most of the time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.session = handle.getValueState("session", _STATE)
         self.tools = handle.getMapState("tools", "tool_use_id string", "seen int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        parts: dict[int, list[Row]] = {}
+        for r in rows:
+            parts.setdefault(r["generation"], []).append(r.asDict())
         kept = self.session.get()
         known, out = dict(zip(_NAMES, kept)) if kept is not None else None, []
-        for generation, some in sorted(parts.groupby("generation"), key=lambda g: g[0]):
-            generation = int(generation)
+        for generation, some in sorted(parts.items()):
             if known is not None and generation < known["generation"]:
                 continue
-            if some["gone"].any():
+            if any(r["gone"] for r in some):
                 if known is not None:
                     out.append(self._delta(key, len(out), "trace_removed", known))
                     self._forget(known)
@@ -119,25 +163,23 @@ class LiveSession(StatefulProcessor):
             self.session.update(tuple(known[c] for c in _NAMES))
         elif kept is not None:
             self.session.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in DELTA.split(", ")])
+        yield from out
 
     def _forget(self, known: dict) -> None:
         if known["in_map"]:
             self.tools.clear()
 
-    def _merge(self, known: dict, some: pd.DataFrame) -> None:
-        for m in MEASURES:
-            known[m] += int(some[m].sum())
+    def _merge(self, known: dict, some: list[dict]) -> None:
         recent, seen = dict(zip(known["newest_index"], known["newest"])), {}
-        for r in some.itertuples(index=False):
+        for r in some:
+            for m in MEASURES:
+                known[m] += r[m]
             for at, value, better in (("first_index", "first_ts_ms", lambda x, y: x < y), ("last_index", "last_ts_ms", lambda x, y: x > y),
                                       ("telling_index", "telling_waits", lambda x, y: x > y)):
-                i = getattr(r, at)
-                if not pd.isna(i) and (known[at] is None or better(i, known[at])):
-                    known[at], known[value] = int(i), getattr(r, value).item() if hasattr(getattr(r, value), "item") else getattr(r, value)
-            recent.update(zip(map(int, r.newest_index), r.newest))
-            for bit, ids in ((1, r.used), (2, r.answered)):
+                if r[at] is not None and (known[at] is None or better(r[at], known[at])):
+                    known[at], known[value] = r[at], r[value]
+            recent.update(zip(r["newest_index"], r["newest"]))
+            for bit, ids in ((1, r["used"]), (2, r["answered"])):
                 for t in ids:
                     seen[t] = seen.get(t, 0) | bit
         known["newest_index"] = sorted(recent)[-T.LATEST_EVENTS:]
@@ -161,9 +203,9 @@ class LiveSession(StatefulProcessor):
         known["tool_ids"], known["tool_bits"] = list(inline), list(inline.values())
 
     @staticmethod
-    def _delta(key, step: int, kind: str, known: dict, appended: int | None = None, latest: list | None = None) -> tuple:
-        return (key[0], step, kind, appended, latest or [], *[known[m] for m in MEASURES], known["first_ts_ms"], known["last_ts_ms"], known["unmatched"],
-                bool(known["telling_waits"]))
+    def _delta(key, step: int, kind: str, known: dict, appended: int | None = None, latest: list | None = None) -> Row:
+        return _DELTA_ROW(key[0], step, kind, appended, latest or [], *[known[m] for m in MEASURES], known["first_ts_ms"], known["last_ts_ms"], known["unmatched"],
+                          bool(known["telling_waits"]))
 
     def close(self) -> None:
         pass
@@ -173,7 +215,7 @@ def live_deltas(events: DataFrame) -> DataFrame:
     """Deltas of a stream of ``EVENT`` rows: trace_added, trace_updated or trace_removed, then events_appended with the number and the
     newest events (at most 40) of what came. ``step`` orders a session's deltas inside a batch."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)   # the only store with list and map state
-    return folded(events).groupBy("trace_id").transformWithStateInPandas(LiveSession(), DELTA, "Update", "None")
+    return folded(events).groupBy("trace_id").transformWithState(LiveSession(), DELTA, "Update", "None")
 
 
 class LiveSink:

@@ -68,6 +68,34 @@ def test_a_hot_session_reaches_its_state_folded(spark):
     assert len(rows) <= 16 and sum(r.event_count for r in rows) == 30_000 and all(len(r.newest) <= T.LATEST_EVENTS for r in rows)
 
 
+def test_a_task_folds_its_sessions_to_a_row_each(spark):
+    """Sessions whose rows lie among those of many others: a row each per task, whatever the Arrow batches; the values are those of all rows."""
+    i, n = F.col("id"), 1_000
+    rows = spark.range(0, 24_000, 1, 2).select(
+        F.when(i % 997 != 0, F.concat(F.lit("s"), i % n)).alias("trace_id"), (i * 7919 % 24_001).alias("index"), F.when(i % 5 != 0, F.concat(F.lit("e"), i)).alias("event_id"),
+        F.when(i % 4 != 0, i * 10).alias("ts_ms"), F.element_at(F.array(*map(F.lit, ("user", "assistant", "tool_use", "tool_result", None))), (F.floor(i / n) % 5 + 1).cast("int")).alias("event_kind"),
+        (i % 3 == 0).alias("has_error"), F.when(i % 2 == 0, F.concat(F.lit("t"), F.floor(i / 3000))).alias("tool_use_id"), (i % 11 == 0).alias("is_wait"))
+    kept = L.event_rows(rows).unionByName(L.removal_rows(spark.createDataFrame([("s1", 0), ("gone", 3)], "trace_id string, generation bigint"))).coalesce(2)
+    got = L.folded(kept).collect()
+    assert len([r for r in got if not r.gone]) <= 2 * n and sorted((r.trace_id, r.generation, r.event_count, r.first_index) for r in got if r.gone) == [("gone", 3, 0, None), ("s1", 0, 0, None)]
+    want = {r.trace_id: r for r in rows.filter("trace_id IS NOT NULL").groupBy("trace_id").agg(
+        F.count("*").alias("n"), F.count_if("has_error").alias("errors"), F.count_if(F.col("event_kind") == "tool_use").alias("uses"),
+        F.expr("min_by(ts_ms, index) FILTER (WHERE ts_ms IS NOT NULL)").alias("first"), F.expr("max_by(ts_ms, index) FILTER (WHERE ts_ms IS NOT NULL)").alias("last"),
+        F.expr("max(index) FILTER (WHERE is_wait OR event_kind IN ('user', 'tool_use', 'tool_result'))").alias("told"),
+        F.expr("max_by(coalesce(event_kind NOT IN ('user', 'tool_use', 'tool_result'), true), index) FILTER (WHERE is_wait OR event_kind IN ('user', 'tool_use', 'tool_result'))").alias("waits"),
+        F.expr("collect_set(tool_use_id) FILTER (WHERE event_kind = 'tool_result')").alias("answered"),
+        F.expr("sort_array(collect_list(struct(index, event_id)) FILTER (WHERE event_id IS NOT NULL))").alias("newest")).collect()}
+    assert len(want) == n
+    for trace, w in want.items():
+        some = [r for r in got if r.trace_id == trace and not r.gone]
+        assert (sum(r.event_count for r in some), sum(r.error_count for r in some), sum(r.tool_use_count for r in some)) == (w.n, w.errors, w.uses)
+        timed, told = [r for r in some if r.first_index is not None], [r for r in some if r.telling_index is not None]
+        assert min(((r.first_index, r.first_ts_ms) for r in timed), default=(0, None))[1] == w["first"] and max(((r.last_index, r.last_ts_ms) for r in timed), default=(0, None))[1] == w["last"]
+        assert max(((r.telling_index, r.telling_waits) for r in told), default=(None, None)) == (w.told, w.waits)
+        assert sorted({t for r in some for t in r.answered}) == sorted(w.answered) and all(r.used == sorted(set(r.used)) for r in some)
+        assert sorted(x for r in some for x in zip(r.newest_index, r.newest)) == [tuple(x) for x in w.newest]
+
+
 def test_generations_replace_and_remove(spark, tmp_path):
     root = str(tmp_path)
     put(spark, root, "a", [ev("t", 1), ev("t", 2), ev("u", 1), ev("w", 1)])
